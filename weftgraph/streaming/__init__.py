@@ -1,0 +1 @@
+"""Incremental maintenance: snapshots, freshness, staging, and file streams."""
