@@ -1,0 +1,144 @@
+import base64
+import gzip
+import random
+import re
+import urllib.parse
+
+import pytest
+import sentencepiece
+
+from weftgraph.llm import language, leaks, pieces, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_language_on_held_out_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op9_language(spark, SF).collect()}
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    held = [i for i, r in got.items() if r.held_out]
+    assert len(got) == len(truth) and held
+    assert sum(got[i].lang_pred == truth[i] for i in held) >= 0.9 * len(held)
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_grams_of_words():
+    def plain(text):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        out = {}
+        for w in words:
+            p = f" {w} "
+            for n in (1, 2, 3):
+                for i in range(len(p) - n + 1):
+                    if n > 1 or p[i] != " ":
+                        out[p[i : i + n]] = out.get(p[i : i + n], 0) + 1
+        return sorted(out.values())
+
+    for t in ["", "a", "Ab  ab! c3d", "été, l'été", "1234", "x" * 50, "漢字 かな"]:
+        _, _, count = language.counted([t])
+        assert sorted(count.tolist()) == plain(t)
+
+
+def test_language_of_odd_rows(spark):
+    rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "12 34", "en"), (5, "the dog", None), (6, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = language.fit(df)
+    got = {r.doc_id: (r.lang_pred, r.score > 0) for r in language.predict(df, profiles, keep=(df["doc_id"],)).collect()}
+    assert got == {1: ("en", True), 2: ("de", True), 3: ("und", False), 4: ("und", False), 5: ("en", True), 6: ("und", False)}
+    none = language.fit(df.limit(0))
+    assert {r.lang_pred for r in language.predict(df, none, keep=(df["doc_id"],)).collect()} == {"und"}
+
+
+ASSIGN = re.compile(r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+
+
+def base_of(t):
+    out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    return sorted(out, key=lambda x: (x[1], leaks.KINDS.index(x[0])))
+
+
+def test_base_spans_equal_plain_patterns():
+    rng = random.Random(4)
+    parts = ["password", "PassWd", "token", "api_key", "APIKEY", "secret", ":", "=", " ", "'", '"', "AKIA", "ABCDEFGHIJKLMN", "0123456789abcdef", "xyzxyzxyz", "é", "K", "ſecret", ".", "\n"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        base, every = leaks.spans(t)
+        assert base == base_of(t) and set(base) <= set(every)
+
+
+def test_nested_layers_are_mapped_back():
+    secret = "password = hunter2hunter2hunter2"
+    wraps = [
+        lambda s: "".join(f"%{b:02X}" for b in s.encode()),
+        lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
+        lambda s: "".join(f"&#{ord(c)};" for c in s),
+        lambda s: base64.b64encode(s.encode()).decode(),
+        lambda s: base64.b64encode(gzip.compress(s.encode())).decode(),
+        lambda s: urllib.parse.quote(base64.b64encode(s.encode()).decode(), safe=""),
+    ]
+    for outer in [lambda s: s, *wraps]:
+        for inner in wraps:
+            coded = outer(inner(secret))
+            text = "début " + coded + " fin"
+            _, every = leaks.spans(text)
+            found = [(a, b) for kind, a, b in every if kind == "assign"]
+            assert any(6 <= a and b <= 6 + len(coded) and b - a >= 0.4 * len(coded) for a, b in found), (coded, every)
+
+
+def test_spans_of_a_part_are_exact():
+    text = "é%41KIA" + "B" * 16 + " x"
+    assert leaks.spans(text) == ([], [("access", 1, 23)])
+    quartet = base64.b64encode(b"abc token=abcdefabcdefzz xyz").decode()
+    _, every = leaks.spans("é " + quartet)
+    assert [x for x in every if x[0] == "assign"] == [("assign", 2 + 4, 2 + 32)]
+    assert leaks.spans("") == ([], [])
+
+
+def test_leaks_of_odd_rows(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "token: abcdefghijkl", "x"), (None, "a" * 100_000, "x")], "doc_id long, text string, base string")
+    got = {r.doc_id: r for r in leaks.digests(leaks.find(df)).collect()}
+    assert got[3].n_assign == 1 and got[3].spans == "assign:0:19" and got[None].n_hex == 1 and got[1].base_sha256 == got[2].base_sha256
+    assert leaks.digests(leaks.find(df.limit(0))).count() == 0
+
+
+TEXTS = ["", " ", "a", "Hello  world\n a\tb é 漢 ", "  lead", "▁ own ▁mark", "the cat's   pyjamas 12345", "\U0001f600 x", "x" * 500, "Étion dans, çouelle\n\nun éonierç"]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_without_dropout_the_library_agrees(text):
+    pieces._fresh(pieces.MODEL, 0.0, 1)
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    ids = pieces.encode(text, rate=0.0, seed=1)
+    if "▁" not in text:
+        assert ids.tolist() == model.encode(text)
+    assert pieces.vocabulary().decode(ids.tolist()) == text
+
+
+def test_documents_agree_with_the_library(spark):
+    pieces._fresh(pieces.MODEL, 0.0, 1)
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect():
+        assert pieces.encode(r.text, rate=0.0, seed=1).tolist() == model.encode(r.text)
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_dropout_varies_and_is_lossless(text):
+    pieces._fresh(pieces.MODEL, 0.3, 1)
+    seen = set()
+    for key in range(20):
+        ids = pieces.encode(text, rate=0.3, seed=1, key=key)
+        assert pieces.vocabulary().decode(ids.tolist()) == text
+        assert pieces.encode(text, rate=0.3, seed=1, key=key).tolist() == ids.tolist()
+        seen.add(tuple(ids.tolist()))
+    if len(text) > 20 and " " in text:
+        assert len(seen) > 1
+
+
+def test_tokenize_odd_rows(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, "a b", "x"), (2, "a b", "x"), (None, "é" * 2000, "x")], "doc_id long, text string, tokens string")
+    got = pieces.tokenize(df).collect()
+    assert all(r.lossless and len(r.tokens) == 2 * r.n_tokens for r in got)
+    assert len({bytes(r.tokens) for r in got if r.doc_id == 2}) == 1
+    assert pieces.tokenize(df.limit(0)).count() == 0
