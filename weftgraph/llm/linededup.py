@@ -2,7 +2,7 @@
 
 Method (prefix filtering). A line's tokens are the shingles of its words. Tokens
 are ordered by rarity, rarest first; rarity is counted over all lines in a table
-of hash buckets of fixed size, any total order being right and a good one fast.
+of hash buckets of fixed size and taken in classes of half a doubling, any total order being right and a good one fast.
 A pair of lines with Jaccard similarity t or more shares a token among the first
 n - ceil(t n) + 1 of each (prefix filter); their sizes differ by at most a
 factor t (length filter); and the tokens after a shared one must suffice for the
@@ -32,33 +32,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm import sessions, similar
+from weftgraph.llm import bitmaps, sessions, similar
 from weftgraph.llm.words import Scan, buffers, line_offsets, mix, slices
 
 WIDTH, LEAST, MIN_WORDS = 5, 0.8, 5
+#: Bits of a token's hash in prefixes (pairs are verified with 64 bits).
+TOKEN_BITS = 42
 #: Hash buckets of the rarity table (4 bytes each), and pieces in which it is summed.
 BUCKET_BITS, PIECES = 20, 16
 #: Token sets that a task remembers, so that it sends the prefix of a repeated line once.
 REMEMBERED = 500_000
 
 
-def _tokens(data: np.ndarray, offsets: np.ndarray, width: int, min_words: int):
-    """Distinct tokens of the lines of texts: (line, token) sorted, words of each line, and text and number of each line."""
+def _scan(data: np.ndarray, offsets: np.ndarray, width: int, min_words: int):
+    """(line, token) of all shingles of the lines with enough words, and text and number of each line."""
     lines, text, number = line_offsets(data, offsets)
     scan = Scan(data, lines)
-    words = np.diff(scan.first)
     unit, value = scan.shingles(width)
-    long = words[unit] >= min_words
-    unit, value = unit[long], value[long]
-    order = np.lexsort((value, unit))
-    unit, value = unit[order], value[order]
-    new = np.ones(len(unit), bool)
-    new[1:] = (unit[1:] != unit[:-1]) | (value[1:] != value[:-1])
-    return unit[new], value[new], words, text, number
+    if min_words > 1:
+        enough = (np.diff(scan.first) >= min_words)[unit]
+        unit, value = unit[enough], value[enough]
+    return unit, value >> np.uint64(64 - TOKEN_BITS), text, number
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Rarity classes 0 to 63, two for each doubling of the count."""
+    return np.minimum(2 * np.log2(np.maximum(counts, 1).astype(np.float64)), 63).astype(np.uint64)
+
+
+def _ordered(unit: np.ndarray, token: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens of each line, rarest first: (tokens, lines that have some, start and number of each line's)."""
+    key = levels[(token >> np.uint64(TOKEN_BITS - BUCKET_BITS)).astype(np.int64)] << np.uint64(TOKEN_BITS) | token
+    some, dense = np.unique(unit, return_inverse=True) if len(unit) else (unit, unit)
+    if len(some) <= 1 << 16:
+        key = np.sort(dense.astype(np.uint64) << np.uint64(48) | key)
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        key = key[new]
+        dense = (key >> np.uint64(48)).astype(np.int64)
+    else:  # the lines of one very long text
+        order = np.lexsort((key, dense))
+        key, dense = key[order], dense[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (dense[1:] != dense[:-1])
+        key, dense = key[new], dense[new]
+    start = np.searchsorted(dense, np.arange(len(some) + 1))
+    return key & np.uint64((1 << TOKEN_BITS) - 1), some, start[:-1], np.diff(start)
 
 
 def rarity(docs: DataFrame, text: str = "text", width: int = WIDTH, min_words: int = MIN_WORDS) -> np.ndarray:
-    """Counts of lines by token bucket. The table has 2**BUCKET_BITS entries whatever the input; partial tables are summed by piece."""
+    """Counts of shingles by token bucket. The table has 2**BUCKET_BITS entries whatever the input; partial tables are summed by piece."""
     size = 1 << BUCKET_BITS
     step = size // PIECES
 
@@ -67,8 +90,8 @@ def rarity(docs: DataFrame, text: str = "text", width: int = WIDTH, min_words: i
         for batch in batches:
             data, offsets = buffers(batch.column(0))
             for a, b in slices(offsets):
-                _, value, *_ = _tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width, min_words)
-                total += np.bincount((value >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=size)
+                _, token, _, _ = _scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width, min_words)
+                total += np.bincount((token >> np.uint64(TOKEN_BITS - BUCKET_BITS)).astype(np.int64), minlength=size)
         yield from _pieces(total)
 
     def _pieces(total: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -100,19 +123,16 @@ def _lines(table, width: int, min_words: int, least: float):
     """(k, id, text) to one row per line with tokens: k, id, line, node (hash of the token set), n, prefix (null where this task sent it before)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = table.value
+        levels = _level(table.value)
         sent: set[int] = set()
         for batch in batches:
             keys, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             data, offsets = buffers(batch.column(2))
             for a, b in slices(offsets):
-                unit, value, words, text, number = _tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width, min_words)
-                some, start, n = np.unique(unit, return_index=True, return_counts=True)
-                if not len(some):
+                unit, token, text, number = _scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width, min_words)
+                if not len(unit):
                     continue
-                rare = counts[(value >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-                order = np.lexsort((value, rare, unit))
-                value = value[order]
+                value, some, start, n = _ordered(unit, token, levels)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(0x1D8E4E27C47D124F)))])
                 node = mix(sums[start + n] - sums[start] + n.astype(np.uint64)).astype(np.int64)
                 if len(sent) > REMEMBERED:
@@ -174,9 +194,12 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     dealt = tokens.repartition(sessions.partitions(spark), "token").sortWithinPartitions("token", "node")
     shared = dealt.mapInArrow(_shared, "token bigint, node bigint, n bigint, pos bigint")
     shared = sessions.settle(shared.join(firsts.select("node", "at"), "node"))
-    # Texts of the lines that have a candidate.
-    chosen = firsts.join(shared.select("node").distinct(), "node").select("node", F.col("at.k").alias("k"), F.col("at.line").alias("line"))
-    whole = read.select("k", "text").join(chosen.groupBy("k").agg(F.collect_list(F.struct("node", "line")).alias("want")), "k")
+    # Texts of the lines that have a candidate, cut out where the documents are read: a
+    # bitmap of fixed size lets few other documents through, and the join drops those.
+    chosen = sessions.settle(firsts.join(shared.select("node").distinct(), "node").select("node", F.col("at.k").alias("k"), F.col("at.line").alias("line")))
+    marks = spark.sparkContext.broadcast(bitmaps.build(chosen.select("k")))
+    likely = read.select("k", "text").mapInArrow(bitmaps.keeper(marks, ["k", "text"]), "k bigint, text string")
+    whole = likely.join(chosen.groupBy("k").agg(F.collect_list(F.struct("node", "line")).alias("want")), "k")
     parts = whole.select(F.explode("want").alias("w"), F.split("text", "\n").alias("parts")).select("w.node", F.element_at("parts", (F.col("w.line") + 1).cast("int")).alias("text"))
     texts = sessions.settle(parts.dropDuplicates(["node"]))
     sized = shared.groupBy("token").agg(F.count(F.lit(1)).alias("size"))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import sessions, similar
-from weftgraph.llm.words import Scan, buffers, mix, slices
+from weftgraph.llm.words import Scan, buffers, distinct, mix, slices
 
 BANDS, ROWS = 32, 4
 #: Bands that a pair must share to be verified.
@@ -106,12 +106,7 @@ def _sketch(width: int, bands: int, rows: int):
             nodes, sizes, keys = [], [], []
             for a, b in slices(offsets):
                 scan = Scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                unit, value = scan.shingles(width)
-                order = np.lexsort((value, unit))
-                unit, value = unit[order], value[order]
-                new = np.ones(len(unit), bool)
-                new[1:] = (unit[1:] != unit[:-1]) | (value[1:] != value[:-1])
-                unit, value = unit[new], value[new]
+                unit, value = distinct(*scan.shingles(width))
                 count = np.bincount(unit, minlength=b - a)
                 first = np.concatenate([[0], np.cumsum(count)])
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(0x589965CC75374CC3)))])

@@ -46,7 +46,7 @@ class Limits:
     min_words: int = 50
     max_repeat_percent: int = 50
     min_repeat: int = 10
-    max_covered: float = 0.3
+    max_covered: float = 0.5
     max_longest: float = 0.25
     longest_floor: int = 60
 

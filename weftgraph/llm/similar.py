@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import sessions
-from weftgraph.llm.words import Scan, buffers, slices
+from weftgraph.llm.words import Scan, buffers, distinct, slices
 
 #: Tasks that the partners of one text are dealt to; its own text goes to each of them that has one.
 SALTS = 32
@@ -22,12 +22,7 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for a, b in slices(offsets):
         scan = Scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        unit, value = scan.shingles(width)
-        order = np.lexsort((value, unit))
-        unit, value = unit[order], value[order]
-        new = np.ones(len(unit), bool)
-        new[1:] = (unit[1:] != unit[:-1]) | (value[1:] != value[:-1])
-        unit, value = unit[new], value[new]
+        unit, value = distinct(*scan.shingles(width))
         first = np.searchsorted(unit, np.arange(b - a + 1))
         out += [value[first[i] : first[i + 1]] for i in range(b - a)]
     return out

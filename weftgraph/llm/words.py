@@ -103,20 +103,44 @@ class Scan:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(unit, hash) of each run of ``width`` words; a unit with 1 to width - 1 words has one shorter run."""
+        """(unit, hash) of each run of ``width`` words, in order; a unit with 1 to width - 1 words has one shorter run."""
         counts = np.diff(self.first)
-        unit = self.unit_of_word()
-        left = self.first[1:][unit] - np.arange(len(unit))  # words from here to the unit's end
-        short = counts[unit] < width
-        keep = np.flatnonzero((left >= width) | (short & (left == counts[unit])))
-        value = np.zeros(len(keep), np.uint64)
-        reach = left[keep]
+        full = np.maximum(counts - width + 1, 0)
+        n = len(self.hashes)
+        # All runs of the whole sequence, of which those inside a unit are taken.
+        value = np.zeros(max(n - width + 1, 0), np.uint64)
         for j in range(width):
-            at = np.minimum(keep + j, max(len(unit) - 1, 0))
-            word = np.where(j < reach, self.hashes[at], np.uint64(0x2545F4914F6CDD1D))
-            value = (value ^ word) * np.uint64(_BASE) + np.uint64(j)
+            value = (value ^ self.hashes[j : j + len(value)]) * np.uint64(_BASE)
             value ^= value >> np.uint64(29)
-        return unit[keep], mix(value)
+        units = np.arange(len(counts))
+        unit = np.repeat(units, full)
+        ends = np.cumsum(full)
+        at = np.arange(len(unit)) + np.repeat(self.first[:-1] - (ends - full), full)
+        value = value[at]
+        short = np.flatnonzero((counts > 0) & (counts < width))
+        if len(short):
+            own = np.zeros(len(short), np.uint64)
+            for j in range(width):
+                here = np.minimum(self.first[short] + j, n - 1)
+                own = (own ^ np.where(j < counts[short], self.hashes[here], np.uint64(0x2545F4914F6CDD1D))) * np.uint64(_BASE)
+                own ^= own >> np.uint64(29)
+            place = ends[short] - full[short]
+            unit, value = np.insert(unit, place, short), np.insert(value, place, own)
+        return unit, mix(value)
+
+
+def distinct(unit: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (unit, value) in order of unit and value. Units must come in order."""
+    units = int(unit[-1]) + 1 if len(unit) else 0
+    if units <= 64:
+        # Few long units: one sort for each.
+        bounds = np.searchsorted(unit, np.arange(units + 1))
+        value = np.concatenate([np.sort(value[bounds[i] : bounds[i + 1]]) for i in range(units)]) if units else value
+    else:
+        value = value[np.lexsort((value, unit))]
+    new = np.ones(len(unit), bool)
+    new[1:] = (unit[1:] != unit[:-1]) | (value[1:] != value[:-1])
+    return unit[new], value[new]
 
 
 def line_offsets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
