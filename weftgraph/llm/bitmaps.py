@@ -7,7 +7,7 @@ keys are in it, it lets more through; the join behind it decides in any case.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,9 @@ BITS = 24
 _PIECES = 8
 
 
-def _places(keys: pa.Array) -> np.ndarray:
-    return (keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+def places(keys: np.ndarray) -> np.ndarray:
+    """Bits of 64-bit keys."""
+    return (keys.astype(np.int64).view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def build(keys: DataFrame) -> np.ndarray:
@@ -28,7 +29,7 @@ def build(keys: DataFrame) -> np.ndarray:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << BITS, bool)
         for batch in batches:
-            bits[_places(batch.column(0))] = True
+            bits[places(batch.column(0).to_numpy(zero_copy_only=False))] = True
         parts = [(i, zlib.compress(np.packbits(bits[i * size : (i + 1) * size]).tobytes(), 1)) for i in range(_PIECES) if bits[i * size : (i + 1) * size].any()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["piece", "bits"])
 
@@ -47,14 +48,3 @@ def build(keys: DataFrame) -> np.ndarray:
         at = x["piece"] * size // 8
         out[at : at + size // 8] |= np.frombuffer(zlib.decompress(x["bits"]), np.uint8)
     return out
-
-
-def keeper(shared, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: the rows whose first column is in the broadcast bitmap ``shared``."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(bits[_places(batch.column(0))])).columns, names=names)
-
-    return keep

@@ -40,6 +40,8 @@ WIDTH, LEAST, MIN_WORDS = 5, 0.8, 5
 TOKEN_BITS = 42
 #: Hash buckets of the rarity table (4 bytes each), and pieces in which it is summed.
 BUCKET_BITS, PIECES = 20, 16
+#: Place of line numbers among the bits of a line's key.
+_TURN = 44
 #: Token sets that a task remembers, so that it sends the prefix of a repeated line once.
 REMEMBERED = 500_000
 
@@ -177,6 +179,29 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=names)
 
 
+def _place(k, line):
+    """A 64-bit key of a line: the text's key with the line's number in its upper bits. Computed alike in _cut."""
+    return k.bitwiseXOR(F.shiftleft(line, _TURN)).alias("place")
+
+
+def _cut(marks):
+    """(k, text) to (k, line, text) of the lines whose place is in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(marks.value).astype(bool)
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = buffers(batch.column(1))
+            for a, b in slices(offsets):
+                part = data[offsets[a] : offsets[b]]
+                lines, text, number = line_offsets(part, offsets[a : b + 1] - offsets[a])
+                hit = np.flatnonzero(bits[bitmaps.places(keys[a + text] ^ number << _TURN)])
+                cut = [part[lines[i] : lines[i + 1]].tobytes().decode() for i in hit]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a + text[hit]]), pa.array(number[hit].astype(np.int64)), pa.array(cut, pa.string())], names=["k", "line", "text"])
+
+    return run
+
+
 def _key(doc_id: str, text: str):
     return F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
 
@@ -187,24 +212,27 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sessions.prepare(spark)
     read = docs.select(_key(doc_id, text).alias("k"), F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     table = spark.sparkContext.broadcast(rarity(docs, text, width, min_words))
-    lines = sessions.settle(read.mapInArrow(_lines(table, width, min_words, least), "k bigint, id bigint, line bigint, node bigint, n bigint, prefix array<bigint>"))
+    lines = sessions.stored(read.mapInArrow(_lines(table, width, min_words, least), "k bigint, id bigint, line bigint, node bigint, n bigint, prefix array<bigint>"))
     at = F.struct(F.col("id").isNull().alias("no"), "id", "k", "line")
-    firsts = sessions.settle(lines.groupBy("node").agg(F.min(at).alias("at"), F.max("n").alias("n")))
+    firsts = sessions.stored(lines.groupBy("node").agg(F.min(at).alias("at"), F.max("n").alias("n")))
     tokens = lines.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "n", F.col("pos").cast("long").alias("pos"))
     dealt = tokens.repartition(sessions.partitions(spark), "token").sortWithinPartitions("token", "node")
-    shared = dealt.mapInArrow(_shared, "token bigint, node bigint, n bigint, pos bigint")
-    shared = sessions.settle(shared.join(firsts.select("node", "at"), "node"))
+    shared = sessions.settle(dealt.mapInArrow(_shared, "token bigint, node bigint, n bigint, pos bigint"))
+    # A pair's first shared token must leave room for the overlap in both lines; for the
+    # smaller line that means a place under n - 2 t / (1 + t) n. Tokens without such a
+    # line, and lines too small or large for those, have no pair.
+    early = F.col("pos") <= F.col("n") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - F.lit(1e-9))
+    spread = shared.withColumn("early", early).groupBy("token").agg(F.min(F.when(F.col("early"), F.col("n"))).alias("low"), F.max(F.when(F.col("early"), F.col("n"))).alias("high"))
+    fit = shared.join(spread.filter("low is not null"), "token").filter((F.col("n") >= F.col("low")) & (F.col("n") * F.lit(least) <= F.col("high") + F.lit(1e-9)))
+    sized = fit.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    todo = sessions.settle(fit.select("token", "node", "n", "pos").join(sized, "token").join(firsts.select("node", "at"), "node"))
     # Texts of the lines that have a candidate, cut out where the documents are read: a
-    # bitmap of fixed size lets few other documents through, and the join drops those.
-    chosen = sessions.settle(firsts.join(shared.select("node").distinct(), "node").select("node", F.col("at.k").alias("k"), F.col("at.line").alias("line")))
-    marks = spark.sparkContext.broadcast(bitmaps.build(chosen.select("k")))
-    likely = read.select("k", "text").mapInArrow(bitmaps.keeper(marks, ["k", "text"]), "k bigint, text string")
-    whole = likely.join(chosen.groupBy("k").agg(F.collect_list(F.struct("node", "line")).alias("want")), "k")
-    parts = whole.select(F.explode("want").alias("w"), F.split("text", "\n").alias("parts")).select("w.node", F.element_at("parts", (F.col("w.line") + 1).cast("int")).alias("text"))
-    texts = sessions.settle(parts.dropDuplicates(["node"]))
-    sized = shared.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
-    todo = sessions.settle(shared.join(sized, "token"))
-    everyone = shared.select("token", "node", "n", "pos", "at")
+    # bitmap of fixed size lets few other lines through, and the join drops those.
+    chosen = sessions.settle(firsts.join(todo.select("node").distinct(), "node").select("node", F.col("at.k").alias("k"), F.col("at.line").alias("line")))
+    marks = spark.sparkContext.broadcast(bitmaps.build(chosen.select(_place(F.col("k"), F.col("line")))))
+    likely = read.select("k", "text").mapInArrow(_cut(marks), "k bigint, line bigint, text string")
+    texts = sessions.stored(likely.join(chosen, ["k", "line"]).select("node", "text").dropDuplicates(["node"]))
+    everyone = todo
     matches: DataFrame | None = None
     tested: DataFrame | None = None
     limit = 1
@@ -218,9 +246,8 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         l, m = leaders.alias("l"), todo.alias("m")
         small, large = F.least("l.n", "m.n"), F.greatest("l.n", "m.n")
         overlap = F.ceil(F.lit(least / (1 + least)) * (F.col("l.n") + F.col("m.n")) - F.lit(1e-9))
-        # This token and those after it, and those before it, as far as both lines have them.
-        rest = F.least(F.col("l.n") - F.col("l.pos"), F.col("m.n") - F.col("m.pos"))
-        room = rest + F.least("l.pos", "m.pos")
+        # A similar pair passes at its first shared token: all of its overlap is there or after it.
+        room = F.least(F.col("l.n") - F.col("l.pos"), F.col("m.n") - F.col("m.pos"))
         pairs = m.join(l, (F.col("m.token") == F.col("l.token")) & (F.col("l.at") < F.col("m.at")) & (small >= F.lit(least) * large) & (room >= overlap)).select(F.col("l.node").alias("a"), F.col("m.node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
