@@ -16,8 +16,8 @@ joined pair is verified with exact Jaccard over the texts' word shingles.
 Texts with one shingle set are one node from the start (only counted). Within
 the texts that share a band, all are first compared with the least node; classes
 found so far are contracted, and only texts in different classes are compared
-again, with 4, 16, 64, ... leading nodes, until every pair of different classes
-that shares a band was compared. So a large group of copies costs about its
+again, with the first 32 nodes, and last all that share a band and are in
+different classes still. So a large group of copies costs about its
 size, and no link between different texts is left out.
 
 With 32 bands of 4 coordinates a pair at a similarity of exactly 0.8 shares no
@@ -47,6 +47,8 @@ BANDS, ROWS = 32, 4
 #: Bands that a pair must share to be verified.
 SHARED = 2
 WIDTH, LEAST = 5, 0.8
+#: Leading nodes of a band that the second round compares with.
+LEADERS = 32
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -149,10 +151,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = sessions.settle(read.select("k", "text").join(wanted, "k").groupBy("node").agg(F.min("text").alias("text")))
     roots: DataFrame | None = None
     tested: DataFrame | None = None
-    limit = 1
-    while not members.isEmpty():
+    for limit in (1, LEADERS, None):
+        if members.isEmpty():
+            break
         if limit == 1:
             leaders = members.groupBy("key").agg(F.min(F.struct("node", "n", "root")).alias("x")).select("key", "x.*")
+        elif limit is None:
+            leaders = members
         else:
             leaders = members.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node"))).filter(F.col("rank") <= limit).select("key", "node", "n", "root")
         l, m = leaders.alias("l"), members.alias("m")
@@ -179,8 +184,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             members = members.drop("root").join(roots, "node")
         # Keys whose texts are all in one class, or that were compared to the end, are done.
         left = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-        members = sessions.settle(members.filter(F.col("size") > limit + 1).join(left, "key").select("node", "n", "key", "size", "root"))
-        limit *= 4
+        if limit is not None:
+            members = sessions.settle(members.filter(F.col("size") > limit + 1).join(left, "key").select("node", "n", "key", "size", "root"))
     if roots is None:
         roots = nodes.select("node", F.col("node").alias("root"))
     of_class = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

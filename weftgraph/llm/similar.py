@@ -67,20 +67,20 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
 def classes(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an undirected edge table (a, b); root is the least node of its class.
 
-    Rounds of least-neighbour hooking and pointer jumping, each written to the
-    checkpoint folder; the rounds grow with the logarithm of a class's diameter.
+    Rounds of least-neighbour hooking in which roots learn what their members see,
+    each written to the checkpoint folder: classes grow together as wholes.
     Hubs are pre-aggregated before the shuffle.
     """
-    both = sessions.settle(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    edges = edges.select("a", "b").filter("a <> b")
+    both = sessions.settle(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = sessions.settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
         hooked = labels.join(near.select(F.col("a").alias("node"), "m"), "node").select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
-        # What a root learnt goes to those it leads: the least of what its members saw.
+        # What its members saw goes to a root, and on to all it leads.
         learnt = hooked.groupBy(F.col("old").alias("lead")).agg(F.min("root").alias("to"))
-        moved = sessions.settle(hooked.join(learnt, hooked["old"] == learnt["lead"]).select("node", F.least("root", "to").alias("root"), "old"))
-        jumped = moved.join(moved.select(F.col("node").alias("up"), F.col("root").alias("top")), F.col("root") == F.col("up"), "left").select("node", F.coalesce(F.least("root", "top"), "root").alias("root"), "old")
-        jumped = sessions.settle(jumped)
-        labels = jumped.select("node", "root")
-        if jumped.filter("root <> old").isEmpty():
+        moved = hooked.join(learnt, hooked["old"] == learnt["lead"]).select("node", F.least("root", "to").alias("root"), "old")
+        moved = sessions.settle(moved)
+        labels = moved.select("node", "root")
+        if moved.filter("root <> old").isEmpty():
             return labels
