@@ -38,7 +38,7 @@ from weftgraph.llm import sessions
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE, SEED, VARIANTS = 0.1, 29, 2
-CACHE = 700_000
+CACHE = 1_500_000
 SPACE = "▁"
 _PART = re.compile(r"▁*[^▁]+|▁+")
 
