@@ -5,11 +5,223 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph.functions import text
+from weftgraph.operators import model, neighbors, search, traverse
+from weftgraph.sources.entities import entity_edges, entity_nodes, table
+from weftgraph.streaming import snapshots
+
+#: The entity graph's edges in SQL.
+E = """e AS (
+  SELECT DISTINCT src, dst, type FROM (
+    SELECT concat('N', n_nationkey) AS src, concat('R', n_regionkey) AS dst, 'INHERITS' AS type FROM nation
+    UNION ALL SELECT concat('S', s_suppkey), concat('N', s_nationkey), 'IMPLEMENTS' FROM supplier
+    UNION ALL SELECT concat('C', c_custkey), concat('N', c_nationkey), 'INJECTS' FROM customer
+    UNION ALL SELECT concat('C', o_custkey), concat('O', o_orderkey), 'CONTAINS' FROM orders
+    UNION ALL SELECT concat('O', l_orderkey), concat('P', l_partkey), CASE l_returnflag WHEN 'A' THEN 'CALLS' WHEN 'N' THEN 'REFERENCES' ELSE 'RETURNS' END FROM lineitem
+    UNION ALL SELECT concat('O', l_orderkey), concat('S', l_suppkey), CASE l_linestatus WHEN 'O' THEN 'CALLS' ELSE 'REFERENCES' END FROM lineitem
+  )
+)"""
+OWN = "own AS (SELECT dst AS member, min(src) AS owner FROM e WHERE type = 'CONTAINS' GROUP BY 1)"
+NODES = """nodes AS (
+  SELECT concat('R', r_regionkey) AS id, 'Interface' AS kind, '/region' AS file, r_name AS name FROM region
+  UNION ALL SELECT concat('N', n_nationkey), 'Interface', '/nation', n_name FROM nation
+  UNION ALL SELECT concat('S', s_suppkey), 'Class', '/supplier', s_name FROM supplier
+  UNION ALL SELECT concat('C', c_custkey), 'Class', '/customer', c_name FROM customer
+  UNION ALL SELECT concat('P', p_partkey), 'Class', '/part', p_name FROM part
+  UNION ALL SELECT concat('O', o_orderkey), 'Method', '/orders', NULL FROM orders
+)"""
+
+_FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def _query(name: str, sql: str | None):
+    def add(f):
+        _FOUND[name] = (f, sql)
+        return f
+
+    return add
+
+
+@_query("graph_nodes", f"WITH {NODES} SELECT id, kind, file, name FROM nodes")
+def graph_nodes(spark, sf_dir):
+    return entity_nodes(spark, sf_dir)
+
+
+@_query("graph_edges", f"WITH {E} SELECT src, dst, type FROM e")
+def graph_edges(spark, sf_dir):
+    return entity_edges(spark, sf_dir)
+
+
+@_query("graph_counts", f"WITH {E}, {NODES} SELECT kind AS what, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT type, count(*) FROM e GROUP BY 1")
+def graph_counts(spark, sf_dir):
+    kinds = entity_nodes(spark, sf_dir).groupBy(F.col("kind").alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    return kinds.unionByName(entity_edges(spark, sf_dir).groupBy(F.col("type").alias("what")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@_query("graph_owners", f"WITH {E}, {OWN} SELECT member, owner FROM own")
+def graph_owners(spark, sf_dir):
+    return model.owners(entity_edges(spark, sf_dir))
+
+
+@_query("neighbors_all", f"""WITH {E}, {OWN},
+x AS (SELECT e.type, coalesce(so.owner, e.src) AS s, coalesce(d.owner, e.dst) AS d
+      FROM e LEFT JOIN own so ON so.member = e.src LEFT JOIN own d ON d.member = e.dst WHERE e.type <> 'CONTAINS')
+SELECT s AS node_id, d AS neighbor_id, 'out' AS direction, type AS edge_kind, count(*) AS n FROM x WHERE s <> d GROUP BY ALL
+UNION ALL SELECT d, s, 'in', type, count(*) FROM x WHERE s <> d GROUP BY ALL""")
+def neighbors_all(spark, sf_dir):
+    return neighbors.all_types(entity_edges(spark, sf_dir))
+
+
+def _neighbors_sql(scope: str) -> str:
+    return f"""WITH {E}, {OWN}, scope AS ({scope})
+SELECT coalesce(o.owner, e.dst) AS neighbor_id, 'out' AS direction, type AS edge_kind, count(*) AS n FROM e LEFT JOIN own o ON o.member = e.dst
+WHERE e.src IN (SELECT id FROM scope) AND e.dst NOT IN (SELECT id FROM scope) AND type <> 'CONTAINS' GROUP BY ALL
+UNION ALL SELECT coalesce(o.owner, e.src), 'in', type, count(*) FROM e LEFT JOIN own o ON o.member = e.src
+WHERE e.dst IN (SELECT id FROM scope) AND e.src NOT IN (SELECT id FROM scope) AND type <> 'CONTAINS' GROUP BY ALL"""
+
+
+for _name, _id in (("neighbors_one", "S5"), ("neighbors_customer", "C7"), ("neighbors_member", "O10")):
+    _scope = f"SELECT '{_id}' AS id" + ("" if _id[0] == "O" else f" UNION SELECT member FROM own WHERE owner = '{_id}'")
+    _query(_name, _neighbors_sql(_scope))(lambda spark, sf_dir, _id=_id: neighbors.of(entity_edges(spark, sf_dir), _id))
+
+
+def _impact_sql(seed: str, tail: str) -> str:
+    """Valid on this graph, where interfaces own no members and no two routes compete for one."""
+    return f"""WITH RECURSIVE {E}, {OWN},
+seed(id) AS (SELECT '{seed}' UNION SELECT dst FROM e WHERE src = '{seed}' AND type IN ('CONTAINS', 'IMPLEMENTS')),
+step AS (SELECT dst AS cur, src AS nxt, true AS rep FROM e WHERE type IN ('CALLS', 'INJECTS', 'REFERENCES', 'RETURNS', 'INHERITS', 'IMPLEMENTS')
+         UNION ALL SELECT src, dst, false FROM e WHERE type = 'IMPLEMENTS'),
+vis(id) AS (SELECT id FROM seed
+            UNION SELECT unnest([nxt, coalesce(o.owner, nxt)]) FROM vis JOIN step ON vis.id = step.cur LEFT JOIN own o ON o.member = step.nxt AND step.rep),
+hit AS (SELECT DISTINCT coalesce(o.owner, v.id) AS id FROM vis v LEFT JOIN own o ON o.member = v.id
+        WHERE v.id NOT IN (SELECT id FROM seed) AND coalesce(o.owner, v.id) NOT IN (SELECT id FROM seed))
+{tail}"""
+
+
+for _name, _id in (("impact_part", "P7"), ("impact_supplier", "S5"), ("impact_region", "R1"), ("impact_member", "O10")):
+    _query(_name, _impact_sql(_id, "SELECT id FROM hit"))(lambda spark, sf_dir, _id=_id: traverse.impact(entity_edges(spark, sf_dir), _id).select("id"))
+
+
+@_query("impact_files", _impact_sql("N3", "SELECT h.id, n.file FROM hit h JOIN nodes n ON n.id = h.id").replace("WITH RECURSIVE ", f"WITH RECURSIVE {NODES}, ", 1))
+def impact_files(spark, sf_dir):
+    found = traverse.impact(entity_edges(spark, sf_dir), "N3")
+    return found.join(entity_nodes(spark, sf_dir).select("id", "file").filter("file is not null"), "id").select("id", "file")
+
+
+def _path_sql(source: str, target: str) -> str:
+    """The length cap is safe because no path of this graph has more than four edges."""
+    return f"""WITH RECURSIVE {E}, o AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst, type) AS seq FROM e),
+w(node, path, ords) AS (
+  SELECT '{source}', ['{source}'], []::BIGINT[]
+  UNION ALL SELECT o.dst, list_append(path, o.dst), list_append(ords, o.seq) FROM w JOIN o ON o.src = w.node
+  WHERE NOT list_contains(path, o.dst) AND w.node <> '{target}' AND len(path) <= 6),
+best AS (SELECT path FROM w WHERE node = '{target}' ORDER BY len(path), ords LIMIT 1)
+SELECT CAST(step - 1 AS BIGINT) AS step, id FROM (SELECT unnest(path) AS id, generate_subscripts(path, 1) AS step FROM best)"""
+
+
+for _name, _from, _to in (("path_customer_region", "C1", "R1"), ("path_none", "P1", "C1"), ("path_self", "S5", "S5")):
+    _query(_name, _path_sql(_from, _to))(lambda spark, sf_dir, _from=_from, _to=_to: traverse.path(entity_edges(spark, sf_dir), _from, _to))
+
+
+def _part_candidates(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat(F.lit("/"), "p_brand", F.lit("/"), "p_type", F.lit(".cs")).alias("file"))
+    files = parts.groupBy("file").agg(F.min("p_partkey").alias("file_seq"))
+    own = files.select("file", "file_seq", F.lit(0).alias("is_method"), F.lit(-1).cast("long").alias("method_seq"), search.stem("file").alias("name"))
+    methods = parts.join(files, "file").select("file", "file_seq", F.lit(1).alias("is_method"), F.col("p_partkey").alias("method_seq"), F.col("p_name").alias("name"))
+    return own.unionByName(methods)
+
+
+def _search_sql(terms: list[str]) -> str:
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"""WITH p AS (SELECT p_partkey, p_name, '/' || p_brand || '/' || p_type || '.cs' AS file, p_type FROM part),
+q(term) AS (SELECT unnest([{listed}])),
+f AS (SELECT file, min(p_type) AS stem, min(p_partkey) AS file_seq FROM p GROUP BY file),
+cand AS (SELECT file, file_seq, 0 AS is_method, -1 AS method_seq, stem AS name FROM f
+         UNION ALL SELECT p.file, f.file_seq, 1, p.p_partkey, p.p_name FROM p JOIN f USING (file)),
+hit AS (SELECT cand.*, CASE WHEN bool_or(lower(name) = lower(term)) THEN 0 ELSE 1 END AS pass FROM cand JOIN q ON contains(lower(name), lower(term)) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (ORDER BY pass, file_seq, is_method, method_seq) AS rn, count(*) OVER () AS total FROM hit)
+SELECT file, is_method, method_seq, rn, total > 50 AS truncated FROM r WHERE rn <= 50"""
+
+
+for _name, _terms in (("search_truncated", ["part", "steel"]), ("search_parts", ["brass", "Small"]), ("search_no_match", ["zzzzz"])):
+    _query(_name, _search_sql(_terms))(lambda spark, sf_dir, _terms=_terms: search.search(_part_candidates(spark, sf_dir), _terms))
+
+
+def _snapshot(spark, sf_dir, current: bool):
+    docs = table(spark, sf_dir, "documents").filter(F.col("doc_id") % (11 if current else 10) != (5 if current else 3))
+    words = F.when((F.col("doc_id") % 7 == 0) & F.lit(current), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return docs.select(F.col("source").alias("project"), F.col("doc_id").alias("path"), text.checksum(words).alias("checksum"))
+
+
+_SNAPS = """a AS (SELECT source AS project, doc_id AS path, upper(sha256(text)) AS checksum FROM documents WHERE doc_id % 10 <> 3),
+b AS (SELECT source AS project, doc_id AS path, upper(sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END)) AS checksum FROM documents WHERE doc_id % 11 <> 5)"""
+
+
+@_query("freshness_diff", f"""WITH {_SNAPS}
+SELECT coalesce(a.project, b.project) AS project, coalesce(a.path, b.path) AS path,
+       CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS status
+FROM a FULL JOIN b ON a.project = b.project AND a.path = b.path WHERE a.checksum IS DISTINCT FROM b.checksum""")
+def freshness_diff(spark, sf_dir):
+    return snapshots.freshness(_snapshot(spark, sf_dir, False), _snapshot(spark, sf_dir, True))
+
+
+@_query("stage_merge", f"WITH {_SNAPS} SELECT project, path, checksum FROM b")
+def stage_merge(spark, sf_dir):
+    old, new = _snapshot(spark, sf_dir, False), _snapshot(spark, sf_dir, True)
+    diff = snapshots.freshness(old, new)
+    upserts = new.join(diff.filter("status <> 'removed'"), ["project", "path"], "left_semi")
+    return snapshots.stage(old, diff.filter("status = 'removed'"), upserts)
+
+
+@_query("invalidation_closure", """WITH RECURSIVE seen(id) AS (
+  SELECT n_nationkey FROM nation WHERE n_nationkey IN (2, 7)
+  UNION SELECT n.n_nationkey FROM seen s JOIN nation n ON n.n_nationkey // 2 = s.id AND n.n_nationkey > 0)
+SELECT id FROM seen""")
+def invalidation_closure(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").select("n_nationkey").filter("n_nationkey > 0")
+    links = nations.select(F.expr("n_nationkey div 2").cast("int").alias("src"), F.col("n_nationkey").alias("dst"))
+    return traverse.closure(links, nations.filter("n_nationkey in (2, 7)").select(F.col("n_nationkey").alias("id")))
+
+
+@_query("coverage_report", """SELECT source AS project, count(*) AS total, count(*) FILTER (l.doc_id IS NOT NULL) AS loaded, count(*) FILTER (l.doc_id IS NULL) AS skipped,
+  count(*) FILTER (lang <> 'en') AS unsupported, CASE WHEN count(l.doc_id) = 0 THEN 'empty' WHEN count(l.doc_id) < count(*) THEN 'partial' ELSE 'complete' END AS status
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source""")
+def coverage_report(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("loaded")).distinct()
+    joined = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(labels, "doc_id", "left")
+    count = lambda c: F.count(F.when(c, 1))
+    sums = joined.groupBy(F.col("source").alias("project")).agg(F.count(F.lit(1)).alias("total"), count(F.col("loaded").isNotNull()).alias("loaded"), count(F.col("loaded").isNull()).alias("skipped"), count(F.col("lang") != "en").alias("unsupported"))
+    return sums.withColumn("status", F.when(F.col("loaded") == 0, "empty").when(F.col("loaded") < F.col("total"), "partial").otherwise("complete"))
+
+
+@_query("source_filter", r"SELECT page_id, url FROM pages WHERE url <> '' AND NOT regexp_matches(lower(replace(url, '\', '/')), '\.g\.cs$|/obj/|/bin/')")
+def source_filter(spark, sf_dir):
+    return table(spark, sf_dir, "pages").filter(text.is_source(F.col("url"))).select("page_id", "url")
+
+
+@_query("ctor_argmax", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem) WHERE rn = 1""")
+def ctor_argmax(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    best = F.min(F.struct((-F.col("l_quantity")).alias("q"), "l_linenumber", "l_partkey", "l_suppkey")).alias("x")
+    return rows.groupBy("l_orderkey").agg(best).select("l_orderkey", "x.l_linenumber", "x.l_partkey", "x.l_suppkey", (-F.col("x.q")).alias("l_quantity"))
+
+
+@_query("signature_format", """WITH m AS (SELECT *, CASE o_orderstatus WHEN 'O' THEN 'public' WHEN 'F' THEN 'internal' ELSE 'private' END AS access FROM orders)
+SELECT o_orderkey, access, CASE WHEN access = 'public' THEN '' ELSE access || ' ' END || 'Order' || o_orderkey || '(key:' || o_custkey || ', priority:' || o_orderpriority || '): ' || o_orderstatus AS signature FROM m""")
+def signature_format(spark, sf_dir):
+    s = lambda c: F.col(c).cast("string")
+    modifier = F.when(F.col("o_orderstatus") == "O", F.array(F.lit("static"), F.lit("public"))).when(F.col("o_orderstatus") == "F", F.array(F.lit("internal"))).otherwise(F.array().cast("array<string>"))
+    level = text.access(modifier, "private")
+    params = F.array(F.struct(F.lit("key").alias("name"), s("o_custkey").alias("type")), F.struct(F.lit("priority").alias("name"), s("o_orderpriority").alias("type")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", level.alias("access"), text.signature(level, F.concat(F.lit("Order"), s("o_orderkey")), params, F.col("o_orderstatus")).alias("signature"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for k, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _FOUND.items() if sql}

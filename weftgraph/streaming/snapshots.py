@@ -1,0 +1,33 @@
+"""Incremental maintenance: staging, freshness and coverage of document sets."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+KEY = ("project", "path")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder of the session; one of our own only where it names none."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weft-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def stage(documents: DataFrame, removed: DataFrame, upserts: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """The next snapshot: documents without the removed and replaced ones, and the new rows."""
+    keys = removed.select(*key).unionByName(upserts.select(*key)).distinct()
+    return documents.join(keys, list(key), "left_anti").unionByName(upserts)
+
+
+def freshness(stored: DataFrame, current: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """(key, status): added, removed or changed, by checksum."""
+    a = stored.select(*key, F.col("checksum").alias("was"), F.lit(True).alias("had"))
+    b = current.select(*key, F.col("checksum").alias("is"), F.lit(True).alias("has"))
+    both = a.join(b, list(key), "full_outer")
+    status = F.when(F.col("had").isNull(), "added").when(F.col("has").isNull(), "removed").when(~F.col("was").eqNullSafe(F.col("is")), "changed")
+    return both.select(*key, status.alias("status")).filter("status is not null")
