@@ -165,6 +165,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         l, m = leaders.alias("l"), members.alias("m")
         alike = F.least("l.n", "m.n") >= F.lit(least) * F.greatest("l.n", "m.n")
         pairs = m.join(l, (F.col("m.key") == F.col("l.key")) & (F.col("l.node") < F.col("m.node")) & (F.col("l.root") != F.col("m.root")) & alike).groupBy(F.col("l.node").alias("a"), F.col("m.node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+        if limit is None:
+            # All texts of a band are here, so a pair meets once for each band that it shares.
+            pairs = pairs.filter(F.col("times") >= SHARED)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         if limit is not None:
