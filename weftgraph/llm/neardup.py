@@ -11,7 +11,11 @@ coordinate with the weighted Jaccard similarity as probability, and making one
 costs one pass over the elements plus the darts.
 
 Signatures are cut into bands, texts that share a band are joined, and each
-joined pair is verified with exact Jaccard over the texts' word shingles.
+joined pair is verified with exact Jaccard over the texts' word shingles. Before
+that a pair must pass a bound: each text has ODD longs of parity bits (the number
+of its shingles in each of 64 ODD hash buckets, odd or even). Two texts' bits
+differ in at most as many places as their sets have shingles that the other
+lacks, so the bound loses no similar pair. The join itself applies it.
 
 Texts with one shingle set are one node from the start (only counted). Within
 the texts that share a band, all are first compared with the least node; classes
@@ -33,7 +37,9 @@ ignored here and kept by ``keep_first``.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +57,8 @@ WIDTH, LEAST = 5, 0.8
 LEADERS = 32
 #: Partners of a text, those that share most bands, that a round before the last verifies.
 LIKELY = 3
+#: 64-bit words of a text's parity bits.
+ODD = 16
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -101,13 +109,27 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
     return mix(value + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0x8EBC6AF09C88C6E3)).astype(np.int64)
 
 
+def parities(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """n x ODD words: for each bucket of hashes, whether the owner has an odd number of values there."""
+    out = np.zeros(n * ODD, np.uint64)
+    at = mix(value ^ np.uint64(0xE7037ED1A0B428DB))
+    word = (at >> np.uint64(6)) % np.uint64(ODD)
+    np.bitwise_xor.at(out, owner * ODD + word.astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out.view(np.int64).reshape(n, ODD)
+
+
+def _lists(table: np.ndarray) -> pa.Array:
+    """The rows of a table as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]), pa.array(table.reshape(-1)))
+
+
 def _sketch(width: int, bands: int, rows: int):
-    """(.., text) to (.., node, n, bands): node is a hash of the shingle set, n its size."""
+    """(.., text) to (.., node, n, bands, odd): node is a hash of the shingle set, n its size, odd its parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(batch.num_columns - 1))
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, odd = [], [], [], []
             for a, b in slices(offsets):
                 scan = Scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 unit, value = distinct(*scan.shingles(width))
@@ -122,11 +144,10 @@ def _sketch(width: int, bands: int, rows: int):
                 if len(some):
                     table[some] = band_keys(dart_signatures(small, value, np.ones(len(value)), len(some), bands * rows), bands)
                 keys.append(table)
+                odd.append(parities(unit, value, b - a))
             if not nodes:
                 continue
-            flat = np.concatenate(keys)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * bands), pa.array(flat.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes).astype(np.int64)), lists], names=["k", "id", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes).astype(np.int64)), _lists(np.concatenate(keys)), _lists(np.concatenate(odd))], names=["k", "id", "node", "n", "bands", "odd"])
 
     return run
 
@@ -143,10 +164,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     sessions.prepare(spark)
     read = docs.select(_key(doc_id, text).alias("k"), F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    seen = sessions.settle(read.mapInArrow(_sketch(width, bands, rows), "k bigint, id bigint, node bigint, n bigint, bands array<bigint>"))
-    least_row = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k", "n", "bands"))
-    nodes = sessions.settle(seen.filter("n > 0").groupBy("node").agg(least_row.alias("x"), F.count(F.lit(1)).alias("copies")).select("node", "x.id", "x.k", "x.n", "x.bands", "copies"))
-    places = nodes.select("node", "n", F.explode("bands").alias("key"))
+    seen = sessions.settle(read.mapInArrow(_sketch(width, bands, rows), "k bigint, id bigint, node bigint, n bigint, bands array<bigint>, odd array<bigint>"))
+    least_row = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k", "n", "bands", "odd"))
+    nodes = sessions.settle(seen.filter("n > 0").groupBy("node").agg(least_row.alias("x"), F.count(F.lit(1)).alias("copies")).select("node", "x.id", "x.k", "x.n", "x.bands", "x.odd", "copies"))
+    odd = [f"odd{i}" for i in range(ODD)]
+    places = nodes.select("node", "n", *[F.col("odd")[i].alias(c) for i, c in enumerate(odd)], F.explode("bands").alias("key"))
     many = places.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = sessions.settle(places.join(many, "key").withColumn("root", F.col("node")))
     wanted = members.select("node").distinct().join(nodes.select("node", "k"), "node")
@@ -157,14 +179,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if members.isEmpty():
             break
         if limit == 1:
-            leaders = members.groupBy("key").agg(F.min(F.struct("node", "n", "root")).alias("x")).select("key", "x.*")
+            leaders = members.groupBy("key").agg(F.min(F.struct("node", "n", "root", *odd)).alias("x")).select("key", "x.*")
         elif limit is None:
             leaders = members
         else:
-            leaders = members.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node"))).filter(F.col("rank") <= limit).select("key", "node", "n", "root")
+            leaders = members.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node"))).filter(F.col("rank") <= limit).select("key", "node", "n", "root", *odd)
         l, m = leaders.alias("l"), members.alias("m")
         alike = F.least("l.n", "m.n") >= F.lit(least) * F.greatest("l.n", "m.n")
-        pairs = m.join(l, (F.col("m.key") == F.col("l.key")) & (F.col("l.node") < F.col("m.node")) & (F.col("l.root") != F.col("m.root")) & alike).groupBy(F.col("l.node").alias("a"), F.col("m.node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+        # Sets with a similarity of t differ in (1 - t) / (1 + t) of their sizes' sum.
+        apart = reduce(operator.add, [F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"m.{c}"))) for c in odd])
+        near = apart <= F.lit((1 - least) / (1 + least)) * (F.col("l.n") + F.col("m.n")) + F.lit(1e-6)
+        pairs = m.join(l, (F.col("m.key") == F.col("l.key")) & (F.col("l.node") < F.col("m.node")) & (F.col("l.root") != F.col("m.root")) & alike & near).groupBy(F.col("l.node").alias("a"), F.col("m.node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
         if limit is None:
             # All texts of a band are here, so a pair meets once for each band that it shares.
             pairs = pairs.filter(F.col("times") >= SHARED)
@@ -176,9 +201,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             pairs = pairs.withColumn("likely", likely).filter(F.col("likely") <= LIKELY)
         pairs = pairs.select("a", "b")
         pairs = sessions.settle(pairs)
-        of = nodes.select("node", "bands")
-        shared = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda z: z)) >= SHARED
-        close = pairs.join(of.select(F.col("node").alias("a"), F.col("bands").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("bands").alias("y")), "b").filter(shared).select("a", "b")
+        close = pairs
+        if limit is not None:
+            of = nodes.select("node", "bands")
+            shared = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda z: z)) >= SHARED
+            close = pairs.join(of.select(F.col("node").alias("a"), F.col("bands").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("bands").alias("y")), "b").filter(shared).select("a", "b")
         links = sessions.settle(similar.verified(close, texts, width, least))
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not links.isEmpty():
@@ -195,7 +222,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         # Keys whose texts are all in one class, or that were compared to the end, are done.
         left = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
         if limit is not None:
-            members = sessions.settle(members.join(left, "key").select("node", "n", "key", "size", "root"))
+            members = sessions.settle(members.join(left, "key").select("node", "n", "key", "size", "root", *odd))
     if roots is None:
         roots = nodes.select("node", F.col("node").alias("root"))
     of_class = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
