@@ -168,9 +168,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least_row = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k", "n", "bands", "odd"))
     nodes = sessions.settle(seen.filter("n > 0").groupBy("node").agg(least_row.alias("x"), F.count(F.lit(1)).alias("copies")).select("node", "x.id", "x.k", "x.n", "x.bands", "x.odd", "copies"))
     odd = [f"odd{i}" for i in range(ODD)]
-    places = nodes.select("node", "n", *[F.col("odd")[i].alias(c) for i, c in enumerate(odd)], F.explode("bands").alias("key"))
+    places = nodes.select("node", "n", F.explode("bands").alias("key"))
     many = places.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = sessions.settle(places.join(many, "key").withColumn("root", F.col("node")))
+    # Most places have no partner: the parity bits are fetched for the rest only.
+    bits = nodes.select("node", *[F.col("odd")[i].alias(c) for i, c in enumerate(odd)])
+    members = sessions.settle(places.join(many, "key").join(bits, "node").withColumn("root", F.col("node")))
     wanted = members.select("node").distinct().join(nodes.select("node", "k"), "node")
     texts = sessions.settle(read.select("k", "text").join(wanted, "k").groupBy("node").agg(F.min("text").alias("text")))
     roots: DataFrame | None = None
