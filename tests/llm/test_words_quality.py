@@ -83,3 +83,18 @@ def test_assess_keeps_clean_text(spark):
     good = quality.keep_good(df)
     assert good.columns == df.columns and good.count() == 3
     assert quality.assess(df.limit(0)).count() == 0
+
+
+def test_repeated_passages_fail_texts_that_the_base_rule_keeps(spark):
+    fresh = lambda tag, k: [f"{tag}{i:05d}" for i in range(k)]
+    passage, long, short = fresh("p", 70), fresh("q", 110), fresh("r", 20)
+    texts = {
+        1: passage + fresh("a", 90) + passage + fresh("b", 90),  # 44 % covered, longest repeat over neither floor nor share by much
+        2: long + fresh("c", 400) + long + fresh("d", 380),  # 22 % covered, one repeat of 11 %
+        3: short + fresh("e", 130) + short + fresh("f", 130),  # 13 % covered
+    }
+    df = spark.createDataFrame([(i, " ".join(ws)) for i, ws in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.assess(df).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i: r.kept for i, r in got.items()} == {1: False, 2: False, 3: True}
+    assert got[2].covered < 0.3 and got[2].longest_repeat == 110

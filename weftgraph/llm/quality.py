@@ -41,13 +41,17 @@ class Limits:
     a repeated substring counts. max_covered: largest fraction of word
     characters inside such repeats. max_longest: most words of one repeat, as a
     fraction of the text's words and never under longest_floor words.
+
+    Words in repeats of min_repeat words are among those that the base rule counts,
+    so max_covered binds only under max_repeat_percent, and max_longest, of which
+    two places are covered, only under half of max_covered.
     """
 
     min_words: int = 50
     max_repeat_percent: int = 50
     min_repeat: int = 10
-    max_covered: float = 0.5
-    max_longest: float = 0.25
+    max_covered: float = 0.3
+    max_longest: float = 0.1
     longest_floor: int = 60
 
 
