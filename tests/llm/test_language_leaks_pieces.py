@@ -96,6 +96,24 @@ def test_spans_of_a_part_are_exact():
     assert leaks.spans("") == ([], [])
 
 
+def test_equal_parts_are_found_at_each_place():
+    secret = b"token=abcdefabcdefzz"
+    plain, packed = base64.b64encode(secret).decode(), base64.b64encode(gzip.compress(secret)).decode()
+    twice = base64.b64encode(f"{plain} and {plain}".encode()).decode()
+    for parts in ([plain, plain], [packed, packed], [plain, packed, plain], [twice, twice]):
+        text = " | ".join(parts)
+        starts = [sum(len(p) + 3 for p in parts[:i]) for i in range(len(parts))]
+        found = [(a, b) for kind, a, b in leaks.spans(text)[1] if kind == "assign"]
+        assert len(found) == (4 if parts[0] == twice else len(parts))
+        for at, part in zip(starts, parts):
+            assert sum(at <= a and b <= at + len(part) for a, b in found) == (2 if part == twice else 1)
+
+
+def test_deep_nesting_ends():
+    deep = "%" + "25" * 3000 + "41KIA" + "B" * 16
+    assert ("access", 0, len(deep)) in leaks.spans(deep)[1]
+
+
 def test_leaks_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "token: abcdefghijkl", "x"), (None, "a" * 100_000, "x")], "doc_id long, text string, base string")
     got = {r.doc_id: r for r in leaks.digests(leaks.find(df)).collect()}

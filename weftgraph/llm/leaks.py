@@ -1,10 +1,11 @@
 """Secret scans through layers of encoding.
 
-Method. A worklist starts with the text itself. Each layer is scanned for
+Method. Work starts with the text itself. Each layer is scanned for
 secrets, then for encoded parts: percent escapes, Unicode escapes and character
 references, base64 runs, and zlib or gzip data inside them. Each part that
-decodes to text becomes a layer of its own and joins the worklist. A layer that
-was seen before in the text (by digest) isn't worked on again, so cycles end;
+decodes to text becomes a layer of its own, worked on before the next part. What
+was found in a layer is kept by its digest and mapped through every further place
+of the same content; a layer inside an equal one isn't worked on, so cycles end;
 every layer is made of fewer or equal bytes than the one around it, except
 decompressed ones, which are read up to ``MAX_INFLATED`` bytes at a time and
 only as long as they are text. Spans found in a layer are mapped back through
@@ -66,16 +67,12 @@ class Layer:
     equal lengths maps place by place.
     """
 
-    def __init__(self, text: str, parent: Layer | None, marks: list[int], lows: list[int], highs: list[int]):
-        self.text, self.parent, self.marks, self.lows, self.highs = text, parent, marks, lows, highs
+    def __init__(self, text: str, marks: list[int], lows: list[int], highs: list[int]):
+        self.text, self.marks, self.lows, self.highs = text, marks, lows, highs
 
     def up(self, start: int, end: int) -> tuple[int, int]:
-        """The span of the whole text that start..end was made from."""
-        layer = self
-        while layer.parent is not None:
-            start, end = layer._one(start, False), layer._one(end - 1, True)
-            layer = layer.parent
-        return start, end
+        """The span of the parent's text that start..end was made from."""
+        return self._one(start, False), self._one(end - 1, True)
 
     def _one(self, place: int, last: bool) -> int:
         i = bisect_right(self.marks, place) - 1
@@ -118,7 +115,7 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
         marks.append(size), lows.append(at), highs.append(len(layer.text))
         out.append(layer.text[at:])
     text = "".join(out)
-    return Layer(text, layer, marks, lows, highs) if text else None
+    return Layer(text, marks, lows, highs) if text else None
 
 
 def _percent(m: re.Match) -> str | None:
@@ -163,7 +160,7 @@ def _runs(layer: Layer) -> Iterator[Layer]:
         if inflated is not None:
             text = _texty(inflated)
             if text:
-                yield Layer(text, layer, [0], [m.start()], [m.end()])
+                yield Layer(text, [0], [m.start()], [m.end()])
             continue
         text = _texty(data)
         if text is None:
@@ -171,9 +168,9 @@ def _runs(layer: Layer) -> Iterator[Layer]:
         if len(text) == len(data):  # ASCII: three characters from each quartet
             marks = list(range(0, len(text), 3))
             lows = [m.start() + i // 3 * 4 for i in marks]
-            yield Layer(text, layer, marks, lows, [min(x + 4, m.end()) for x in lows])
+            yield Layer(text, marks, lows, [min(x + 4, m.end()) for x in lows])
         else:
-            yield Layer(text, layer, [0], [m.start()], [m.end()])
+            yield Layer(text, [0], [m.start()], [m.end()])
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
@@ -186,22 +183,44 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
     yield from _runs(layer)
 
 
+class _Open:
+    """A layer that is worked on: its inner layers to come, spans found so far, and the outermost open layer that a cycle led back to."""
+
+    def __init__(self, layer: Layer, digest: bytes, depth: int):
+        self.layer, self.digest, self.low = layer, digest, depth
+        self.inner, self.found = unwrap(layer), set(scan(layer.text))
+
+
 def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans) of a whole text, each in order of start, then kind."""
     base = scan(text)
-    every = set(base)
-    seen = {hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest()}
-    work = [Layer(text, None, [], [], [])]
-    while work:
-        for inner in unwrap(work.pop()):
+    digest = hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest()
+    work, depths = [_Open(Layer(text, [], [], []), digest, 0)], {digest: 0}
+    done: dict[bytes, set[tuple[str, int, int]]] = {}
+    while True:
+        here = work[-1]
+        inner = next(here.inner, None)
+        if inner is not None:
             digest = hashlib.sha1(inner.text.encode("utf-8", "surrogatepass")).digest()
-            if digest in seen:
-                continue
-            seen.add(digest)
-            every.update((kind, *inner.up(a, b)) for kind, a, b in scan(inner.text))
-            work.append(inner)
+            if digest in depths:
+                here.low = min(here.low, depths[digest])
+            elif digest in done:
+                here.found.update((kind, *inner.up(a, b)) for kind, a, b in done[digest])
+            else:
+                depths[digest] = len(work)
+                work.append(_Open(inner, digest, len(work)))
+            continue
+        work.pop()
+        del depths[here.digest]
+        if not work:
+            break
+        if here.low < len(work):  # what a cycle cut off is known to an outer layer only
+            work[-1].low = min(work[-1].low, here.low)
+        else:
+            done[here.digest] = here.found
+        work[-1].found.update((kind, *here.layer.up(a, b)) for kind, a, b in here.found)
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
-    return sorted(base, key=order), sorted(every, key=order)
+    return sorted(base, key=order), sorted(here.found, key=order)
 
 
 def joined(found: list[tuple[str, int, int]]) -> str:
