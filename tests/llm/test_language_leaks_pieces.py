@@ -114,6 +114,23 @@ def test_deep_nesting_ends():
     assert ("access", 0, len(deep)) in leaks.spans(deep)[1]
 
 
+def test_compressed_parts_are_read_to_their_end():
+    def found(data):
+        coded = base64.b64encode(data).decode()
+        return (4, 4 + len(coded)) in [(a, b) for kind, a, b in leaks.spans("so: " + coded)[1] if kind == "assign"]
+
+    secret = b" token=abcdefabcdefzz"
+    assert found(gzip.compress(b"word, " * 3_000_000 + secret))
+    assert found(gzip.compress("é, ".encode() * 6_000_000 + secret))
+    assert found(gzip.compress(b"plain ") + gzip.compress(b"") + gzip.compress(secret))
+    assert found(gzip.compress(b"\x01\x02" * 5000 + secret))
+    assert found(gzip.compress(b"\xff\xfe" * 50 + secret))
+    # A secret that lies across the place where the data are taken apart.
+    assert found(gzip.compress(b"x" * (leaks.MAX_INFLATED - 8) + secret))
+    plain = base64.b64encode(b"\x01\x02\x03" * 2000 + secret).decode()
+    assert [x[0] for x in leaks.spans(plain)[1]] == ["assign"]
+
+
 def test_leaks_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "token: abcdefghijkl", "x"), (None, "a" * 100_000, "x")], "doc_id long, text string, base string")
     got = {r.doc_id: r for r in leaks.digests(leaks.find(df)).collect()}

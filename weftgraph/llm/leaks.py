@@ -7,8 +7,8 @@ decodes to text becomes a layer of its own, worked on before the next part. What
 was found in a layer is kept by its digest and mapped through every further place
 of the same content; a layer inside an equal one isn't worked on, so cycles end;
 every layer is made of fewer or equal bytes than the one around it, except
-decompressed ones, which are read up to ``MAX_INFLATED`` bytes at a time and
-only as long as they are text. Spans found in a layer are mapped back through
+decompressed ones, which are read to their end, ``MAX_INFLATED`` bytes at a time,
+and cut into layers where no secret and no encoded part can be cut. Spans found in a layer are mapped back through
 the layers to code points of the text: escapes are mapped piece by piece, base64
 by its quartets, compressed layers to the whole run.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import html
 import re
@@ -43,8 +44,10 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{?([0-9A-Fa-f]{4,6})\}?|\\x([0-9A-Fa-f]{2})|&#[xX]?[0-9A-Fa-f]+;|&(?:quot|amp|apos|lt|gt|equals|colon);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Bytes that one compressed part may give before the rest of it is read as a layer of its own.
-MAX_INFLATED = 1 << 24
+#: Bytes of compressed data that are decompressed at once.
+MAX_INFLATED = 1 << 20
+#: Characters that are in no secret and no encoded part: data are cut after them.
+_APART = "\n\r\t,()!?<>[]|\ufffd"
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -64,11 +67,11 @@ class Layer:
 
     marks: sorted places in this text; lows, highs: for the part from each mark
     to the next, the span of the parent's text it was made from. A part with
-    equal lengths maps place by place.
+    equal lengths maps place by place, unless whole is set.
     """
 
-    def __init__(self, text: str, marks: list[int], lows: list[int], highs: list[int]):
-        self.text, self.marks, self.lows, self.highs = text, marks, lows, highs
+    def __init__(self, text: str, marks: list[int], lows: list[int], highs: list[int], whole: bool = False):
+        self.text, self.marks, self.lows, self.highs, self.whole = text, marks, lows, highs, whole
 
     def up(self, start: int, end: int) -> tuple[int, int]:
         """The span of the parent's text that start..end was made from."""
@@ -77,20 +80,17 @@ class Layer:
     def _one(self, place: int, last: bool) -> int:
         i = bisect_right(self.marks, place) - 1
         size = (self.marks[i + 1] if i + 1 < len(self.marks) else len(self.text)) - self.marks[i]
-        if self.highs[i] - self.lows[i] == size:
+        if self.highs[i] - self.lows[i] == size and not self.whole:
             return self.lows[i] + place - self.marks[i] + last
         return self.highs[i] if last else self.lows[i]
 
 
 def _texty(data: bytes) -> str | None:
-    """The bytes as text, if they are UTF-8 and nearly all printable."""
+    """The bytes as text, if they are UTF-8."""
     try:
-        text = data.decode("utf-8")
+        return data.decode("utf-8") or None
     except UnicodeDecodeError:
         return None
-    if not text or sum(c.isprintable() or c in "\t\n\r" for c in text[:4096]) < 0.95 * min(len(text), 4096):
-        return None
-    return text
 
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -133,14 +133,41 @@ def _escape(m: re.Match) -> str | None:
     return html.unescape(m[0])
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """Decompressed zlib or gzip data, up to MAX_INFLATED bytes."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0):
+def _packed(data: bytes) -> bool:
+    """Whether the bytes begin like zlib or gzip data."""
+    return data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0)
+
+
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """All that zlib or gzip data decompress to, all members one after another, at most MAX_INFLATED bytes at a time; up to a fault in the data."""
+    while _packed(data):
+        stream = zlib.decompressobj(47)
         try:
-            return zlib.decompressobj(47).decompress(data, MAX_INFLATED)
+            while not stream.eof:
+                part = stream.decompress(data, MAX_INFLATED)
+                if part:
+                    yield part
+                elif not stream.unconsumed_tail:
+                    break
+                data = stream.unconsumed_tail
         except zlib.error:
-            return None
-    return None
+            return
+        data = stream.unused_data
+
+
+def _windows(data: bytes) -> Iterator[str]:
+    """The decompressed text, cut only after characters that no secret and no encoded part holds. Bytes that aren't UTF-8 become U+FFFD, which is such a one."""
+    decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), []
+    for part in _inflated(data):
+        text = decoder.decode(part)
+        cut = max(map(text.rfind, _APART)) + 1
+        if cut:
+            yield "".join([*held, text[:cut]])
+            held = []
+        held.append(text[cut:])
+    held.append(decoder.decode(b"", True))
+    if rest := "".join(held):
+        yield rest
 
 
 def _runs(layer: Layer) -> Iterator[Layer]:
@@ -156,12 +183,13 @@ def _runs(layer: Layer) -> Iterator[Layer]:
             data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        inflated = _inflate(data)
-        if inflated is not None:
-            text = _texty(inflated)
-            if text:
-                yield Layer(text, [0], [m.start()], [m.end()])
-            continue
+        if _packed(data):
+            inflated = False
+            for text in _windows(data):
+                inflated = True
+                yield Layer(text, [0], [m.start()], [m.end()], whole=True)
+            if inflated:
+                continue
         text = _texty(data)
         if text is None:
             continue
