@@ -131,6 +131,16 @@ def test_compressed_parts_are_read_to_their_end():
     assert [x[0] for x in leaks.spans(plain)[1]] == ["assign"]
 
 
+@pytest.mark.parametrize("text", ["token\\u003dabc123def456", "\\u0070assword=abc123def456", "token\\u{3d}abc123def456", "token\\U0000003dabc123def456", "token\\x3dabc123def456", "token\\u{00003D}abc123def456"])
+def test_escapes_before_hex_text(text):
+    assert ("assign", 2, 2 + len(text)) in leaks.spans(f"a {text}")[1]
+
+
+def test_escapes_take_their_own_digits_only():
+    decoded = [x.text for x in leaks.unwrap(leaks.Layer("\\ud83d\\ude00a1 \\u00e9a1b2 \\u0041} \\ud83d", [], [], []))]
+    assert decoded == ["\U0001f600a1 éa1b2 A} \\ud83d"]
+
+
 def test_leaks_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "token: abcdefghijkl", "x"), (None, "a" * 100_000, "x")], "doc_id long, text string, base string")
     got = {r.doc_id: r for r in leaks.digests(leaks.find(df)).collect()}

@@ -42,7 +42,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs of 16 and more are the runs of ``[0-9a-f]+`` that have 16 and more characters.
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"\\u\{?([0-9A-Fa-f]{4,6})\}?|\\x([0-9A-Fa-f]{2})|&#[xX]?[0-9A-Fa-f]+;|&(?:quot|amp|apos|lt|gt|equals|colon);")
+#: Four digits, or two surrogates of four; eight after a capital U; one to six in braces.
+_UNICODE = re.compile(
+    r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})"
+    r"|&#[xX]?[0-9A-Fa-f]+;|&(?:quot|amp|apos|lt|gt|equals|colon);"
+)
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Bytes of compressed data that are decompressed at once.
 MAX_INFLATED = 1 << 20
@@ -126,7 +130,9 @@ def _percent(m: re.Match) -> str | None:
 
 
 def _escape(m: re.Match) -> str | None:
-    digits = m[1] or m[2]
+    if m[1]:
+        return chr(0x10000 + (int(m[1], 16) - 0xD800 << 10) + int(m[2], 16) - 0xDC00)
+    digits = m[3] or m[4] or m[5] or m[6]
     if digits:
         point = int(digits, 16)
         return chr(point) if point < 0x110000 and not 0xD800 <= point < 0xE000 else None
