@@ -144,3 +144,43 @@ def test_lines_of_odd_tables(spark):
     rows = [(None, line), (3, line + "\n" + line), (3, line + "\n" + line), (4, None), (5, "")]
     got = sorted((str(r.doc_id), r.removed_lines) for r in linededup.clean(spark.createDataFrame(rows, schema)).collect())
     assert got == [("3", [1]), ("3", [1]), ("4", []), ("5", []), ("None", [0])]
+
+
+def line_links(docs, least_words=5):
+    """(class, number of links) of each document by brute force."""
+    lines = [(i, frozenset(shingles(x))) for i, t in docs for x in (t or "").split("\n") if len(WORD.findall(x)) >= least_words]
+    root, links = {i: i for i, _ in docs}, {i: 0 for i, _ in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, (i, s) in enumerate(lines):
+        for j, e in lines[:x]:
+            if s == e or jaccard(s, e) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+                if s != e:
+                    links[i] += 1
+                    links[j] += 1
+    return {i: (find(i), links[i]) for i, _ in docs}
+
+
+def test_links_and_classes_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "TILE", 20)
+    rng = random.Random(9)
+    make = lambda k: [f"w{rng.randrange(900)}" for _ in range(k)]
+    hot, pool = make(50), [make(rng.randint(5, 40)) for _ in range(40)]
+    docs = []
+    for i in range(150):
+        bases = [hot] if i < 70 else [rng.choice(pool) for _ in range(rng.randint(0, 2))]
+        lines = [" ".join(vary(rng, base, rng.randint(0, 1))) for base in bases] + [" ".join(make(12))]
+        docs.append((i, "\n".join(lines) if rng.random() > 0.05 else None))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    want = line_links(docs)
+    assert max(n for _, n in want.values()) > 30
+    rows = linededup.linked(df).collect()
+    assert {r.doc_id: (r.class_id, r.links) for r in rows} == want and len(rows) == len(docs)
+    gone = removed_lines(docs)
+    assert {r.doc_id: r.removed_lines for r in rows if r.removed_lines} == gone

@@ -10,10 +10,10 @@ overlap (positional filter). Pairs that pass are verified by exact Jaccard, and
 a line goes if an earlier line, by document id and line number, is similar.
 
 Lines with one token set are joined as one (its first line), copies only follow.
-For each shared token the candidates are compared with the first line, then,
-where no match was found yet, with the first 8, 64, ... lines until all earlier
-ones were tried: a large group of similar lines costs about its size, and a line
-stays only after every candidate failed.
+The sets that share a token are compared with each other in tiles of bounded size,
+each pair under the first token it shares, so every link between different sets is
+found once. A group of g sets costs g * g comparisons, spread over its tiles; what
+leaves a tile is one row per set, with its number of links, weighted by copies.
 
 Defined results. Null and empty texts have no lines with words. Lines under
 ``min_words`` words have no whole shingle; they are never removed. Rows that
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import bitmaps, sessions, similar
@@ -44,6 +44,8 @@ BUCKET_BITS, PIECES = 20, 16
 _TURN = 44
 #: Token sets that a task remembers, so that it sends the prefix of a repeated line once.
 REMEMBERED = 500_000
+#: Token sets on each side of a tile of pairs.
+TILE = 512
 
 
 def _scan(data: np.ndarray, offsets: np.ndarray, width: int, min_words: int):
@@ -202,19 +204,114 @@ def _cut(marks):
     return run
 
 
+def _dealt(todo: DataFrame, firsts: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+    """The sets that share a token, with order, copies and text, in tiles of about TILE sets by TILE: (token, i, j, side, node, no, id, k, line, copies, text).
+
+    A large group goes to as many tiles as its pairs fill, so no task holds it whole.
+    """
+    tiles = F.ceil(F.col("size") / F.lit(TILE)).cast("long")
+    cut = todo.select("token", "node", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).alias("own"))
+    to = cut.select("token", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    sides = to.select("token", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("long").alias("side"))
+    info = texts.join(firsts, "node").select("node", F.col("at.no").cast("long").alias("no"), F.coalesce("at.id", F.lit(0)).alias("id"), F.col("at.k").alias("k"), F.col("at.line").alias("line"), "copies", "text")
+    rows = sides.join(info, "node").select("token", "i", "j", "side", "node", "no", "id", "k", "line", "copies", "text")
+    return rows.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "side", "node")
+
+
+def _similar(sets: list[np.ndarray], side: np.ndarray, token: int, levels: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of sets of a tile are similar and have ``token`` as the first that they share: every pair is found under one token."""
+    sizes = np.array([len(x) for x in sets])
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    short = values >> np.uint64(64 - TOKEN_BITS)
+    key = levels[(short >> np.uint64(TOKEN_BITS - BUCKET_BITS)).astype(np.int64)] << np.uint64(TOKEN_BITS) | short
+    at = np.uint64(token)
+    own = levels[int(at >> np.uint64(TOKEN_BITS - BUCKET_BITS))] << np.uint64(TOKEN_BITS) | at
+    # Columns that one set alone has are in no overlap.
+    many = np.bincount(column, minlength=len(values)) > 1
+    place = np.cumsum(many) - 1
+    on = many[column]
+    table = np.zeros((len(sets), int(many.sum())), np.float32)
+    table[row[on], place[column[on]]] = 1
+    before = table[:, key[many] < own]
+    a, b = (np.arange(len(sets)),) * 2 if not side.any() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    common = table[a] @ table[b].T
+    fit = (common > 0) & (common >= least * (sizes[a][:, None] + sizes[b] - common) - 1e-9)
+    if before.shape[1] and fit.any():
+        fit &= before[a] @ before[b].T == 0
+    out = np.zeros((len(sets), len(sets)), bool)
+    out[np.ix_(a, b)] = fit
+    out |= out.T
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """The least row of each row's component."""
+    root = np.full(len(linked), -1)
+    for start in range(len(linked)):
+        if root[start] < 0:
+            front = np.zeros(len(linked), bool)
+            front[start] = True
+            while front.any():
+                root[front] = start
+                front = linked[front].any(0) & (root < 0)
+    return root
+
+
+def _links(table, width: int, least: float):
+    """Tiles of ``_dealt`` to one row per set and tile with links: node, links (lines of the sets it is similar to), match (an earlier one's node, or null), root (a node of the same class)."""
+
+    def tile(rows: list[np.ndarray], sets: list[np.ndarray], levels: np.ndarray) -> pa.RecordBatch | None:
+        token, _, j, side, node, no, ident, k, line, copies = rows
+        if len(sets) < 2 or rows[1][0] != j[0] and not (side.any() and not side.all()):
+            return None
+        linked = _similar(sets, side, int(token[0]), levels, least)
+        some = np.flatnonzero(linked.any(1))
+        if not len(some):
+            return None
+        linked, node = linked[np.ix_(some, some)], node[some]
+        rank = np.empty(len(some), np.int64)
+        rank[np.lexsort((line[some], k[some], ident[some], no[some]))] = np.arange(len(some))
+        earlier = linked & (rank[None, :] < rank[:, None])
+        none = np.iinfo(np.int64).max
+        match = np.where(earlier, node[None, :], none).min(1)
+        columns = [pa.array(node), pa.array((linked * copies[some][None, :]).sum(1)), pa.array(match, mask=~earlier.any(1)), pa.array(node[_roots(linked)])]
+        return pa.RecordBatch.from_arrays(columns, names=["node", "links", "match", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = _level(table.value)
+        rows, sets = np.zeros((10, 0), np.int64), []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([rows, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:10]])], axis=1)
+            sets += similar.shingle_sets(batch.column(10), width)
+            cuts = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(0)) + 1
+            bounds = [0, *cuts.tolist()]
+            for a, b in zip(bounds, bounds[1:]):
+                if (out := tile(list(rows[:, a:b]), sets[a:b], levels)) is not None:
+                    yield out
+            rows, sets = rows[:, bounds[-1] :], sets[bounds[-1] :]
+        if sets and (out := tile(list(rows), sets, levels)) is not None:
+            yield out
+
+    return run
+
+
 def _key(doc_id: str, text: str):
     return F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
 
 
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per line with tokens: k (hash of id and text), doc_id, line (from 0), node (token set), first (it is the set's first line), match (an earlier set's node that it is similar to, or null) and removed."""
+def _join(docs: DataFrame, doc_id: str, text: str, width: int, least: float, min_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines with their token sets, the first line and number of lines of each set, and all links between sets, summed up by node and tile."""
     spark = docs.sparkSession
     sessions.prepare(spark)
     read = docs.select(_key(doc_id, text).alias("k"), F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     table = spark.sparkContext.broadcast(rarity(docs, text, width, min_words))
     lines = sessions.stored(read.mapInArrow(_lines(table, width, min_words, least), "k bigint, id bigint, line bigint, node bigint, n bigint, prefix array<bigint>"))
     at = F.struct(F.col("id").isNull().alias("no"), "id", "k", "line")
-    firsts = sessions.stored(lines.groupBy("node").agg(F.min(at).alias("at"), F.max("n").alias("n")))
+    firsts = sessions.stored(lines.groupBy("node").agg(F.min(at).alias("at"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
     tokens = lines.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "n", F.col("pos").cast("long").alias("pos"))
     dealt = tokens.repartition(sessions.partitions(spark), "token").sortWithinPartitions("token", "node")
     shared = sessions.settle(dealt.mapInArrow(_shared, "token bigint, node bigint, n bigint, pos bigint"))
@@ -232,46 +329,33 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marks = spark.sparkContext.broadcast(bitmaps.build(chosen.select(_place(F.col("k"), F.col("line")))))
     likely = read.select("k", "text").mapInArrow(_cut(marks), "k bigint, line bigint, text string")
     texts = sessions.stored(likely.join(chosen, ["k", "line"]).select("node", "text").dropDuplicates(["node"]))
-    everyone = todo
-    matches: DataFrame | None = None
-    tested: DataFrame | None = None
-    limit = 1
-    while not todo.isEmpty():
-        if limit == 1:
-            leaders = everyone.groupBy("token").agg(F.min(F.struct("at", "node", "n", "pos")).alias("x")).select("token", "x.*")
-        else:
-            keys = todo.select("token").distinct()
-            ranked = everyone.join(keys, "token").withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("at")))
-            leaders = ranked.filter(F.col("rank") <= limit)
-        l, m = leaders.alias("l"), todo.alias("m")
-        small, large = F.least("l.n", "m.n"), F.greatest("l.n", "m.n")
-        overlap = F.ceil(F.lit(least / (1 + least)) * (F.col("l.n") + F.col("m.n")) - F.lit(1e-9))
-        # A similar pair passes at its first shared token: all of its overlap is there or after it.
-        room = F.least(F.col("l.n") - F.col("l.pos"), F.col("m.n") - F.col("m.pos"))
-        pairs = m.join(l, (F.col("m.token") == F.col("l.token")) & (F.col("l.at") < F.col("m.at")) & (small >= F.lit(least) * large) & (room >= overlap)).select(F.col("l.node").alias("a"), F.col("m.node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = sessions.settle(pairs)
-        links = sessions.settle(similar.verified(pairs, texts, width, least))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = links.select(F.col("b").alias("node"), F.col("a").alias("match"))
-        matches = found if matches is None else matches.unionByName(found)
-        left = todo.filter(F.col("size") > limit + 1).join(found.select("node").distinct(), "node", "left_anti")
-        todo = sessions.settle(left.select("token", "node", "n", "pos", "at", "size"))
-        limit *= 8
+    dealt = _dealt(todo, firsts, texts, sessions.partitions(spark))
+    links = sessions.stored(dealt.mapInArrow(_links(table, width, least), "node bigint, links bigint, match bigint, root bigint"))
+    return lines, firsts, links
+
+
+def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST, min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per line with tokens: k (hash of id and text), doc_id, line (from 0), node (token set), first (it is the set's first line), match (an earlier set's node that it is similar to, or null), links (similar lines of other token sets) and removed."""
+    return _repeated(*_join(docs, doc_id, text, width, least, min_words))
+
+
+def _repeated(lines: DataFrame, firsts: DataFrame, links: DataFrame) -> DataFrame:
+    by_node = links.groupBy("node").agg(F.min("match").alias("match"), F.sum("links").alias("links"))
     own = lines.select("k", "id", "line", "node").join(firsts.select("node", "at"), "node")
-    if matches is None:
-        own = own.withColumn("match", F.lit(None).cast("long"))
-    else:
-        own = own.join(matches.groupBy("node").agg(F.min("match").alias("match")), "node", "left")
+    own = own.join(by_node, "node", "left")
     here = F.struct(F.col("id").isNull().alias("no"), "id", "k", "line")
     first = here.eqNullSafe(F.col("at"))
-    return own.select("k", F.col("id").alias("doc_id"), "line", "node", first.alias("first"), "match", (~first | F.col("match").isNotNull()).alias("removed"))
+    return own.select("k", F.col("id").alias("doc_id"), "line", "node", first.alias("first"), "match", F.coalesce("links", F.lit(0)).cast("long").alias("links"), (~first | F.col("match").isNotNull()).alias("removed"))
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents with all their columns, and ``removed_lines``; their text lacks the lines that repeat earlier ones."""
-    gone = repeated_lines(docs, doc_id, text, **options).filter("removed").select("k", "line").distinct()
+    return _cleaned(docs, repeated_lines(docs, doc_id, text, **options), doc_id, text).drop("__k")
+
+
+def _cleaned(docs: DataFrame, marked: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``clean`` from the lines that ``repeated_lines`` gives, with the key __k of each text."""
+    gone = marked.filter("removed").select("k", "line").distinct()
     per_text = gone.groupBy("k").agg(F.sort_array(F.collect_list(F.col("line").cast("int"))).alias("__gone")).withColumnRenamed("k", "__k")
     names = [c for c in docs.columns]
     joined = docs.withColumn("__k", _key(doc_id, text)).join(per_text, "__k", "left")
@@ -281,4 +365,31 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
     flags = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_contains("__gone", i))
     kept = F.transform(F.filter(F.arrays_zip(parts.alias("p"), flags.alias("g")), lambda x: ~x["g"]), lambda x: x["p"])
     cleaned = F.when(F.col("__gone").isNull(), column).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in names], F.coalesce(F.col("__gone"), F.array().cast("array<int>")).alias("removed_lines"))
+    return joined.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in names], F.coalesce(F.col("__gone"), F.array().cast("array<int>")).alias("removed_lines"), "__k")
+
+
+def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST, min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per document: doc_id, class_id, links, and the columns text and removed_lines of ``clean``.
+
+    Two documents are of one class if a chain of equal or similar lines leads from
+    one to the other; class_id is the class's first doc_id. links: for all lines of
+    the document, the lines (each copy counts) that are similar and have another
+    token set.
+    """
+    lines, firsts, links = _join(docs, doc_id, text, width, least, min_words)
+    marked = sessions.stored(_repeated(lines, firsts, links).select("k", "doc_id", "line", "node", "links", "removed"))
+    # The documents of a set hang on the set's first one, sets of a class on each other's first ones.
+    lead = firsts.select("node", F.col("at.k").alias("lead"))
+    equal = marked.select("k", "node").join(lead, "node").filter("k <> lead").select(F.col("k").alias("a"), F.col("lead").alias("b"))
+    alike = links.filter("node <> root").select("node", "root").distinct().join(lead, "node").select(F.col("lead").alias("a"), F.col("root").alias("node"))
+    alike = alike.join(lead, "node").filter("a <> lead").select("a", F.col("lead").alias("b"))
+    grouped = sessions.stored(similar.classes(equal.unionByName(alike).distinct()))
+    ids = docs.select(_key(doc_id, text).alias("k"), F.col(f"`{doc_id}`").cast("long").alias("id")).distinct()
+    first = ids.join(grouped, ids["k"] == grouped["node"]).groupBy("root").agg(F.min("id").alias("class_id"))
+    class_of = grouped.join(first, "root").select(F.col("node").alias("__n"), "class_id")
+    # A row that stands twice has its lines twice in the table.
+    counts = marked.select("k", "line", "links").distinct().groupBy(F.col("k").alias("__c")).agg(F.sum("links").alias("links"))
+    cleaned = _cleaned(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), marked, "doc_id", "text").withColumn("__id", F.col("doc_id").cast("long"))
+    joined = cleaned.join(class_of, F.col("__k") == F.col("__n"), "left").join(counts, F.col("__k") == F.col("__c"), "left")
+    known = F.when(F.col("__n").isNull(), F.col("__id")).otherwise(F.col("class_id"))
+    return joined.select("doc_id", known.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), "text", "removed_lines")
