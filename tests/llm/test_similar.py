@@ -2,9 +2,10 @@ import math
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 
-from weftgraph.llm import linededup, neardup, similar
+from weftgraph.llm import linededup, neardup, queries, similar
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -184,3 +185,15 @@ def test_links_and_classes_equal_brute_force(spark, monkeypatch):
     assert {r.doc_id: (r.class_id, r.links) for r in rows} == want and len(rows) == len(docs)
     gone = removed_lines(docs)
     assert {r.doc_id: r.removed_lines for r in rows if r.removed_lines} == gone
+
+
+def test_short_lines_go_as_copies_in_query_and_stage(spark, tmp_path):
+    docs = [(i, f"own line number {i} of text\nhome news about us\n" + ("top" if i % 2 else "home news about")) for i in range(6)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {0: "", 1: "1", **{i: "1,2" for i in range(2, 6)}}
+    assert {r.doc_id: r.removed for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()} == want
+    table = spark.createDataFrame([(*r, 0) for r in docs], "doc_id long, text string, n_chars long")
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, table, "").collect()}
+    assert left == {i: "\n".join(x for n, x in enumerate(t.split("\n")) if str(n) not in want[i].split(",")) for i, t in docs}
+    rows = {r.doc_id: (r.class_id, r.links) for r in linededup.linked(table, min_words=1).collect()}
+    assert rows == line_links(docs, 1)

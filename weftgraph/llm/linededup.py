@@ -15,8 +15,10 @@ each pair under the first token it shares, so every link between different sets
 found once. A group of g sets costs g * g comparisons, spread over its tiles; what
 leaves a tile is one row per set, with its number of links, weighted by copies.
 
-Defined results. Null and empty texts have no lines with words. Lines under
-``min_words`` words have no whole shingle; they are never removed. Rows that
+Defined results. Null and empty texts have no lines with words. A line of fewer
+words than a shingle is one shorter shingle, so only its copies are similar; lines
+under ``min_words`` words stay (the query and the pipeline take all, from one word).
+Rows that
 repeat both id and text stand in one place and get one result. A null id comes
 last. An empty table gives an empty result; extra columns are ignored here and
 kept by ``clean``.
@@ -146,7 +148,9 @@ def _lines(table, width: int, min_words: int, least: float):
                     if x not in sent:
                         sent.add(x)
                         fresh[i] = True
-                length = np.where(fresh, prefix_length(n, least), 0)
+                # Two sets of which each has a token of its own share t / (1 - t) of them or more: smaller ones meet by node alone.
+                alone = (n + 1e-9) * (1 - least) < least
+                length = np.where(fresh & ~alone, prefix_length(n, least), 0)
                 ends = np.cumsum(length)
                 at = np.repeat(start, length) + np.arange(ends[-1]) - np.repeat(ends - length, length)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(value[at].astype(np.int64)))

@@ -50,7 +50,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its class, the number of its lines' links to similar lines of another token set, the lines that go, and the clean text's digest."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = linededup.linked(docs)
+    found = linededup.linked(docs, min_words=1)
     return found.select("doc_id", "class_id", F.col("links").alias("n_links"), F.size("removed_lines").cast("long").alias("n_removed"), F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
 
 
