@@ -197,3 +197,13 @@ def test_short_lines_go_as_copies_in_query_and_stage(spark, tmp_path):
     assert left == {i: "\n".join(x for n, x in enumerate(t.split("\n")) if str(n) not in want[i].split(",")) for i, t in docs}
     rows = {r.doc_id: (r.class_id, r.links) for r in linededup.linked(table, min_words=1).collect()}
     assert rows == line_links(docs, 1)
+
+
+def test_token_sets_are_named_by_whole_hashes():
+    # Tokens that agree in the bits of the prefixes and differ below them.
+    unit, low = np.array([0, 1, 2, 2, 3, 3, 3]), np.array([1, 2, 1, 2, 2, 1, 1])
+    whole = (np.uint64(77) << np.uint64(64 - linededup.TOKEN_BITS)) + low.astype(np.uint64)
+    levels = np.zeros(1 << linededup.BUCKET_BITS, np.uint64)
+    _, some, _, n = linededup._ordered(unit, whole >> np.uint64(64 - linededup.TOKEN_BITS), levels)
+    node = linededup._nodes(unit, whole, some, n)
+    assert len(set(node.tolist())) == 3 and node[2] == node[3]

@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import bitmaps, sessions, similar
-from weftgraph.llm.words import Scan, buffers, line_offsets, mix, slices
+from weftgraph.llm.words import Scan, buffers, distinct, line_offsets, mix, slices
 
 WIDTH, LEAST, MIN_WORDS = 5, 0.8, 5
-#: Bits of a token's hash in prefixes (pairs are verified with 64 bits).
+#: Bits of a token's hash in prefixes (token sets are named and pairs verified with 64 bits).
 TOKEN_BITS = 42
 #: Hash buckets of the rarity table (4 bytes each), and pieces in which it is summed.
 BUCKET_BITS, PIECES = 20, 16
@@ -51,14 +51,14 @@ TILE = 512
 
 
 def _scan(data: np.ndarray, offsets: np.ndarray, width: int, min_words: int):
-    """(line, token) of all shingles of the lines with enough words, and text and number of each line."""
+    """(line, 64-bit hash) of all shingles of the lines with enough words, and text and number of each line."""
     lines, text, number = line_offsets(data, offsets)
     scan = Scan(data, lines)
     unit, value = scan.shingles(width)
     if min_words > 1:
         enough = (np.diff(scan.first) >= min_words)[unit]
         unit, value = unit[enough], value[enough]
-    return unit, value >> np.uint64(64 - TOKEN_BITS), text, number
+    return unit, value, text, number
 
 
 def _level(counts: np.ndarray) -> np.ndarray:
@@ -96,8 +96,8 @@ def rarity(docs: DataFrame, text: str = "text", width: int = WIDTH, min_words: i
         for batch in batches:
             data, offsets = buffers(batch.column(0))
             for a, b in slices(offsets):
-                _, token, _, _ = _scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width, min_words)
-                total += np.bincount((token >> np.uint64(TOKEN_BITS - BUCKET_BITS)).astype(np.int64), minlength=size)
+                _, value, _, _ = _scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width, min_words)
+                total += np.bincount((value >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=size)
         yield from _pieces(total)
 
     def _pieces(total: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -125,6 +125,17 @@ def prefix_length(n: np.ndarray, least: float) -> np.ndarray:
     return n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
 
 
+def _nodes(unit: np.ndarray, whole: np.ndarray, some: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The name of each line's token set, from the distinct 64-bit hashes. some: the lines, in order; n: their numbers of distinct tokens."""
+    at = np.searchsorted(unit, some)
+    if (np.diff(np.append(at, len(unit))) != n).any():  # a line repeats a shingle
+        unit, whole = distinct(unit, whole)
+        at = np.searchsorted(unit, some)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(whole ^ np.uint64(0x1D8E4E27C47D124F)))])
+    ends = np.append(at[1:], len(unit))
+    return mix(sums[ends] - sums[at] + (ends - at).astype(np.uint64)).astype(np.int64)
+
+
 def _lines(table, width: int, min_words: int, least: float):
     """(k, id, text) to one row per line with tokens: k, id, line, node (hash of the token set), n, prefix (null where this task sent it before)."""
 
@@ -135,12 +146,11 @@ def _lines(table, width: int, min_words: int, least: float):
             keys, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             data, offsets = buffers(batch.column(2))
             for a, b in slices(offsets):
-                unit, token, text, number = _scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width, min_words)
+                unit, whole, text, number = _scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width, min_words)
                 if not len(unit):
                     continue
-                value, some, start, n = _ordered(unit, token, levels)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(0x1D8E4E27C47D124F)))])
-                node = mix(sums[start + n] - sums[start] + n.astype(np.uint64)).astype(np.int64)
+                value, some, start, n = _ordered(unit, whole >> np.uint64(64 - TOKEN_BITS), levels)
+                node = _nodes(unit, whole, some, n)
                 if len(sent) > REMEMBERED:
                     sent.clear()
                 fresh = np.zeros(len(some), bool)
