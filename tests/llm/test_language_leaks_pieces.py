@@ -2,8 +2,10 @@ import base64
 import gzip
 import random
 import re
+import re
 import urllib.parse
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -153,7 +155,6 @@ TEXTS = ["", " ", "a", "Hello  world\n a\tb é 漢 ", "  lead", "▁ own ▁mark
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_without_dropout_the_library_agrees(text):
-    pieces._fresh(pieces.MODEL, 0.0, 1)
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     ids = pieces.encode(text, rate=0.0, seed=1)
     if "▁" not in text:
@@ -162,7 +163,6 @@ def test_without_dropout_the_library_agrees(text):
 
 
 def test_documents_agree_with_the_library(spark):
-    pieces._fresh(pieces.MODEL, 0.0, 1)
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect():
         assert pieces.encode(r.text, rate=0.0, seed=1).tolist() == model.encode(r.text)
@@ -170,7 +170,6 @@ def test_documents_agree_with_the_library(spark):
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_dropout_varies_and_is_lossless(text):
-    pieces._fresh(pieces.MODEL, 0.3, 1)
     seen = set()
     for key in range(20):
         ids = pieces.encode(text, rate=0.3, seed=1, key=key)
@@ -181,6 +180,76 @@ def test_dropout_varies_and_is_lossless(text):
         assert len(seen) > 1
 
 
+def brute_part(part, skipped):
+    """One part by a plain agenda: of all neighbours that are a piece and weren't skipped, the cheapest and leftmost comes next."""
+    vocab = pieces.vocabulary()
+    symbols, n, dropped = [(c, i) for i, c in enumerate(part)], 0, set()
+    while True:
+        agenda = [(vocab.costs[a + b], i) for (a, i), (b, j) in zip(symbols, symbols[1:]) if a + b in vocab.costs and (i, j, len(a + b)) not in dropped]
+        if not agenda:
+            return [s for s, _ in symbols]
+        at = next(k for k, x in enumerate(symbols) if x[1] == min(agenda)[1])
+        (a, i), (b, j) = symbols[at : at + 2]
+        if skipped(n):
+            dropped.add((i, j, len(a + b)))
+        else:
+            symbols[at : at + 2] = [(a + b, i)]
+        n += 1
+
+
+def brute_encode(text, rate, seed, key):
+    """The ids of a text, part by part, with the documented hash of document, occurrence and candidate."""
+    vocab, out = pieces.vocabulary(), []
+    document = pieces._document(key, seed)
+    for place, part in enumerate(re.findall(" *[^ ]+| +", " " + text) if text else []):
+        for s in brute_part(part.replace(" ", pieces.SPACE), lambda n: n in pieces.Skips(document, place, int(rate * 2**32))):
+            out += [vocab.ids[s]] if s in vocab.ids else [vocab.bytes[x] for x in s.encode()]
+    return out
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.4])
+def test_slices_agree_with_brute_force(rate, monkeypatch):
+    monkeypatch.setattr(pieces, "NODES", 300)  # the tree is emptied again and again
+    texts = [t for t in TEXTS if pieces.SPACE not in t] + ["internationalisation of the internationalisation " * 8, "word\nother word\nother"] * 3
+    keys = np.arange(len(texts), dtype=np.int64) * -7919
+    data = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    for _ in range(3):
+        ids, counts, same = pieces.encode_slice(np.frombuffer(data, np.uint8), offsets, keys, rate=rate, seed=5)
+        assert same.all()
+        for text, key, got in zip(texts, keys.tolist(), np.split(ids, np.cumsum(counts)[:-1])):
+            assert got.tolist() == brute_encode(text, rate, 5, key) == pieces.encode(text, rate=rate, seed=5, key=key).tolist()
+
+
+def test_list_and_heap_agree():
+    vocab, rng = pieces.vocabulary(), np.random.default_rng(3)
+    for i in range(3000):
+        part = "".join(rng.choice(list("▁abcdeinorst"), rng.integers(1, 30)))
+        skips = pieces.Skips(i, 0, int(0.3 * 2**32))
+        assert vocab._short(part, skips) == vocab._long(part, skips)
+
+
+def test_every_occurrence_has_its_own_segmentation():
+    """Each place and each document draws anew: far more ways than a handful of variants, at the rate that was asked for."""
+    text, vocab = " internationalisation" * 2000, pieces.vocabulary()
+    ids, _, _ = pieces.encode_slice(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), np.array([1]), rate=0.1, seed=1)
+    other, _, _ = pieces.encode_slice(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), np.array([2]), rate=0.1, seed=1)
+    assert ids.tolist() != other.tolist()
+    document = pieces._document(1, 1)
+    drawn = [pieces.Skips(document, i, int(0.1 * 2**32)) for i in range(1, 2000)]
+    assert len({tuple(vocab.segment("▁internationalisation", x)[0]) for x in drawn}) > 50
+    assert abs(sum(n in x for x in drawn for n in range(20)) / len(drawn) / 20 - 0.1) < 0.01
+
+
+def test_slice_with_a_long_text_and_a_mark():
+    texts = ["a" * 300_000, "x ▁ y", "漢字" * 5000 + " z"]
+    data = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    ids, counts, same = pieces.encode_slice(np.frombuffer(data, np.uint8), offsets, np.array([1, 2, 3]))
+    assert same.all()
+    assert [pieces.vocabulary().decode(x.tolist()) for x in np.split(ids, np.cumsum(counts)[:-1])] == texts
+
+
 def test_tokenize_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "a b", "x"), (2, "a b", "x"), (None, "é" * 2000, "x")], "doc_id long, text string, tokens string")
     got = pieces.tokenize(df).collect()

@@ -3,56 +3,78 @@
 Method. A text is cut where a space follows another character (no piece holds a
 space after one), so each part can be encoded alone. A part starts as its
 characters, or as byte pieces where the vocabulary lacks one. Candidate merges
-stand in an agenda by score, then place. A candidate that is popped is skipped
-if a keyed hash of seed, variant, part and place falls under the dropout rate;
-otherwise the two symbols merge and new candidates enter. Without dropout this
-gives the reference segmentation of the vocabulary; with it, each of ``VARIANTS``
-variants gives another one, and which of them an occurrence gets follows from
-the document's key and the place of the part in the text. Any segmentation is
-made of pieces that spell the text, so decoding gives the text back exactly.
-
-Cost. Segmentations are kept by (part, variant) in each worker, at most
-``CACHE`` of them, so common parts cost one look-up.
+stand in an agenda by score, then place. The n-th candidate that is taken from
+the agenda is skipped if a keyed hash of seed, document, place of the part in the
+text and n falls under the dropout rate; otherwise the two symbols merge and new
+candidates enter. So every occurrence of a word in every document has a
+segmentation of its own. Without dropout this gives the reference segmentation of
+the vocabulary. Any segmentation is made of pieces that spell the text, so
+decoding gives the text back exactly.
+
+Cost. What becomes of a part depends only on which candidates are skipped. Each
+worker keeps the outcomes as a tree: a node holds the segmentation if nothing
+more is skipped, and has a child for each candidate that may be skipped next. The
+hashes of all occurrences of a slice of text are computed as columns and walk the
+tree together; only a branch that wasn't taken before runs an agenda. The tree is
+emptied when it has ``NODES`` nodes, which changes the cost and no result.
 
 Only vocabularies with identity normalisation are read (others lose text when
 normalised); the path is a parameter. Nothing is trained.
 
-Defined results. A null or empty text has no ids. Rows are independent; equal
-keys and texts give equal ids. An empty table gives an empty result.
+Defined results. A null or empty text has no ids. Rows are independent, so ties,
+repeated rows and extra columns change nothing; equal keys and texts give equal
+ids; a null key is a key like any other. A very long part, such as a text without
+a space, runs its agenda alone. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import sessions
+from weftgraph.llm.words import buffers, mix, range_hashes, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-RATE, SEED, VARIANTS = 0.1, 29, 4
-CACHE = 1_500_000
+RATE, SEED = 0.1, 29
+#: Nodes of a worker's tree of segmentations (about 200 bytes each).
+NODES = 250_000
 SPACE = "▁"
 _PART = re.compile(r"▁*[^▁]+|▁+")
 
-
 _MASK = (1 << 64) - 1
 _NONE = float("inf")
-#: Characters up to which a part's agenda is a list.
-SHORT = 40
+_DOCUMENT, _OCCURRENCE, _CANDIDATE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Characters up to which a part's agenda is a list, and bytes up to which its outcomes are kept.
+SHORT, KEPT = 40, 96
+
+
+def _mix(x: int) -> int:
+    """``words.mix`` of one number."""
+    x &= _MASK
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _MASK
+    return x ^ (x >> 31)
+
+
+def _document(key: int, seed: int) -> int:
+    return _mix(key * _DOCUMENT + seed)
 
 
-def _skipped(digest: int, place: int, size: int, limit: int) -> bool:
-    """Whether the merge of ``size`` characters at ``place`` is dropped."""
-    x = ((digest ^ (place * 0x9E3779B9 + size * 0x85EBCA6B)) * 0xD6E8FEB86659FD93) & _MASK
-    return ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & _MASK) >> 32 < limit
+class Skips:
+    """Which candidates of one occurrence are skipped, by the keyed hash."""
+
+    def __init__(self, document: int, place: int, limit: int):
+        self.state, self.limit = _mix(document + place * _OCCURRENCE), limit
+
+    def __contains__(self, n: int) -> bool:
+        return self.limit > 0 and _mix(self.state + (n + 1) * _CANDIDATE) >> 32 < self.limit
 
 
 class Vocabulary:
@@ -81,13 +103,14 @@ class Vocabulary:
             self.surface[i] = piece.replace(SPACE, " ").encode()
         for byte, i in self.bytes.items():
             self.surface[i] = bytes([byte])
-
-    def segment(self, part: str, rate: float, key: int) -> list[int]:
-        """Ids of one part. rate: share of candidates to skip; key: what their hashes depend on besides part and place."""
-        if rate <= 0 and part in self.ids and len(part) == 1:
-            return [self.ids[part]]
-        digest = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), key & _MASK) if rate > 0 else 0
-        symbols = (self._short if len(part) <= SHORT else self._long)(part, digest, int(rate * 2**32))
+        self.kind = np.uint16 if len(self.surface) <= 1 << 16 else np.uint32
+        self.spelt = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.lengths = np.array([len(x) for x in self.surface], np.int64)
+        self.places = np.cumsum(self.lengths) - self.lengths
+
+    def segment(self, part: str, skips=()) -> tuple[list[int], int]:
+        """(ids of one part, candidates taken from the agenda). skips: the numbers of those that don't merge."""
+        symbols, taken = (self._short if len(part) <= SHORT else self._long)(part, skips)
         out = []
         for s in symbols:
             i = self.ids.get(s)
@@ -95,35 +118,34 @@ class Vocabulary:
                 out += [self.bytes[x] for x in s.encode("utf-8", "surrogatepass")]
             else:
                 out.append(i)
-        return out
+        return out, taken
 
-    def _short(self, part: str, digest: int, limit: int) -> list[str]:
+    def _short(self, part: str, skips) -> tuple[list[str], int]:
         """The agenda as a list by place, of which the least is found by scanning: faster for words."""
-        get = self.costs.get
-        symbols, starts = list(part), list(range(len(part)))
+        get, taken = self.costs.get, 0
+        symbols = list(part)
         agenda = [get(part[i : i + 2], _NONE) for i in range(len(part) - 1)]
         while agenda:
             cost = min(agenda)
             if cost == _NONE:
                 break
             i = agenda.index(cost)
+            taken += 1
+            if taken - 1 in skips:
+                agenda[i] = _NONE
+                continue
             merged = symbols[i] + symbols[i + 1]
-            if limit:
-                x = ((digest ^ (starts[i] * 0x9E3779B9 + len(merged) * 0x85EBCA6B)) * 0xD6E8FEB86659FD93) & _MASK  # as _skipped
-                if ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & _MASK) >> 32 < limit:
-                    agenda[i] = _NONE
-                    continue
             symbols[i] = merged
-            del symbols[i + 1], starts[i + 1], agenda[i]
+            del symbols[i + 1], agenda[i]
             if i < len(agenda):
                 agenda[i] = get(merged + symbols[i + 1], _NONE)
             if i:
                 agenda[i - 1] = get(symbols[i - 1] + merged, _NONE)
-        return symbols
+        return symbols, taken
 
-    def _long(self, part: str, digest: int, limit: int) -> list[str]:
+    def _long(self, part: str, skips) -> tuple[list[str], int]:
         """The agenda as a heap."""
-        get, n = self.costs.get, len(part)
+        get, n, taken = self.costs.get, len(part), 0
         symbols: list[str | None] = list(part)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda = [(c, i, 2, i + 1) for i in range(n - 1) if (c := get(part[i : i + 2])) is not None]
@@ -133,7 +155,8 @@ class Vocabulary:
             a, b = symbols[i], symbols[j]
             if a is None or b is None or len(a) + len(b) != size:
                 continue  # one of the two has been merged since
-            if limit and _skipped(digest, i, size, limit):
+            taken += 1
+            if taken - 1 in skips:
                 continue
             merged = a + b
             symbols[i], symbols[j] = merged, None
@@ -145,16 +168,26 @@ class Vocabulary:
                     heappush(agenda, (c, i, len(merged) + len(symbols[after]), after))
             if before >= 0 and (c := get(symbols[before] + merged)) is not None:
                 heappush(agenda, (c, before, len(symbols[before]) + len(merged), i))
-        return [s for s in symbols if s is not None]
+        return [s for s in symbols if s is not None], taken
 
     def decode(self, ids) -> str:
         data = b"".join(map(self.surface.__getitem__, ids))
         text = data.decode("utf-8", "surrogatepass")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
+    def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes that the ids spell, one after another; place behind each id's)."""
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        return self.spelt[_runs(self.places[ids], sizes, ends)], ends
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, .. of each run; ends: running sum of the sizes."""
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
 
 _loaded: dict[str, Vocabulary] = {}
-_cache: dict[tuple, bytes] = {}
 
 
 def vocabulary(path: str = MODEL) -> Vocabulary:
@@ -164,53 +197,174 @@ def vocabulary(path: str = MODEL) -> Vocabulary:
 
 
 def encode(text: str, path: str = MODEL, rate: float = RATE, seed: int = SEED, key: int = 0) -> np.ndarray:
-    """Ids of a text (uint32). key: the document's; equal keys give equal segmentations.
+    """Ids of a text (uint32), part by part. key: the document's.
 
     A literal U+2581 in a text can't be told from a space by the vocabulary; it is written as byte pieces.
     """
     vocab = vocabulary(path)
-    if not text:
-        return np.zeros(0, np.uint32)
-    out: list[bytes] = []
-    count = 0
-    pieces = text.split(SPACE)
-    cache, name = _cache, (path, rate, seed)
-    mark = np.array([vocab.bytes[x] for x in SPACE.encode()], np.uint32).tobytes()
-    state = (key * 0x9E3779B97F4A7C15 + seed) & 0xFFFFFFFFFFFFFFFF
-    for number, piece in enumerate(pieces):
+    document, limit, place = _document(key, seed), int(rate * 2**32), 0
+    out: list[int] = []
+    for number, piece in enumerate(text.split(SPACE) if text else []):
         if number:
-            out.append(mark)
+            out += [vocab.bytes[x] for x in SPACE.encode()]
         plain = piece.replace(" ", SPACE)
-        if vocab.prefix and not number:
-            plain = SPACE + plain
-        parts = _PART.findall(plain)
-        if rate > 0 and VARIANTS > 1:
-            places = np.arange(count, count + len(parts), dtype=np.uint64) + np.uint64(state)
-            places ^= places >> np.uint64(29)
-            places *= np.uint64(0xBF58476D1CE4E5B9)
-            variants = (places >> np.uint64(40)) % np.uint64(VARIANTS)
-            found = zip(parts, variants.tolist())
-        else:
-            found = zip(parts, [0] * len(parts))
-        count += len(parts)
-        for entry in found:
-            ids = cache.get(entry)
-            if ids is None:
-                ids = array("I", vocab.segment(entry[0], rate, seed * 0x100000001B3 + entry[1])).tobytes()
-                if len(cache) >= CACHE:
-                    cache.clear()
-                    cache[""] = name
-                if len(entry[0]) <= 64:
-                    cache[entry] = ids
-            out.append(ids)
-    return np.frombuffer(b"".join(out), np.uint32)
-
-
-def _fresh(path: str, rate: float, seed: int) -> None:
-    """The cache holds segmentations of one setting."""
-    if _cache.get("") != (path, rate, seed):
-        _cache.clear()
-        _cache[""] = (path, rate, seed)
+        for part in _PART.findall(SPACE + plain if vocab.prefix and not number else plain):
+            out += vocab.segment(part, Skips(document, place, limit))[0]
+            place += 1
+    return np.array(out, np.uint32)
+
+
+class _Column:
+    """A growing array."""
+
+    def __init__(self, kind):
+        self.n, self.data = 0, np.zeros(1024, kind)
+
+    def extend(self, values) -> int:
+        """Where the values stand."""
+        at, self.n = self.n, self.n + len(values)
+        if self.n > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(max(self.n, len(self.data)), self.data.dtype)])
+        self.data[at : self.n] = values
+        return at
+
+
+class Tree:
+    """Outcomes of parts by the candidates that are skipped.
+
+    open: number of the first candidate that isn't decided at a node; end: of
+    candidates until nothing is left to merge, if none of them is skipped; base:
+    where its children stand, one for each of those; start, size: its ids.
+    """
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
+        self.clear()
+
+    def clear(self) -> None:
+        self.roots: dict[int, int] = {}
+        self.skips: list[tuple[int, ...]] = []
+        self.open, self.end, self.size = (_Column(np.int32) for _ in range(3))
+        self.base, self.start = _Column(np.int64), _Column(np.int64)
+        self.children, self.ids = _Column(np.int32), _Column(self.vocab.kind)
+
+    def add(self, parts: list[str], skips: list[tuple[int, ...]]) -> np.ndarray:
+        """New nodes: parts, each with the numbers that are skipped, in order."""
+        segment, flat, ends, sizes = self.vocab.segment, [], [], []
+        for part, own in zip(parts, skips):
+            ids, taken = segment(part, own)
+            flat += ids
+            ends.append(taken)
+            sizes.append(len(ids))
+        size, end = np.array(sizes, np.int64), np.array(ends, np.int64)
+        opened = np.array([own[-1] + 1 if own else 0 for own in skips], np.int64)
+        room = end - opened
+        self.skips += skips
+        self.open.extend(opened)
+        self.size.extend(size)
+        self.start.extend(self.ids.extend(flat) + np.cumsum(size) - size)
+        self.base.extend(self.children.extend(np.full(int(room.sum()), -1, np.int32)) + np.cumsum(room) - room)
+        at = self.end.extend(end)
+        return np.arange(at, self.end.n, dtype=np.int32)
+
+    def find(self, hashes: np.ndarray, states: np.ndarray, part, limit: int) -> np.ndarray:
+        """The node of each occurrence. hashes: of the parts; states: of the occurrences; part(i): the i-th as a text."""
+        if self.end.n > NODES:
+            self.clear()
+        names, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        known = np.array([self.roots.get(x, -1) for x in names.tolist()], np.int32)
+        new = np.flatnonzero(known < 0)
+        known[new] = self.add([part(i) for i in at[new].tolist()], [()] * len(new))
+        self.roots.update(zip(names[new].tolist(), known[new].tolist()))
+        node = known[inverse]
+        live = np.flatnonzero(self.end.data[node] > 0) if limit else np.zeros(0, np.int64)
+        n, state = np.zeros(len(live), np.int64), states[live]
+        while len(live):
+            drop = np.flatnonzero(mix(state + (n.astype(np.uint64) + np.uint64(1)) * np.uint64(_CANDIDATE)) >> np.uint64(32) < np.uint64(limit))
+            if len(drop):
+                own = node[live[drop]]
+                slot = self.base.data[own] + n[drop] - self.open.data[own]
+                child = self.children.data[slot]
+                new = np.flatnonzero(child < 0)
+                if len(new):
+                    slots, first = np.unique(slot[new], return_index=True)
+                    which = drop[new[first]]
+                    who = live[which]
+                    made = self.add([part(i) for i in who.tolist()], [(*self.skips[x], k) for x, k in zip(node[who].tolist(), n[which].tolist())])
+                    self.children.data[slots] = made
+                    child = self.children.data[slot]
+                node[live[drop]] = child
+            n += 1
+            more = n < self.end.data[node[live]]
+            live, n, state = live[more], n[more], state[more]
+        return node
+
+
+_trees: dict[str, Tree] = {}
+
+
+def encode_slice(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, path: str = MODEL, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all texts, number of ids of each, whether they spell it) of UTF-8 texts. What ``encode`` gives, for many texts at once."""
+    vocab = vocabulary(path)
+    if path not in _trees:
+        _trees[path] = Tree(vocab)
+    tree, limit, texts = _trees[path], int(rate * 2**32), len(offsets) - 1
+    if _marked(data):
+        return _one_by_one(data, offsets, keys, path, rate, seed)
+    filled = offsets[1:] > offsets[:-1]
+    if vocab.prefix:
+        data = np.insert(data, offsets[:-1][filled], 0x20)
+        offsets = offsets + np.concatenate([[0], np.cumsum(filled)])
+    space = data == 0x20
+    cut = space.copy()
+    cut[1:] &= ~space[:-1]
+    cut[offsets[:-1][filled]] = True
+    starts = np.flatnonzero(cut)
+    ends = np.append(starts[1:], len(data))[: len(starts)]
+    first = np.searchsorted(starts, offsets)
+    text = np.repeat(np.arange(texts), np.diff(first))
+    place = (np.arange(len(starts)) - first[text]).astype(np.uint64)
+    document = mix(keys.astype(np.int64).view(np.uint64) * np.uint64(_DOCUMENT) + np.uint64(seed))
+    states = mix(document[text] + place * np.uint64(_OCCURRENCE))
+    raw = data.tobytes()
+    part = lambda i: raw[starts[i] : ends[i]].decode().replace(" ", SPACE)
+    kept = np.flatnonzero(ends - starts <= KEPT)
+    node = tree.find(range_hashes(data, starts[kept], ends[kept]), states[kept], lambda i: part(kept[i]), limit)
+    start, size, pool = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64), tree.ids.data[: tree.ids.n]
+    start[kept], size[kept] = tree.start.data[node], tree.size.data[node]
+    if len(kept) < len(starts):
+        alone, at = [pool], len(pool)
+        for i in np.flatnonzero(ends - starts > KEPT).tolist():
+            ids, _ = vocab.segment(part(i), Skips(int(document[text[i]]), int(place[i]), limit))
+            start[i], size[i] = at, len(ids)
+            alone.append(np.array(ids, vocab.kind))
+            at += len(ids)
+        pool = np.concatenate(alone)
+    upto = np.cumsum(size)
+    ids = pool[_runs(start, size, upto)]
+    counts = np.diff(np.concatenate([[0], upto])[first])
+    # Decoding: what the ids spell, against the texts.
+    spelt, places = vocab.spell(ids)
+    ends_of = np.concatenate([[0], places])[np.concatenate([[0], np.cumsum(counts)])]
+    if not np.array_equal(ends_of, offsets) or not np.array_equal(spelt, data):  # two parts of one hash
+        if vocab.prefix:
+            data, offsets = np.delete(data, offsets[:-1][filled]), offsets - np.concatenate([[0], np.cumsum(filled)])
+        return _one_by_one(data, offsets, keys, path, rate, seed)
+    return ids, counts, np.ones(texts, bool)
+
+
+def _marked(data: np.ndarray) -> bool:
+    """Whether U+2581 is in the texts."""
+    mark = SPACE.encode()
+    at = np.flatnonzero(data[:-2] == mark[0]) if len(data) > 2 else ()
+    return bool(len(at)) and bool(((data[at + 1] == mark[1]) & (data[at + 2] == mark[2])).any())
+
+
+def _one_by_one(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, path: str, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    vocab = vocabulary(path)
+    texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:])]
+    found = [encode(t, path, rate, seed, int(k)) for t, k in zip(texts, keys)]
+    return np.concatenate([np.zeros(0, np.uint32), *found]).astype(vocab.kind), np.array([len(x) for x in found], np.int64), np.array([vocab.decode(x.tolist()) == t for x, t in zip(found, texts)], bool)
 
 
 def tokenize(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), path: str = MODEL, rate: float = RATE, seed: int = SEED) -> DataFrame:
@@ -223,17 +377,14 @@ def tokenize(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tup
     names = [*keep, "n_tokens", "tokens", "lossless"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        _fresh(path, rate, seed)
-        small = np.uint16 if len(vocab.surface) <= 1 << 16 else np.uint32
         for batch in batches:
-            counts, packed, same = [], [], []
-            for k, t in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                ids = encode(t or "", path, rate, seed, k)
-                counts.append(len(ids))
-                packed.append(ids.astype(small).tobytes())
-                same.append(vocab.decode(ids.tolist()) == (t or ""))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(counts, pa.int64()), pa.array(packed, pa.binary()), pa.array(same)], names=names)
+            keys = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
+            data, offsets = buffers(batch.column(batch.num_columns - 1))
+            for a, b in slices(offsets):
+                ids, counts, same = encode_slice(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], keys[a:b], path, rate, seed)
+                ends = np.concatenate([[0], np.cumsum(counts)]) * ids.itemsize
+                packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:-2]], pa.array(counts.astype(np.int64)), packed, pa.array(same)], names=names)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-2]]
     return chosen.mapInArrow(run, ", ".join([*fields, "n_tokens bigint, tokens binary, lossless boolean"]))

@@ -24,16 +24,20 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Powers that a worker keeps; those of a longer text are made for it alone.
+_KEPT_POWERS = SLICE_BYTES + 4096
+_powers: dict[str, np.ndarray] = {}
 
 
 def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        steps = np.full(size, _BASE if kind == "up" else _INVERSE, np.uint64)
-        steps[0] = 1
-        _powers[kind] = np.multiply.accumulate(steps)
-    return _powers[kind][:n]
+    if n <= _KEPT_POWERS and kind in _powers:
+        return _powers[kind][:n]
+    steps = np.full(max(n, _KEPT_POWERS), _BASE if kind == "up" else _INVERSE, np.uint64)
+    steps[0] = 1
+    found = np.multiply.accumulate(steps)
+    if n <= _KEPT_POWERS:
+        _powers[kind] = found
+    return found[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,6 +74,22 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         row = end
 
 
+def _running(data: np.ndarray) -> np.ndarray:
+    """Running sums of the bytes' terms of the polynomial."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", len(data)), out=sums[1:])
+    return sums
+
+
+def _between(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix((sums[ends] - sums[starts]) * _power("down", len(sums))[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges."""
+    return _between(_running(data), starts, ends)
+
+
 class Scan:
     """Words of the units (texts, or lines of texts) that ``offsets`` cuts from ``data``.
 
@@ -90,14 +110,12 @@ class Scan:
         self.starts, self.ends = np.flatnonzero(head), np.flatnonzero(tail) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.solid = solid
-        self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", n), out=self._sums[1:])
+        self._sums = _running(data)
         self.hashes = self.ranges(self.starts, self.ends)
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of byte ranges."""
-        inverse = _power("down", len(self.data) + 1)
-        return mix((self._sums[ends] - self._sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return _between(self._sums, starts, ends)
 
     def unit_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))
