@@ -237,8 +237,7 @@ def _similar(sets: list[np.ndarray], side: np.ndarray, token: int, levels: np.nd
     sizes = np.array([len(x) for x in sets])
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), sizes)
-    short = values >> np.uint64(64 - TOKEN_BITS)
-    key = levels[(short >> np.uint64(TOKEN_BITS - BUCKET_BITS)).astype(np.int64)] << np.uint64(TOKEN_BITS) | short
+    key = _order(values, levels)
     at = np.uint64(token)
     own = levels[int(at >> np.uint64(TOKEN_BITS - BUCKET_BITS))] << np.uint64(TOKEN_BITS) | at
     # Columns that one set alone has are in no overlap.
@@ -260,55 +259,138 @@ def _similar(sets: list[np.ndarray], side: np.ndarray, token: int, levels: np.nd
     return out
 
 
-def _roots(linked: np.ndarray) -> np.ndarray:
-    """The least row of each row's component."""
-    root = np.full(len(linked), -1)
-    for start in range(len(linked)):
-        if root[start] < 0:
-            front = np.zeros(len(linked), bool)
-            front[start] = True
-            while front.any():
-                root[front] = start
-                front = linked[front].any(0) & (root < 0)
-    return root
+def _order(values: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """What orders tokens, from their 64-bit hashes: rarity, then the hash."""
+    short = values >> np.uint64(64 - TOKEN_BITS)
+    return levels[(short >> np.uint64(TOKEN_BITS - BUCKET_BITS)).astype(np.int64)] << np.uint64(TOKEN_BITS) | short
+
+
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least of n rows in each row's component, by the links (a, b)."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if np.array_equal(low, root):
+            return root
+        root = low
+
+
+#: Sets up to which the pairs of a tile are listed together with those of other tiles.
+FEW = 24
+#: Words of parity bits that bound the difference of two sets.
+_ODD = 2
+
+
+class _Sets:
+    """The token sets of the different nodes of a run of rows, one after another."""
+
+    def __init__(self, node: np.ndarray, texts: pa.Array, width: int, levels: np.ndarray):
+        _, at, self.of = np.unique(node, return_index=True, return_inverse=True)
+        found = similar.shingle_sets(texts.take(pa.array(at)), width)
+        self.size = np.array([len(x) for x in found], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.value = np.concatenate([np.zeros(0, np.uint64), *found])
+        self.order = _order(self.value, levels)
+        owner = np.repeat(np.arange(len(found)), self.size)
+        # Places in one sorted column of (set, token), for look-ups.
+        _, rank = np.unique(self.value, return_inverse=True)
+        self.ranks, self.span = rank.astype(np.int64), int(rank.max(initial=0)) + 1
+        self.places = owner * self.span + self.ranks
+        self.odd = similar.parities(owner, self.value, len(found), _ODD)
+
+    def alike(self, a: np.ndarray, b: np.ndarray, token: np.ndarray, least: float) -> np.ndarray:
+        """Which pairs of sets are similar and have their ``token`` (as ``_order`` gives it) as the first that they share."""
+        few, many = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
+        apart = np.bitwise_count((self.odd[a] ^ self.odd[b]).view(np.uint64)).sum(axis=1)
+        ok = np.flatnonzero((few >= least * many - 1e-9) & (apart <= (1 - least) / (1 + least) * (few + many) + 1e-6))
+        out = np.zeros(len(a), bool)
+        for part in np.array_split(ok, max(1, int(few[ok].sum()) >> 21)):
+            x, y = a[part], b[part]
+            size = self.size[x]
+            ends = np.cumsum(size)
+            pair = np.repeat(np.arange(len(part)), size)
+            at = np.arange(len(pair)) + np.repeat(self.start[x] - (ends - size), size)
+            want = y[pair] * self.span + self.ranks[at]
+            hit = self.places[np.minimum(np.searchsorted(self.places, want), len(self.places) - 1)] == want
+            common = np.bincount(pair[hit], minlength=len(part))
+            first = np.full(len(part), np.iinfo(np.uint64).max, np.uint64)
+            np.minimum.at(first, pair[hit], self.order[at[hit]])
+            out[part] = (common > 0) & (common >= least * (size + self.size[y] - common) - 1e-9) & (first == token[part])
+        return out
+
+
+def _pairs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places in each of the spans."""
+    size = end - start
+    at = np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    rest = np.repeat(end, size) - at - 1
+    a = np.repeat(at, rest)
+    return a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(rest) - rest, rest)
 
 
 def _links(table, width: int, least: float):
-    """Tiles of ``_dealt`` to one row per set and tile with links: node, links (lines of the sets it is similar to), match (an earlier one's node, or null), root (a node of the same class)."""
-
-    def tile(rows: list[np.ndarray], sets: list[np.ndarray], levels: np.ndarray) -> pa.RecordBatch | None:
-        token, _, j, side, node, no, ident, k, line, copies = rows
-        if len(sets) < 2 or rows[1][0] != j[0] and not (side.any() and not side.all()):
-            return None
-        linked = _similar(sets, side, int(token[0]), levels, least)
-        some = np.flatnonzero(linked.any(1))
-        if not len(some):
-            return None
-        linked, node = linked[np.ix_(some, some)], node[some]
+    """Tiles of ``_dealt`` to one row per set and tile with links: node, links (lines of the sets it is similar to), match (an earlier one's node, or null), root (a node of the same class).
+
+    Small tiles are worked on together, a large one by a product of matrices.
+    """
+    names = ["node", "links", "match", "root"]
+
+    def summed(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        """The links (a, b) by row."""
+        some, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = both[: len(a)], both[len(a) :]
+        node, no, ident, k, line, copies = rows[4:, some]
         rank = np.empty(len(some), np.int64)
-        rank[np.lexsort((line[some], k[some], ident[some], no[some]))] = np.arange(len(some))
-        earlier = linked & (rank[None, :] < rank[:, None])
+        rank[np.lexsort((line, k, ident, no))] = np.arange(len(some))
+        links = np.bincount(a, copies[b], len(some)) + np.bincount(b, copies[a], len(some))
         none = np.iinfo(np.int64).max
-        match = np.where(earlier, node[None, :], none).min(1)
-        columns = [pa.array(node), pa.array((linked * copies[some][None, :]).sum(1)), pa.array(match, mask=~earlier.any(1)), pa.array(node[_roots(linked)])]
-        return pa.RecordBatch.from_arrays(columns, names=["node", "links", "match", "root"])
+        match, later = np.full(len(some), none), np.where(rank[a] > rank[b], a, b)
+        np.minimum.at(match, later, node[np.where(rank[a] > rank[b], b, a)])
+        found = np.zeros(len(some), bool)
+        found[later] = True
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links.astype(np.int64)), pa.array(match, mask=~found), pa.array(node[_roots(a, b, len(some))])], names=names)
+
+    def worked(rows: np.ndarray, texts: pa.Array, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
+        token, i, j, side = rows[:4]
+        cuts = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(0)) + 1
+        start, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [rows.shape[1]]])
+        sets = _Sets(rows[4], texts, width, levels)
+        few = end - start <= FEW
+        a, b = _pairs(start[few], end[few])
+        meet = (i[a] == j[a]) | (side[a] != side[b])
+        a, b = a[meet], b[meet]
+        own = token.astype(np.uint64)
+        own = levels[(own >> np.uint64(TOKEN_BITS - BUCKET_BITS)).astype(np.int64)] << np.uint64(TOKEN_BITS) | own
+        fit = sets.alike(sets.of[a], sets.of[b], own[a], least)
+        if fit.any():
+            yield summed(rows, a[fit], b[fit])
+        for x, y in zip(start[~few].tolist(), end[~few].tolist()):
+            own_side = side[x:y]
+            if i[x] != j[x] and not (own_side.any() and not own_side.all()):
+                continue
+            linked = _similar([sets.value[sets.start[u] : sets.start[u] + sets.size[u]] for u in sets.of[x:y]], own_side, int(token[x]), levels, least)
+            a, b = np.nonzero(np.triu(linked))
+            if len(a):
+                yield summed(rows[:, x:y], a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = _level(table.value)
-        rows, sets = np.zeros((10, 0), np.int64), []
+        rows, texts = np.zeros((10, 0), np.int64), pa.array([], pa.string())
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = np.concatenate([rows, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:10]])], axis=1)
-            sets += similar.shingle_sets(batch.column(10), width)
-            cuts = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(0)) + 1
-            bounds = [0, *cuts.tolist()]
-            for a, b in zip(bounds, bounds[1:]):
-                if (out := tile(list(rows[:, a:b]), sets[a:b], levels)) is not None:
-                    yield out
-            rows, sets = rows[:, bounds[-1] :], sets[bounds[-1] :]
-        if sets and (out := tile(list(rows), sets, levels)) is not None:
-            yield out
+            texts = pa.concat_arrays([texts, batch.column(10).cast(pa.string())])
+            last = np.flatnonzero((rows[:3] != rows[:3, -1:]).any(0))
+            done = int(last[-1]) + 1 if len(last) else 0
+            if done:
+                yield from worked(rows[:, :done], texts.slice(0, done), levels)
+                rows, texts = rows[:, done:], texts.slice(done)
+        if rows.shape[1]:
+            yield from worked(rows, texts, levels)
 
     return run
 

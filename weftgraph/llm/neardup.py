@@ -109,15 +109,6 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
     return mix(value + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0x8EBC6AF09C88C6E3)).astype(np.int64)
 
 
-def parities(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    """n x ODD words: for each bucket of hashes, whether the owner has an odd number of values there."""
-    out = np.zeros(n * ODD, np.uint64)
-    at = mix(value ^ np.uint64(0xE7037ED1A0B428DB))
-    word = (at >> np.uint64(6)) % np.uint64(ODD)
-    np.bitwise_xor.at(out, owner * ODD + word.astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out.view(np.int64).reshape(n, ODD)
-
-
 def _lists(table: np.ndarray) -> pa.Array:
     """The rows of a table as lists."""
     return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]), pa.array(table.reshape(-1)))
@@ -144,7 +135,7 @@ def _sketch(width: int, bands: int, rows: int):
                 if len(some):
                     table[some] = band_keys(dart_signatures(small, value, np.ones(len(value)), len(some), bands * rows), bands)
                 keys.append(table)
-                odd.append(parities(unit, value, b - a))
+                odd.append(similar.parities(unit, value, b - a, ODD))
             if not nodes:
                 continue
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes).astype(np.int64)), _lists(np.concatenate(keys)), _lists(np.concatenate(odd))], names=["k", "id", "node", "n", "bands", "odd"])

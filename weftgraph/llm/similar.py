@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import sessions
-from weftgraph.llm.words import Scan, buffers, distinct, slices
+from weftgraph.llm.words import Scan, buffers, distinct, mix, slices
 
 #: Tasks that the partners of one text are dealt to; its own text goes to each of them that has one.
 SALTS = 32
@@ -28,6 +28,18 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
+def parities(owner: np.ndarray, value: np.ndarray, n: int, words: int) -> np.ndarray:
+    """n x words longs: for each of 64 words hash buckets, whether the owner has an odd number of values there.
+
+    Two sets differ in at least as many values as their bits differ in places.
+    """
+    out = np.zeros(n * words, np.uint64)
+    at = mix(value ^ np.uint64(0xE7037ED1A0B428DB))
+    word = (at >> np.uint64(6)) % np.uint64(words)
+    np.bitwise_xor.at(out, owner * words + word.astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out.view(np.int64).reshape(n, words)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sorted sets of distinct values."""
     if not len(a) or not len(b):
