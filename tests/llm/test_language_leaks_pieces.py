@@ -183,7 +183,7 @@ def test_dropout_varies_and_is_lossless(text):
 def brute_part(part, skipped):
     """One part by a plain agenda: of all neighbours that are a piece and weren't skipped, the cheapest and leftmost comes next."""
     vocab = pieces.vocabulary()
-    symbols, n, dropped = [(c, i) for i, c in enumerate(part)], 0, set()
+    symbols, n, dropped = [(c, i) for i, c in enumerate(vocab.symbols(part))], 0, set()
     while True:
         agenda = [(vocab.costs[a + b], i) for (a, i), (b, j) in zip(symbols, symbols[1:]) if a + b in vocab.costs and (i, j, len(a + b)) not in dropped]
         if not agenda:
@@ -202,15 +202,14 @@ def brute_encode(text, rate, seed, key):
     vocab, out = pieces.vocabulary(), []
     document = pieces._document(key, seed)
     for place, part in enumerate(re.findall(" *[^ ]+| +", " " + text) if text else []):
-        for s in brute_part(part.replace(" ", pieces.SPACE), lambda n: n in pieces.Skips(document, place, int(rate * 2**32))):
-            out += [vocab.ids[s]] if s in vocab.ids else [vocab.bytes[x] for x in s.encode()]
+        out += [vocab.of[s] for s in brute_part(part, lambda n: n in pieces.Skips(document, place, int(rate * 2**32)))]
     return out
 
 
 @pytest.mark.parametrize("rate", [0.0, 0.1, 0.4])
 def test_slices_agree_with_brute_force(rate, monkeypatch):
-    monkeypatch.setattr(pieces, "NODES", 300)  # the tree is emptied again and again
-    texts = [t for t in TEXTS if pieces.SPACE not in t] + ["internationalisation of the internationalisation " * 8, "word\nother word\nother"] * 3
+    monkeypatch.setattr(pieces, "ROWS", 50)
+    texts = TEXTS + ["internationalisation of the internationalisation " * 8, "word\nother word\nother"] * 3
     keys = np.arange(len(texts), dtype=np.int64) * -7919
     data = "".join(texts).encode()
     offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
@@ -221,12 +220,13 @@ def test_slices_agree_with_brute_force(rate, monkeypatch):
             assert got.tolist() == brute_encode(text, rate, 5, key) == pieces.encode(text, rate=rate, seed=5, key=key).tolist()
 
 
-def test_list_and_heap_agree():
+def test_random_parts_agree_with_brute_force():
+    """Columns, the heap and the plain agenda, on parts of every width."""
     vocab, rng = pieces.vocabulary(), np.random.default_rng(3)
-    for i in range(3000):
-        part = "".join(rng.choice(list("▁abcdeinorst"), rng.integers(1, 30)))
-        skips = pieces.Skips(i, 0, int(0.3 * 2**32))
-        assert vocab._short(part, skips) == vocab._long(part, skips)
+    parts = ["".join(rng.choice(list("abcdeinorst\n\u00e9\u6f22"), rng.integers(1, 70))) for _ in range(600)]
+    text = " ".join(parts)
+    ids, _, same = pieces.encode_slice(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), np.array([4]), rate=0.3, seed=2)
+    assert same.all() and ids.tolist() == pieces.encode(text, rate=0.3, seed=2, key=4).tolist() == brute_encode(text, 0.3, 2, 4)
 
 
 def test_every_occurrence_has_its_own_segmentation():
@@ -237,7 +237,7 @@ def test_every_occurrence_has_its_own_segmentation():
     assert ids.tolist() != other.tolist()
     document = pieces._document(1, 1)
     drawn = [pieces.Skips(document, i, int(0.1 * 2**32)) for i in range(1, 2000)]
-    assert len({tuple(vocab.segment("▁internationalisation", x)[0]) for x in drawn}) > 50
+    assert len({tuple(vocab.segment(" internationalisation", x)) for x in drawn}) > 50
     assert abs(sum(n in x for x in drawn for n in range(20)) / len(drawn) / 20 - 0.1) < 0.01
 
 

@@ -75,7 +75,7 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 def _running(data: np.ndarray) -> np.ndarray:
-    """Running sums of the bytes' terms of the polynomial."""
+    """Running sums of the terms of the polynomial."""
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", len(data)), out=sums[1:])
     return sums
@@ -86,7 +86,7 @@ def _between(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges."""
+    """64-bit hashes of ranges of bytes, or of other numbers from 0."""
     return _between(_running(data), starts, ends)
 
 
