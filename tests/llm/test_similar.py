@@ -1,6 +1,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -10,15 +11,24 @@ from weftgraph.llm import linededup, neardup, queries, similar
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def shingles(text, width=5):
+def runs(text, width=5):
     ws = WORD.findall(text or "")
-    return {tuple(ws[i : i + width]) for i in range(max(1, len(ws) - width + 1))} if ws else set()
+    return [tuple(ws[i : i + width]) for i in range(max(1, len(ws) - width + 1))] if ws else []
+
+
+def shingles(text, width=5):
+    return set(runs(text, width))
 
 
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
+def weighted(a, b):
+    """Weighted Jaccard of two Counters."""
+    return sum((a & b).values()) / sum((a | b).values()) if a and b else 0.0
+
+
 def vary(rng, words, n):
     out = list(words)
     for _ in range(n):
@@ -39,12 +49,15 @@ def corpus(seed, n=160):
     texts += [" ".join(vary(rng, hot, rng.randint(0, 3))) for _ in range(60)] + [" ".join(hot)] * 40
     passage = make(60)
     texts += [" ".join(make(150) + passage + make(100)) for _ in range(15)] + [None, "", " \n", None]
+    # One set of shingles, but other weights: similar only where these are.
+    often = make(20)
+    texts += [" ".join(passage + often * k) for k in (1, 2, 3, 8, 8, 9, 30, 31)]
     rng.shuffle(texts)
     return texts
 
 
 def components(texts):
-    sets = [shingles(t) for t in texts]
+    sets = [Counter(runs(t)) for t in texts]
     root = list(range(len(texts)))
 
     def find(i):
@@ -54,7 +67,7 @@ def components(texts):
 
     for i in range(len(texts)):
         for j in range(i):
-            if jaccard(sets[i], sets[j]) >= 0.8:
+            if weighted(sets[i], sets[j]) >= 0.8:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(texts))]

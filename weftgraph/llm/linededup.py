@@ -410,7 +410,7 @@ def _join(docs: DataFrame, doc_id: str, text: str, width: int, least: float, min
     firsts = sessions.stored(lines.groupBy("node").agg(F.min(at).alias("at"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
     tokens = lines.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "n", F.col("pos").cast("long").alias("pos"))
     dealt = tokens.repartition(sessions.partitions(spark), "token").sortWithinPartitions("token", "node")
-    shared = sessions.settle(dealt.mapInArrow(_shared, "token bigint, node bigint, n bigint, pos bigint"))
+    shared = sessions.stored(dealt.mapInArrow(_shared, "token bigint, node bigint, n bigint, pos bigint"))
     # A pair's first shared token must leave room for the overlap in both lines; for the
     # smaller line that means a place under n - 2 t / (1 + t) n. Tokens without such a
     # line, and lines too small or large for those, have no pair.
@@ -418,10 +418,10 @@ def _join(docs: DataFrame, doc_id: str, text: str, width: int, least: float, min
     spread = shared.withColumn("early", early).groupBy("token").agg(F.min(F.when(F.col("early"), F.col("n"))).alias("low"), F.max(F.when(F.col("early"), F.col("n"))).alias("high"))
     fit = shared.join(spread.filter("low is not null"), "token").filter((F.col("n") >= F.col("low")) & (F.col("n") * F.lit(least) <= F.col("high") + F.lit(1e-9)))
     sized = fit.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    todo = sessions.settle(fit.select("token", "node", "n", "pos").join(sized, "token").join(firsts.select("node", "at"), "node"))
+    todo = sessions.stored(fit.select("token", "node", "n", "pos").join(sized, "token").join(firsts.select("node", "at"), "node"))
     # Texts of the lines that have a candidate, cut out where the documents are read: a
     # bitmap of fixed size lets few other lines through, and the join drops those.
-    chosen = sessions.settle(firsts.join(todo.select("node").distinct(), "node").select("node", F.col("at.k").alias("k"), F.col("at.line").alias("line")))
+    chosen = sessions.stored(firsts.join(todo.select("node").distinct(), "node").select("node", F.col("at.k").alias("k"), F.col("at.line").alias("line")))
     marks = spark.sparkContext.broadcast(bitmaps.build(chosen.select(_place(F.col("k"), F.col("line")))))
     likely = read.select("k", "text").mapInArrow(_cut(marks), "k bigint, line bigint, text string")
     texts = sessions.stored(likely.join(chosen, ["k", "line"]).select("node", "text").dropDuplicates(["node"]))

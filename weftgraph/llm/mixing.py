@@ -83,11 +83,11 @@ def mix(docs: DataFrame, key: Sequence[str] = ("doc_id",), text: str = "text", s
         n_words(F.col(f"`{text}`")).alias("size"),
         F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in key]).alias("h"),
     )
-    sized = sessions.settle(sized)
+    sized = sessions.stored(sized)
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = targets(sums, weights, cap).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     wanted = wanted.withColumn("rest", F.when(F.col("source_size") > 0, F.col("target") - F.col("passes") * F.col("source_size")).otherwise(0.0))
-    wanted = sessions.settle(wanted)
+    wanted = sessions.stored(wanted)
     edge = wanted.select("source", F.col("rest").alias("left"), F.lit(0).cast("long").alias("prefix"))
     bounds = None
     for level in range(LEVELS):
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, key: Sequence[str] = ("doc_id",), text: str = "text", s
         # The bucket in which the budget ends: the first whose running sum passes it.
         found = summed.filter((F.col("upto") > F.col("left")) & (F.col("under") <= F.col("left")))
         edge = found.groupBy("source").agg(F.min(F.struct("bucket", "under", "left", "words")).alias("x")).select("source", (F.col("x.left") - F.col("x.under")).alias("left"), F.col("x.bucket").alias("prefix"), F.col("x.words").alias("words"))
-        edge = sessions.settle(edge)
+        edge = sessions.stored(edge)
         bounds = edge
     # What is left in the last bucket is taken if that comes nearer to the target.
     last = 64 - BITS * LEVELS

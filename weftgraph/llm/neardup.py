@@ -1,6 +1,7 @@
 """MinHash near-duplicates with dart signatures.
 
-Method (DartMinHash). Each element of a weighted set is a region, as wide as its
+Method (DartMinHash). A text is a weighted set of word shingles, each as heavy as
+it is frequent in the text. Each element is a region, as wide as its
 weight, along an axis of ranks. Darts are thrown at the regions by hashes of the
 elements alone: a Poisson process of ranks for each unit of width, whose last
 unit accepts the darts that fall into its fraction. Only darts of ranks under
@@ -11,27 +12,29 @@ coordinate with the weighted Jaccard similarity as probability, and making one
 costs one pass over the elements plus the darts.
 
 Signatures are cut into bands, texts that share a band are joined, and each
-joined pair is verified with exact Jaccard over the texts' word shingles. Before
-that a pair must pass a bound: each text has ODD longs of parity bits (the number
-of its shingles in each of 64 ODD hash buckets, odd or even). Two texts' bits
-differ in at most as many places as their sets have shingles that the other
+joined pair is verified with exact weighted Jaccard over the texts' word shingles.
+Before that a pair must pass a bound: each text has ODD longs of parity bits (the
+number of its shingles in each of 64 ODD hash buckets, odd or even). Two texts'
+bits differ in at most as many places as their sets have shingles that the other
 lacks, so the bound loses no similar pair. The join itself applies it.
 
-Texts with one shingle set are one node from the start (only counted). Within
+Texts with one weighted set are one node from the start (only counted). Within
 the texts that share a band, all are first compared with the least node; classes
 found so far are contracted, and only texts in different classes are compared
-again, with the likeliest of the first 32 nodes, and last all that share a band
-and are in different classes still. So a large group of copies costs about its
-size, and no link between different texts is left out.
+again, with the likeliest of the first LEADERS nodes, and last all that share
+SHARED bands and are in different classes still. So a large group of copies costs
+about its size, and no link between different texts is left out.
 
 With 32 bands of 4 coordinates a pair at a similarity of exactly 0.8 shares no
-band with probability 5e-8, and under the 2 shared bands that are asked for with
-1e-6.
+band with probability 5e-8, and under the 2 shared bands that the last round asks
+for with 1e-6.
 
 Defined results. Null and empty texts have no shingle and are classes of their
 own, one for each row. A text under five words is one shingle. The class id is
-the least document id in it, null if it has none. Rows that repeat both id and
-text have one result. An empty table gives an empty result. Extra columns are
+the least document id in it, null if it has none; of rows with one least id and
+different texts, the first by hash of id and text stands for the class. Rows that
+repeat both id and text have one result. A very long text is one set, held alone.
+An empty table gives an empty result. Extra columns, whatever their names, are
 ignored here and kept by ``keep_first``.
 """
 
@@ -47,7 +50,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import sessions, similar
-from weftgraph.llm.words import Scan, buffers, distinct, mix, slices
+from weftgraph.llm.words import Scan, buffers, cells, counted, mix, slices
 
 BANDS, ROWS = 32, 4
 #: Bands that a pair must share to be verified.
@@ -123,19 +126,20 @@ def _sketch(width: int, bands: int, rows: int):
             nodes, sizes, keys, odd = [], [], [], []
             for a, b in slices(offsets):
                 scan = Scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                unit, value = distinct(*scan.shingles(width))
+                element, value, weight = counted(*scan.shingles(width))
+                unit, cell = np.repeat(element, weight), cells(value, weight)
                 count = np.bincount(unit, minlength=b - a)
                 first = np.concatenate([[0], np.cumsum(count)])
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(0x589965CC75374CC3)))])
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(cell ^ np.uint64(0x589965CC75374CC3)))])
                 nodes.append(mix(sums[first[1:]] - sums[first[:-1]] + count.astype(np.uint64)).astype(np.int64))
                 sizes.append(count)
                 some = np.flatnonzero(count)
-                small = np.searchsorted(some, unit)
+                small = np.searchsorted(some, element)
                 table = np.zeros((b - a, bands), np.int64)
                 if len(some):
-                    table[some] = band_keys(dart_signatures(small, value, np.ones(len(value)), len(some), bands * rows), bands)
+                    table[some] = band_keys(dart_signatures(small, value, weight.astype(np.float64), len(some), bands * rows), bands)
                 keys.append(table)
-                odd.append(similar.parities(unit, value, b - a, ODD))
+                odd.append(similar.parities(unit, cell, b - a, ODD))
             if not nodes:
                 continue
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes).astype(np.int64)), _lists(np.concatenate(keys)), _lists(np.concatenate(odd))], names=["k", "id", "node", "n", "bands", "odd"])
@@ -155,20 +159,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     sessions.prepare(spark)
     read = docs.select(_key(doc_id, text).alias("k"), F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    seen = sessions.settle(read.mapInArrow(_sketch(width, bands, rows), "k bigint, id bigint, node bigint, n bigint, bands array<bigint>, odd array<bigint>"))
+    seen = sessions.stored(read.mapInArrow(_sketch(width, bands, rows), "k bigint, id bigint, node bigint, n bigint, bands array<bigint>, odd array<bigint>"))
     least_row = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k", "n", "bands", "odd"))
-    nodes = sessions.settle(seen.filter("n > 0").groupBy("node").agg(least_row.alias("x"), F.count(F.lit(1)).alias("copies")).select("node", "x.id", "x.k", "x.n", "x.bands", "x.odd", "copies"))
+    nodes = sessions.stored(seen.filter("n > 0").groupBy("node").agg(least_row.alias("x"), F.count(F.lit(1)).alias("copies")).select("node", "x.id", "x.k", "x.n", "x.bands", "x.odd", "copies"))
     odd = [f"odd{i}" for i in range(ODD)]
     places = nodes.select("node", "n", F.explode("bands").alias("key"))
     many = places.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # Most places have no partner: the parity bits are fetched for the rest only.
     bits = nodes.select("node", *[F.col("odd")[i].alias(c) for i, c in enumerate(odd)])
-    members = sessions.settle(places.join(many, "key").join(bits, "node").withColumn("root", F.col("node")))
+    members = sessions.stored(places.join(many.select("key"), "key").join(bits, "node").withColumn("root", F.col("node")))
     wanted = members.select("node").distinct().join(nodes.select("node", "k"), "node")
-    texts = sessions.settle(read.select("k", "text").join(wanted, "k").groupBy("node").agg(F.min("text").alias("text")))
-    roots: DataFrame | None = None
-    tested: DataFrame | None = None
-    for limit in (1, LEADERS, LEADERS, None):
+    texts = sessions.stored(read.select("k", "text").join(wanted, "k").groupBy("node").agg(F.min("text").alias("text")))
+    links = tested = roots = None
+    spent = [texts]
+    for limit in (1, LEADERS, None):
         if members.isEmpty():
             break
         if limit == 1:
@@ -182,42 +186,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         # Sets with a similarity of t differ in (1 - t) / (1 + t) of their sizes' sum.
         apart = reduce(operator.add, [F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"m.{c}"))) for c in odd])
         near = apart <= F.lit((1 - least) / (1 + least)) * (F.col("l.n") + F.col("m.n")) + F.lit(1e-6)
-        pairs = m.join(l, (F.col("m.key") == F.col("l.key")) & (F.col("l.node") < F.col("m.node")) & (F.col("l.root") != F.col("m.root")) & alike & near).groupBy(F.col("l.node").alias("a"), F.col("m.node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+        met = m.join(l, (F.col("m.key") == F.col("l.key")) & (F.col("l.node") < F.col("m.node")) & (F.col("l.root") != F.col("m.root")) & alike & near)
+        pairs = met.groupBy(F.col("l.node").alias("a"), F.col("m.node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         if limit is None:
             # All texts of a band are here, so a pair meets once for each band that it shares.
             pairs = pairs.filter(F.col("times") >= SHARED)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if limit is not None:
+        else:
             # The likeliest partners first; what they don't settle is left to the last round.
             likely = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("times"), "a"))
             pairs = pairs.withColumn("likely", likely).filter(F.col("likely") <= LIKELY)
-        pairs = pairs.select("a", "b")
-        pairs = sessions.settle(pairs)
-        close = pairs
-        if limit is not None:
-            of = nodes.select("node", "bands")
-            shared = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda z: z)) >= SHARED
-            close = pairs.join(of.select(F.col("node").alias("a"), F.col("bands").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("bands").alias("y")), "b").filter(shared).select("a", "b")
-        links = sessions.settle(similar.verified(close, texts, width, least))
+        pairs = sessions.stored(pairs.select("a", "b"))
+        spent.append(pairs)
+        found = sessions.stored(similar.verified(pairs, texts, width, least))
+        spent.append(found)
+        links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if not links.isEmpty():
-            # Contract: links join the classes that the nodes had before.
-            had = members.select("node", "root").distinct()
-            if roots is not None:
-                had = roots
-            joined = links.join(had.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(had.select(F.col("node").alias("b"), F.col("root").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-            found = similar.classes(joined)
-            everyone = roots if roots is not None else had
-            renamed = found.select(F.col("node").alias("root"), F.col("root").alias("new"))
-            roots = sessions.settle(everyone.join(renamed, "root", "left").select("node", F.coalesce("new", "root").alias("root")))
-            members = members.drop("root").join(roots, "node")
-        # Keys whose texts are all in one class, or that were compared to the end, are done.
-        left = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+        if roots is not None:
+            sessions.drop(roots)
+        roots = similar.classes(links)
         if limit is not None:
-            members = sessions.settle(members.join(left, "key").select("node", "n", "key", "size", "root", *odd))
+            # Bands whose texts are all in one class are done.
+            named = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            left = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+            rest = sessions.stored(named.join(left, "key").select("node", "n", "key", "root", *odd))
+            sessions.drop(members)
+            members = rest
+        # The shuffles of this round are read no more.
+        del pairs, met, leaders, l, m
+        sessions.release(spark)
+    sessions.drop(members, *spent)
     if roots is None:
-        roots = nodes.select("node", F.col("node").alias("root"))
+        roots = nodes.select("node", F.col("node").alias("root")).limit(0)
     of_class = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = of_class.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k")).alias("f"), F.sum("copies").alias("class_size"))
     named = of_class.select("node", "root").join(firsts, "root").select("node", F.col("f.id").alias("class_id"), F.col("f.k").alias("first_k"), "class_size")
@@ -234,10 +235,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents with one of each class, in all their columns; of rows that repeat id and text one stays."""
+    """The documents with one of each class, in all their columns; of rows that repeat id and text one stays, and of texts without words all."""
     found = near_duplicates(docs, doc_id, text, **options)
-    kept = found.filter("first and n_shingles > 0").select(F.col("k").alias("__k")).distinct()
-    keyed = docs.withColumn("__k", _key(doc_id, text))
-    some = keyed.join(kept, "__k").dropDuplicates(["__k"]).select(*[f"`{c}`" for c in docs.columns])
+    own = sessions.spare("k", docs.columns)
+    kept = found.filter("first and n_shingles > 0").select(F.col("k").alias(own)).distinct()
+    keyed = docs.withColumn(own, _key(doc_id, text))
+    some = keyed.join(kept, own).dropDuplicates([own]).select(*[f"`{c}`" for c in docs.columns])
     blank = docs.filter(~F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     return some.unionByName(blank)

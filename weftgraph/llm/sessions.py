@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -16,7 +18,8 @@ def prepare(spark: SparkSession) -> None:
     """Give Python workers the package path, and a checkpoint folder where the session names none.
 
     ``spark.checkpoint.dir`` is read first: on a cluster it names a folder that
-    every executor shares. A temporary folder is used only where it is unset.
+    every executor shares. Where it is unset, a local session gets a temporary
+    folder; a cluster has no folder to fall back to, so that is an error.
     """
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -24,24 +27,47 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="weft-checkpoint-"))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage there."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """Like ``settle``, as a compressed columnar table of which later reads take the columns they need."""
+    """Write ``df`` to the shared checkpoint folder as a columnar table, and read it again: lineage ends there.
+
+    Later reads take the columns that they need, put small files together into few
+    tasks, and know the table's size, by which Spark may broadcast it.
+    """
     spark = df.sparkSession
     prepare(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once nothing reads them any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries now: it does once the driver's JVM finds them unused."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spare(name: str, columns: list[str]) -> str:
+    """``name``, or if a column has it, the next like it that none has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -166,8 +166,8 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
         F.coalesce(F.crc32(F.encode(words, "UTF-8")), F.lit(0)).cast("long").alias("crc"),
         F.xxhash64(words).alias("h"),
     )
-    sized = sessions.settle(sized)
-    groups = sessions.settle(sized.groupBy("h").agg(F.sum("size").alias("size")))
+    sized = sessions.stored(sized)
+    groups = sessions.stored(sized.groupBy("h").agg(F.sum("size").alias("size")))
     cuts = plan(groups, shards)
     # Unsigned order of the hash as signed order.
     lifted = F.col("h").bitwiseXOR(F.lit(-(1 << 63)))
@@ -177,7 +177,7 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     placed = sized.withColumn("shard", number.cast("int"))
     n = sessions.partitions(spark)
     spread = placed.repartitionByRange(n, "shard", lifted, "key").sortWithinPartitions("shard", lifted, "key").withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
-    spread = sessions.settle(spread)
+    spread = sessions.stored(spread)
     counts = spread.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("start")).collect()
     offsets, seen = [], {}
     for x in sorted(counts, key=lambda x: (x["shard"], x["part"])):

@@ -10,19 +10,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import sessions
-from weftgraph.llm.words import Scan, buffers, distinct, mix, slices
+from weftgraph.llm.words import Scan, buffers, cells, counted, distinct, mix, slices
 
 #: Tasks that the partners of one text are dealt to; its own text goes to each of them that has one.
 SALTS = 32
 
 
-def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingle_sets(column: pa.Array, width: int, weighted: bool = False) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text; weighted: with a value more for each time that one stands there again."""
     data, offsets = buffers(column)
     out: list[np.ndarray] = []
     for a, b in slices(offsets):
         scan = Scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        unit, value = distinct(*scan.shingles(width))
+        unit, value = scan.shingles(width)
+        if weighted:
+            unit, value, count = counted(unit, value)
+            unit, value = np.repeat(unit, count), cells(value, count)
+        else:
+            unit, value = distinct(unit, value)
         first = np.searchsorted(unit, np.arange(b - a + 1))
         out += [value[first[i] : first[i + 1]] for i in range(b - a)]
     return out
@@ -51,22 +56,23 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets have a Jaccard similarity of ``least`` or more.
+    """The pairs (a, b) whose texts' shingles have a weighted Jaccard similarity of ``least`` or more.
 
-    texts: (node, text). Each ``a`` meets its partners in a stream of sorted
-    rows: a task holds one set at a time, however many partners there are.
+    texts: (node, text). Each ``a`` meets its partners in a stream of sorted rows: a
+    task holds one set at a time, however many partners there are. A text with many
+    partners is dealt to up to SALTS tasks with them.
     """
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
-    heads = salted.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    others = salted.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "salt", "b", "text")
-    rows = heads.unionByName(others).repartition(sessions.partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    salted = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt")).agg(F.collect_list("b").alias("bs"))
+    sides = salted.select("a", "salt", F.explode(F.concat(F.array(F.lit(None).cast("long")), "bs")).alias("b"))
+    held = sides.withColumn("node", F.coalesce("b", "a")).join(texts, "node").select("a", "salt", "b", "text")
+    rows = held.repartition(sessions.partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.zeros(0, np.uint64)
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             out = []
-            for x, y, own in zip(a, b, shingle_sets(batch.column(3), width)):
+            for x, y, own in zip(a, b, shingle_sets(batch.column(3), width, weighted=True)):
                 if y is None:
                     head = own
                 elif jaccard(head, own) >= least:
@@ -77,22 +83,30 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
 
 
 def classes(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an undirected edge table (a, b); root is the least node of its class.
+    """(node, root) for every node of an undirected edge table (a, b); root is the least node of its class. Written to the checkpoint folder.
 
-    Rounds of least-neighbour hooking in which roots learn what their members see,
-    each written to the checkpoint folder: classes grow together as wholes.
-    Hubs are pre-aggregated before the shuffle.
+    Contraction: every node goes to the first of itself and its neighbours in a fixed
+    order of hashes, edges are renamed by that, and those inside one node go, until
+    none is left. A star takes two levels, and a chain shrinks by a part of its length
+    with each. Hubs are pre-aggregated before the shuffle.
     """
-    edges = edges.select("a", "b").filter("a <> b")
-    both = sessions.settle(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = sessions.settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        hooked = labels.join(near.select(F.col("a").alias("node"), "m"), "node").select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
-        # What its members saw goes to a root, and on to all it leads.
-        learnt = hooked.groupBy(F.col("old").alias("lead")).agg(F.min("root").alias("to"))
-        moved = hooked.join(learnt, hooked["old"] == learnt["lead"]).select("node", F.least("root", "to").alias("root"), "old")
-        moved = sessions.settle(moved)
-        labels = moved.select("node", "root")
-        if moved.filter("root <> old").isEmpty():
-            return labels
+    first = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+    left, levels = sessions.stored(edges.select("a", "b").filter("a <> b").distinct()), []
+    while not left.isEmpty():
+        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.x", "e.y")
+        near = ends.groupBy("x").agg(F.min(first("y")).alias("m"))
+        own = sessions.stored(near.select(F.col("x").alias("node"), F.least(first("x"), F.col("m"))["id"].alias("root")))
+        levels.append(own)
+        a, b = own.select(F.col("node").alias("a"), F.col("root").alias("x")), own.select(F.col("node").alias("b"), F.col("root").alias("y"))
+        moved = left.join(a, "a").join(b, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        left = sessions.stored(moved)
+    if not levels:
+        return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    top = levels[-1]
+    for own in levels[-2::-1]:
+        up = top.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        top = own.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    low = top.groupBy("root").agg(F.min("node").alias("low"))
+    out = sessions.stored(top.join(low, "root").select("node", F.col("low").alias("root")))
+    sessions.drop(*levels)
+    return out

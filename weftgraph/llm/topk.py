@@ -169,14 +169,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
     spark = vectors.sparkSession
     sessions.prepare(spark)
     named = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), components(F.col(f"`{embedding}`"), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).filter("id is not null and v is not null")
-    valid = sessions.settle(named.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")).withColumn("len", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
+    valid = sessions.stored(named.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")).withColumn("len", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
     rows, asked = valid.agg(F.count(F.lit(1)), F.sum(F.col("q").cast("int"))).first()
     if not asked:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     parts = -(-rows // BUCKET)
     # part 0 holds the longest vectors.
     dealt = valid.repartitionByRange(parts, F.desc("len"), "id").sortWithinPartitions(F.desc("len"), "id").select(F.spark_partition_id().alias("part"), "id", "v")
-    buckets = sessions.settle(dealt.mapInArrow(_pack(BUCKET), _PACKED))
+    buckets = sessions.stored(dealt.mapInArrow(_pack(BUCKET), _PACKED))
     parts = buckets.agg(F.max("part")).first()[0] + 1
     blocks = -(-asked // BLOCK)
     asks = valid.filter("q").repartition(blocks, "id").select(F.spark_partition_id().alias("part"), "id", "v").mapInArrow(_pack(BLOCK), _PACKED)
@@ -199,7 +199,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
                 reach.append(float(need.min()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floors, pa.binary()), pa.array(reach, pa.float64())], names=[*_NAMES, "floors", "reach"])
 
-    seeded = sessions.settle(asks.mapInArrow(seed, _PACKED + ", floors binary, reach double"))
+    seeded = sessions.stored(asks.mapInArrow(seed, _PACKED + ", floors binary, reach double"))
     # Blocks of queries go to the parts whose greatest length reaches what one of their queries needs.
     tops = buckets.groupBy("part").agg(F.max("most").alias("top"))
     last = seeded.select("ids", "vectors", "floors", "reach", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))

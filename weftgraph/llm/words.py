@@ -161,6 +161,31 @@ def distinct(unit: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return unit[new], value[new]
 
 
+def counted(unit: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (unit, value) in order of unit and value, and how often each stands there. Units must come in order."""
+    order = np.lexsort((value, unit))
+    value = value[order]
+    new = np.ones(len(unit), bool)
+    new[1:] = (unit[1:] != unit[:-1]) | (value[1:] != value[:-1])
+    at = np.flatnonzero(new)
+    return unit[at], value[at], np.diff(at, append=len(unit))
+
+
+def cells(value: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """One value for each unit of weight: the value itself, and others for its second, third, .. time.
+
+    The similarity of two sets of these is the weighted Jaccard similarity (sum of
+    the lesser counts by sum of the greater).
+    """
+    if (count == 1).all():
+        return value
+    number = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    every = np.repeat(value, count)
+    again = number > 0
+    every[again] = mix(every[again] + number[again].astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    return every
+
+
 def line_offsets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cut texts at ``\\n``: (offsets of lines, text of each line, number of each line in its text from 0).
 
