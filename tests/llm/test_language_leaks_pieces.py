@@ -41,6 +41,62 @@ def test_grams_of_words():
         assert sorted(count.tolist()) == plain(t)
 
 
+def plain_grams(text):
+    """Letter n-grams of a text, by count and then by hash, most frequent first."""
+    words, count = "".join(c if c.isalpha() else " " for c in text.lower()).split(), {}
+    for w in words:
+        p = f" {w} "
+        for n in (1, 2, 3):
+            for i in range(len(p) - n + 1):
+                if n > 1 or p[i] != " ":
+                    count[p[i : i + n]] = count.get(p[i : i + n], 0) + 1
+    return count
+
+
+def gram_hash(gram):
+    code = 0
+    for c in gram:
+        code = code << 21 | ord(c)
+    return int(language.mix(np.array([code], np.uint64))[0]) >> 20
+
+
+def ranked(count, most):
+    return {g: r for r, g in enumerate(sorted(count, key=lambda g: (-count[g], gram_hash(g)))[:most])}
+
+
+def brute_languages(learn, texts):
+    """(lang, score) of each text by out-of-place distances from plain dictionaries."""
+    sums = {}
+    for text, lang in learn:
+        for g, n in plain_grams(text).items():
+            own = sums.setdefault(lang, {})
+            own[g] = own.get(g, 0) + n
+    profiles = {lang: ranked(count, language.PROFILE) for lang, count in sorted(sums.items())}
+    out = []
+    for text in texts:
+        own = ranked(plain_grams(text or ""), language.TOP)
+        away = {lang: sum(abs(p[g] - r) if g in p else language.PROFILE for g, r in own.items()) for lang, p in profiles.items()}
+        best = min(away, key=lambda x: (away[x], x)) if own else "und"
+        out.append((best, 1 - away[best] / (len(own) * language.PROFILE) if own else 0.0))
+    return out
+
+
+def test_languages_equal_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    got = {r.doc_id: r for r in queries.op9_language(spark, SF).collect()}
+    held = {i: r.held_out for i, r in got.items()}
+    want = brute_languages([(r.text, r.lang) for r in rows if r.lang is not None and r.text is not None and not held[r.doc_id]], [r.text for r in rows])
+    for r, (lang, score) in zip(rows, want):
+        assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - score) < 1e-12
+
+
+def test_ties_of_distances_and_letters_of_every_plane(spark):
+    rows = [(1, "ab", "x"), (2, "ab", "w"), (3, "\U00032010 \U00032010", None), (4, "ab", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.predict(df, language.fit(df), keep=(df["doc_id"],)).collect()}
+    assert got == {1: "w", 2: "w", 3: "w", 4: "w"}
+
+
 def test_language_of_odd_rows(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "12 34", "en"), (5, "the dog", None), (6, "", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")

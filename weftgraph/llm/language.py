@@ -7,14 +7,18 @@ of the difference of ranks, or the profile's length where the profile has none.
 The least distance wins; the score is 1 less the distance as a part of the
 greatest possible one.
 
-Fitting reads at most ``sample`` labelled rows of each language, chosen by a hash
-of their text; more rows don't change profiles of a few hundred n-grams.
-Prediction reads every whole text.
+Fitting reads about ``sample`` labelled rows of each language, chosen by a hash
+of their text where they are read: no text is shuffled. More rows don't change
+profiles of a few hundred n-grams. Prediction reads every whole text.
 
 Defined results. A text that is null or has no letter gets ``und`` and score 0;
-so does every text if there are no labelled rows. Equal distances go to the
-language that is first by code point. Rows with a null label teach nothing.
-Rows are independent of each other when predicted.
+so does every text if there are no labelled rows, as in an empty table. Equal
+counts of n-grams go by the hash of the n-gram, equal distances to the language
+that is first by code point. Rows with a null label teach nothing; rows that
+repeat a text are taken or left together. Rows are independent of each other when
+predicted, so repeated rows get equal results. A very long text is worked on
+alone. Extra columns, whatever their names, are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from weftgraph.llm.words import mix
 PROFILE, TOP = 400, 300
 #: Most labelled rows of one language that fitting reads (about; chosen by hash).
 SAMPLE = 3000
+#: Most different labels; the table of their sizes is broadcast.
+LANGUAGES = 10_000
 #: Characters of a run of texts that are worked on at once.
 RUN = 1 << 19
 UNKNOWN = "und"
@@ -43,9 +49,7 @@ _letters: list[np.ndarray] = []
 
 def _is_letter() -> np.ndarray:
     if not _letters:
-        table = np.zeros(0x110000, bool)
-        table[: 0x32000] = [chr(i).isalpha() for i in range(0x32000)]
-        _letters.append(table)
+        _letters.append(np.array([chr(i).isalpha() for i in range(0x110000)], bool))
     return _letters[0]
 
 
@@ -115,9 +119,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
     sessions.prepare(docs.sparkSession)
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).filter("lang is not null and text is not null")
     sizes = rows.groupBy("lang").count()
+    if sizes.count() > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} different languages")
     # Hash threshold that lets about ``sample`` rows of each language through.
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))
-    chosen = rows.withColumn("u", F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))).join(sizes.withColumn("share", share).drop("count"), "lang").filter("u < share").select("lang", "text")
+    shares = F.broadcast(sizes.select("lang", share.alias("share")))
+    chosen = rows.withColumn("u", F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))).join(shares, "lang").filter("u < share").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
