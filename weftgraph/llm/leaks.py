@@ -2,8 +2,8 @@
 
 Method. Work starts with the text itself. Each layer is scanned for
 secrets, then for encoded parts: percent escapes, Unicode escapes and character
-references, base64 runs, and zlib or gzip data inside them. Each part that
-decodes to text becomes a layer of its own, worked on before the next part. What
+references, base64 runs (also behind other letters, or broken over lines), and
+zlib or gzip data inside them. Each part becomes a layer of its own, worked on before the next part. What
 was found in a layer is kept by its digest and mapped through every further place
 of the same content; a layer inside an equal one isn't worked on, so cycles end;
 every layer is made of fewer or equal bytes than the one around it, except
@@ -14,12 +14,14 @@ by its quartets, compressed layers to the whole run.
 
 Defined results. A null text is empty. A secret inside several layers is
 reported once for each span it maps to; base spans of the text are always kept.
-Rows are independent; an empty table gives an empty result.
+Rows are independent, so repeated rows get equal results; a very long text is
+worked on alone. Kept columns may have any names: if one is called ``base`` or
+``every``, the result's own column gets an underscore. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import codecs
 import hashlib
@@ -48,6 +50,13 @@ _UNICODE = re.compile(
     r"|&#[xX]?[0-9A-Fa-f]+;|&(?:quot|amp|apos|lt|gt|equals|colon);"
 )
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 broken over lines: lines of 16 letters or more, and a last one.
+_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}[\x20\t]*\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]{2,}={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: How gzip and zlib data begin, behind other bytes.
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: The shortest secret: 16 hex digits.
+LEAST_BYTES = 16
 #: Bytes of compressed data that are decompressed at once.
 MAX_INFLATED = 1 << 20
 #: Characters that are in no secret and no encoded part: data are cut after them.
@@ -89,14 +98,6 @@ class Layer:
         return self.highs[i] if last else self.lows[i]
 
 
-def _texty(data: bytes) -> str | None:
-    """The bytes as text, if they are UTF-8."""
-    try:
-        return data.decode("utf-8") or None
-    except UnicodeDecodeError:
-        return None
-
-
 def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer's text with each match decoded, or None if nothing is."""
     out, marks, lows, highs, size, at = [], [], [], [], 0, 0
@@ -176,35 +177,52 @@ def _windows(data: bytes) -> Iterator[str]:
         yield rest
 
 
+def _parts(text: str) -> Iterator[tuple[str, int, int, list[int]]]:
+    """Base64 of a text: (letters, start, end, places of the line breaks taken out, counted in letters, with the sizes of what went)."""
+    for m in _BASE64.finditer(text):
+        yield m[0].rstrip("="), m.start(), m.end(), []
+    for m in _WRAPPED.finditer(text) if "\n" in text else ():
+        letters, breaks = [], []
+        for line in _LINE.finditer(text, m.start(), m.end()):
+            breaks.append((sum(map(len, letters)), line.start()))
+            letters.append(line[0])
+        yield "".join(letters), m.start(), m.end(), breaks
+
+
 def _runs(layer: Layer) -> Iterator[Layer]:
-    """Layers of the base64 runs of a layer, and of compressed data in them."""
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        # Letters of one case alone are words, or the hex digits that are scanned as such.
-        if run.isalpha() and (run.islower() or run.isupper() or run.istitle()) and len(run) < 24:
-            continue
-        try:
-            data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
+    """Layers of the base64 in a layer, and of compressed data in them.
+
+    A run may follow other letters, so it is read from each of its first four
+    places. Bytes are read as one character each: secrets and encodings are ASCII,
+    so no byte elsewhere can hide one.
+    """
+    for letters, start, end, breaks in _parts(layer.text):
+        # Under 24 letters of one case hold at most 17 bytes, and hex digits always give both cases: no secret.
+        if len(letters) < 24 and letters.isalpha() and (letters.islower() or letters.isupper() or letters.istitle()):
             continue
-        if _packed(data):
+        plain = letters.replace("-", "+").replace("_", "/")
+        for skip in range(min(4, len(plain))):
+            run = plain[skip:]
+            run = run[:-1] if len(run) % 4 == 1 else run
+            data = binascii.a2b_base64(run + "=" * (-len(run) % 4))
             inflated = False
-            for text in _windows(data):
-                inflated = True
-                yield Layer(text, [0], [m.start()], [m.end()], whole=True)
+            for at in {0, *(m.start() for m in _PACKED.finditer(data))} if len(data) > 8 else ():
+                for text in _windows(data[at:]):
+                    inflated |= not at
+                    yield Layer(text, [0], [start], [end], whole=True)
             if inflated:
                 continue
-        text = _texty(data)
-        if text is None:
-            continue
-        if len(text) == len(data):  # ASCII: three characters from each quartet
-            marks = list(range(0, len(text), 3))
-            lows = [m.start() + i // 3 * 4 for i in marks]
-            yield Layer(text, marks, lows, [min(x + 4, m.end()) for x in lows])
-        else:
-            yield Layer(text, [0], [m.start()], [m.end()])
+            if len(data) < LEAST_BYTES:
+                continue
+            marks = list(range(0, len(data), 3))
+            lows = [skip + i // 3 * 4 for i in marks]
+            highs = [min(x + 4, len(letters)) - 1 for x in lows]
+            if breaks:
+                ats = [a for a, _ in breaks]
+                place = lambda i: breaks[k := bisect_right(ats, i) - 1][1] + i - ats[k]
+            else:
+                place = lambda i: start + i
+            yield Layer(data.decode("latin-1"), marks, [place(i) for i in lows], [place(i) + 1 for i in highs], whole=True)
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
@@ -269,7 +287,8 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     sessions.prepare(docs.sparkSession)
     chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    names = [*keep, "base", "every"]
+    own = [sessions.spare(c, list(keep)) for c in ("base", "every")]
+    names = [*keep, *own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +298,7 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return chosen.mapInArrow(run, ", ".join([*fields, f"base {span}", f"every {span}"]))
+    return chosen.mapInArrow(run, ", ".join([*fields, *[f"`{c}` {span}" for c in own]]))
 
 
 def _text_of(column: str):
@@ -287,7 +306,7 @@ def _text_of(column: str):
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """Counts by kind, the digest of the base spans and the list of all spans."""
-    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    others = [c for c in found.columns if c not in ("base", "every")]
-    return found.select(*[f"`{c}`" for c in others], *[count(k) for k in KINDS], F.sha2(F.encode(_text_of("base"), "UTF-8"), 256).alias("base_sha256"), _text_of("every").alias("spans"))
+    """Counts by kind, the digest of the base spans and the list of all spans, in place of the last two columns of ``find``."""
+    *others, base, every = found.columns
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(*[f"`{c}`" for c in others], *[count(k) for k in KINDS], F.sha2(F.encode(_text_of(base), "UTF-8"), 256).alias("base_sha256"), _text_of(every).alias("spans"))
