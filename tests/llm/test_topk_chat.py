@@ -90,3 +90,21 @@ def test_digest_of_conversations(spark):
         assert got[c].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert got[c].formatted_chars == sum(len(chat.render(r, t)[0]) for r, t in mine)
     assert chat.digest(chat.format_log(chat.events_of(df.limit(0)))).count() == 0
+
+
+def test_the_log_of_a_table_holds_every_kind_out_of_order(spark):
+    rows = [(c, t, "user" if t % 2 else "assistant", f"text {c} of turn {t}, \u00e9\u6f22 ###") for c in range(6) for t in range(9)] + [(2, 3, "user", "again"), (2, 3, "user", "again"), (7, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.events_of(df)
+    events = log.collect()
+    assert {e.kind for e in events} == {"delta", "edit", "regenerate", "delete"}
+    assert any(a.conv_id == b.conv_id and a.msg == b.msg and a.seq > b.seq for a, b in zip(events, events[1:]))
+    turns = chat.format_log(log.orderBy(F.rand(3))).collect()
+    got = {}
+    for r in sorted(turns, key=lambda r: (r.conv_id, r.turn)):
+        role, text, _, _ = chat.parse(r.rendered)
+        got.setdefault(r.conv_id, []).append((role, text))
+    want = {}
+    for c, t, role, text in sorted(rows, key=lambda x: (x[0], x[1], x[2] or "", x[3] or "")):
+        want.setdefault(c, []).append((role or "", text or ""))
+    assert got == want

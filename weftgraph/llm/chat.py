@@ -2,13 +2,17 @@
 
 Method. A log holds events of conversations: parts of messages as they were
 streamed (``delta``), replacements of a message's text (``edit``), restarts of a
-message (``regenerate``) and removals (``delete``). Events are dealt by
-conversation, sorted by sequence and folded into final messages; messages are
-then rendered with a template that marks turns and escapes control strings in
-texts, reversibly, and the loss mask covers the assistants' texts.
-
-Events are folded as a stream over sorted rows: an executor holds one message
-at a time, however long its conversation is. Rendered turns are rows of their
+message (``regenerate``) and removals (``delete``); ``message`` is a whole message
+of its own. Events are dealt by conversation, sorted by sequence and folded into
+final messages; messages are then rendered with a template that marks turns and
+escapes control strings in texts, reversibly, and the loss mask covers the
+assistants' texts.
+
+Streams of one conversation overlap in its sequence. An event only acts on its own
+message, so the rows are sorted by message and, within it, by sequence: folding is
+a stream over sorted rows, and an executor holds one message at a time, however
+long its conversation is. One task takes a whole conversation, since its output
+and its digests are ordered. Rendered turns are rows of their
 own with their place in the conversation's output, so no value holds a whole
 conversation.
 
@@ -21,7 +25,9 @@ Defined results. A null text is an empty text, a null role an empty role. Rows
 with the same conversation and sequence are taken in order of message, role and
 text. Events of a conversation whose id is null form a conversation of their
 own. An empty table gives an empty result. A message without a surviving event
-(deleted) is not rendered.
+(deleted) is not rendered. Rows of a table that repeat a conversation and turn are
+messages of their own, in order of role and text. Extra columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import sessions
@@ -81,8 +87,35 @@ def parse(turn: str) -> tuple[str, str, int, int]:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A log from a table (conv_id, turn, role, text) of final rows: each row is the one event of its message."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit(None).cast("long").alias("msg"), F.lit("message").alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    """A log (EVENTS) whose final messages are the rows (conv_id, turn, role, text) of a table, by turn.
+
+    A hash of each message picks how it came about: streamed in three parts; a draft
+    and an edit; a false start and a regeneration; or all of that. Streams of
+    neighbouring messages overlap, and every other message's events stand in the log
+    in reverse.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+    by_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    number = rows.withColumn("msg", (F.row_number().over(by_turn) - 1).cast("long")).withColumn("h", F.xxhash64("conv_id", "msg", "text"))
+    n = F.length("text") + 1
+    cuts = number.withColumn("x", F.pmod("h", n).cast("int")).withColumn("y", F.pmod(F.shiftright("h", 20), n).cast("int"))
+    a, b = F.least("x", "y"), F.greatest("x", "y")
+    one, two, three = F.substring("text", F.lit(1), a), F.substring("text", a + 1, b - a), F.substring("text", b + 1, n)
+    rest = F.substring("text", a + 1, n)
+    event = lambda step, kind, part: F.struct((F.col("msg") * 8 + step * 11).alias("seq"), F.lit(kind).alias("kind"), part.alias("part"))
+    streamed = lambda start: [event(start + i, "delta", p) for i, p in enumerate((one, two, three))]
+    draft = F.concat(F.lit("draft: "), two)
+    ways = [
+        F.array(*streamed(0)),
+        F.array(event(0, "delta", draft), event(1, "delta", one), event(2, "edit", F.col("text"))),
+        F.array(event(0, "delta", F.reverse(F.col("text"))), event(1, "regenerate", one), event(2, "delta", rest)),
+        F.array(event(0, "delta", one), event(1, "edit", draft), event(2, "delete", F.lit("")), event(3, "regenerate", F.lit("")), *streamed(4)),
+    ]
+    way = F.pmod(F.shiftright("h", 40), F.lit(len(ways)))
+    events = F.when(way == 0, ways[0]).when(way == 1, ways[1]).when(way == 2, ways[2]).otherwise(ways[3])
+    dealt = F.when(F.col("msg") % 2 == 1, F.reverse(events)).otherwise(events)
+    return cuts.select("conv_id", "msg", "role", F.explode(dealt).alias("e")).select("conv_id", "e.seq", "msg", "e.kind", "role", F.col("e.part").alias("text"))
 
 
 def fold(rows: Iterator[tuple]) -> Iterator[tuple]:

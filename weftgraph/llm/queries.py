@@ -75,15 +75,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_chat": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+w AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\3'), '</turn>', '\/') AS written,
+         replace(replace(replace(replace(replace(role, '\', '\\'), '###', '\3'), '</turn>', '\/'), '\', '\\'), ')', '\)') AS other
+  FROM c
+),
+s AS (SELECT *, 15 + CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role) ELSE 7 + length(other) END + length(written) AS size FROM w)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+""",
         "op1_top_k": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS c
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ),
 s AS (
   SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.c, d.c), z -> z[1] * z[2])) AS BIGINT) AS score
+         CAST(list_sum([z[1] * z[2] FOR z IN list_zip(q.c, d.c)]) AS BIGINT) AS score
   FROM v q JOIN v d ON q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id
 ),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
