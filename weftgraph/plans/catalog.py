@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text
-from weftgraph.operators import model, neighbors, search, traverse
+from weftgraph.operators import extract, model, neighbors, search, traverse
+from weftgraph.sources import files, generated
 from weftgraph.sources.entities import entity_edges, entity_nodes, table
 from weftgraph.streaming import snapshots
 
@@ -219,6 +220,66 @@ def signature_format(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", level.alias("access"), text.signature(level, F.concat(F.lit("Order"), s("o_orderkey")), params, F.col("o_orderstatus")).alias("signature"))
 
 
+#: What the generated sources hold, in SQL: nodes with their file, kind, search name and namespace.
+CODE = """sup AS (SELECT count(*) AS n FROM supplier),
+ords AS (SELECT o_orderkey, o_custkey, concat('Sales.Customer', o_custkey, '.Order', o_orderkey, '()') AS id, concat('Trade.Supplier', o_orderkey % n) AS callee FROM orders JOIN customer ON c_custkey = o_custkey CROSS JOIN sup),
+cn AS (
+  SELECT concat('Geo.Region', r_regionkey) AS id, 'Interface' AS kind, concat('/Geo/Region', r_regionkey, '.cs') AS file, concat('Region', r_regionkey) AS name, 'Geo' AS namespace FROM region
+  UNION ALL SELECT concat('Geo.Nation', n_nationkey), 'Interface', concat('/Geo/Nation', n_nationkey, '.cs'), concat('Nation', n_nationkey), 'Geo' FROM nation
+  UNION ALL SELECT concat('Geo.Nation', n_nationkey, '.Name'), 'Property', concat('/Geo/Nation', n_nationkey, '.cs'), 'Name', 'Geo' FROM nation
+  UNION ALL SELECT unnest([concat('Trade.Supplier', s_suppkey), concat('Trade.Supplier', s_suppkey, '.Supplier', s_suppkey, '()'), concat('Trade.Supplier', s_suppkey, '.Name'), concat('Trade.Supplier', s_suppkey, '.Ship(int, string?)')]),
+    unnest(['Class', 'Method', 'Property', 'Method']), concat('/Trade/Supplier', s_suppkey, '.cs'), unnest([concat('Supplier', s_suppkey), concat('Supplier', s_suppkey), 'Name', 'Ship']), 'Trade' FROM supplier
+  UNION ALL SELECT unnest([concat('Sales.Customer', c_custkey), concat('Sales.Customer', c_custkey, '.Customer', c_custkey, '(Geo.Nation', c_nationkey, ')'), concat('Sales.Customer', c_custkey, '.Place()')]),
+    unnest(['Class', 'Method', 'Method']), concat('/Sales/Customer', c_custkey, '.cs'), unnest([concat('Customer', c_custkey), concat('Customer', c_custkey), 'Place']), 'Sales' FROM customer
+  UNION ALL SELECT id, 'Method', concat('/Sales/Customer', o_custkey, '.cs'), concat('Order', o_orderkey), 'Sales' FROM ords
+),
+ce AS (
+  SELECT concat('Geo.Nation', n_nationkey) AS src, concat('Geo.Region', n_regionkey) AS dst, 'IMPLEMENTS' AS type FROM nation
+  UNION ALL SELECT concat('Geo.Nation', n_nationkey), concat('Geo.Nation', n_nationkey, '.Name'), 'CONTAINS' FROM nation
+  UNION ALL SELECT concat('Trade.Supplier', s_suppkey), concat('Geo.Nation', s_nationkey), 'IMPLEMENTS' FROM supplier
+  UNION ALL SELECT concat('Trade.Supplier', s_suppkey), concat('Trade.Supplier', s_suppkey, unnest([concat('.Supplier', s_suppkey, '()'), '.Name', '.Ship(int, string?)'])), 'CONTAINS' FROM supplier
+  UNION ALL SELECT concat('Trade.Supplier', s_suppkey, '.Ship(int, string?)'), concat('Trade.Supplier', s_suppkey, '.Ship(int, string?)'), 'CALLS' FROM supplier
+  UNION ALL SELECT concat('Sales.Customer', c_custkey), concat('Geo.Nation', c_nationkey), 'INJECTS' FROM customer
+  UNION ALL SELECT concat('Sales.Customer', c_custkey), concat('Sales.Customer', c_custkey, unnest([concat('.Customer', c_custkey, '(Geo.Nation', c_nationkey, ')'), '.Place()'])), 'CONTAINS' FROM customer
+  UNION ALL SELECT concat('Sales.Customer', c_custkey, '.Place()'), concat('Geo.Nation', c_nationkey, '.Name'), 'REFERENCES' FROM customer
+  UNION ALL SELECT concat('Sales.Customer', o_custkey), id, 'CONTAINS' FROM ords
+  UNION ALL SELECT id, concat(callee, '.Ship(int, string?)'), 'CALLS' FROM ords
+)"""
+
+
+def _code(spark, sf_dir):
+    return extract.documents(generated.sources(spark, sf_dir))
+
+
+@_query("code_edges", f"WITH {CODE} SELECT src, dst, type FROM ce")
+def code_edges(spark, sf_dir):
+    return model.edges(_code(spark, sf_dir)).select("src", "dst", "type")
+
+
+@_query("code_nodes", f"WITH {CODE} SELECT id, kind, file, name, namespace FROM cn")
+def code_nodes(spark, sf_dir):
+    return model.nodes(_code(spark, sf_dir)).select("id", "kind", "file", "name", "namespace")
+
+
+@_query("code_neighbors", f"""WITH {CODE}, cown AS (SELECT dst AS member, min(src) AS owner FROM ce WHERE type = 'CONTAINS' GROUP BY 1)
+SELECT coalesce(so.owner, ce.src) AS node_id, coalesce(d.owner, ce.dst) AS neighbor_id, 'out' AS direction, type AS edge_kind, count(*) AS n
+FROM ce LEFT JOIN cown so ON so.member = ce.src LEFT JOIN cown d ON d.member = ce.dst WHERE type <> 'CONTAINS' AND coalesce(so.owner, ce.src) <> coalesce(d.owner, ce.dst) GROUP BY ALL""")
+def code_neighbors(spark, sf_dir):
+    return neighbors.all_types(model.edges(_code(spark, sf_dir)).select("src", "dst", "type", "seq")).filter("direction = 'out'")
+
+
+@_query("code_contracts", """SELECT concat('/Trade/Supplier', s_suppkey, '.cs') AS file, concat('Supplier', s_suppkey) AS name, 'class' AS kind, 'public' AS access, concat('Nation', s_nationkey) AS base, '' AS implements, 1 AS methods, 1 AS properties, 'Serializable' AS attributes, 'units:int, note:string?' AS parameters, '' AS dependencies FROM supplier
+UNION ALL SELECT concat('/Geo/Nation', n_nationkey, '.cs'), concat('Nation', n_nationkey), 'interface', 'public', NULL, concat('Region', n_regionkey), 0, 1, '', '', '' FROM nation
+UNION ALL SELECT concat('/Geo/Region', r_regionkey, '.cs'), concat('Region', r_regionkey), 'interface', 'public', NULL, '', 0, 0, '', '', '' FROM region
+UNION ALL SELECT concat('/Sales/Customer', c_custkey, '.cs'), concat('Customer', c_custkey), 'class', 'public', NULL, '', 1 + count(o_orderkey), 0, '', '', concat('home:Nation', c_nationkey) FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_nationkey""")
+def code_contracts(spark, sf_dir):
+    rows = files.type_rows(files.contracts(generated.sources(spark, sf_dir)))
+    listed = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    named = lambda c: F.coalesce(F.array_join(F.transform(c, lambda p: F.concat(p["name"], F.lit(":"), p["type"])), ", "), F.lit(""))
+    n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
+    return rows.select("file", "name", "kind", "access", "base", listed("implements").alias("implements"), n("methods").alias("methods"), n("properties").alias("properties"), listed("attributes").alias("attributes"), named(F.col("methods")[0]["parameters"]).alias("parameters"), named("constructor_dependencies").alias("dependencies"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _FOUND.items()}
 
