@@ -46,6 +46,8 @@ BUCKET_BITS, PIECES = 20, 16
 _TURN = 44
 #: Token sets that a task remembers, so that it sends the prefix of a repeated line once.
 REMEMBERED = 500_000
+#: Rows of one token that are looked at together.
+GROUP = 200_000
 #: Token sets on each side of a tile of pairs.
 TILE = 512
 
@@ -128,8 +130,12 @@ def prefix_length(n: np.ndarray, least: float) -> np.ndarray:
 def _nodes(unit: np.ndarray, whole: np.ndarray, some: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The name of each line's token set, from the distinct 64-bit hashes. some: the lines, in order; n: their numbers of distinct tokens."""
     at = np.searchsorted(unit, some)
-    if (np.diff(np.append(at, len(unit))) != n).any():  # a line repeats a shingle
-        unit, whole = distinct(unit, whole)
+    if (more := np.diff(np.append(at, len(unit))) != n).any():  # lines that repeat a shingle
+        own = np.repeat(more, np.diff(np.append(at, len(unit))))
+        fewer = distinct(unit[own], whole[own])
+        unit, whole = np.concatenate([unit[~own], fewer[0]]), np.concatenate([whole[~own], fewer[1]])
+        by = np.argsort(unit, kind="stable")
+        unit, whole = unit[by], whole[by]
         at = np.searchsorted(unit, some)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(whole ^ np.uint64(0x1D8E4E27C47D124F)))])
     ends = np.append(at[1:], len(unit))
@@ -170,29 +176,68 @@ def _lines(table, width: int, min_words: int, least: float):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (token, node, n, pos) sorted by token and node, those whose token more than one node has, once each.
+def _fit(token: np.ndarray, n: np.ndarray, pos: np.ndarray, least: float) -> np.ndarray:
+    """Which rows (token, n, pos), sorted by token, may have a partner under their token.
 
-    A row stays if a neighbour has its token, so one row is held between batches.
+    A pair's first shared token must leave room for the overlap in both lines; for the
+    smaller line that means a place under n - 2 t / (1 + t) n. Tokens without such a
+    line, and lines too small or large for those, have no pair.
     """
-    names = ["token", "node", "n", "pos"]
-    held, held_same = None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-        rows = rows if held is None else np.concatenate([held, rows], axis=1)
-        once = np.ones(rows.shape[1], bool)
-        once[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
-        rows = rows[:, once]
-        same = np.zeros(rows.shape[1] + 1, bool)
-        same[0] = held_same
-        same[1:-1] = rows[0, 1:] == rows[0, :-1]
-        keep = (same[:-1] | same[1:])[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:, :-1][:, keep]], names=names)
-        held, held_same = rows[:, -1:].copy(), bool(same[-2])
-    if held is not None and held_same:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=names)
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    of = np.repeat(np.arange(len(start)), np.diff(start, append=len(token)))
+    early = pos <= n - np.ceil(2 * least / (1 + least) * n - 1e-9)
+    none = np.iinfo(np.int64).max
+    low = np.minimum.reduceat(np.where(early, n, none), start)[of]
+    high = np.maximum.reduceat(np.where(early, n, 0), start)[of]
+    keep = (n >= low) & (n * least <= high + 1e-9) & (low < none)
+    return keep & (np.bincount(of, keep)[of] > 1)
+
+
+def _shared(least: float):
+    """Of rows (token, node, n, pos) sorted by token and node, those whose token more than one node has, once each, with the token's number of rows.
+
+    Tokens are looked at whole, and rows without a possible partner go, as long as
+    a token has at most GROUP rows in a batch; of a larger one all rows stay, with
+    no number.
+    """
+    names = ["token", "node", "size"]
+
+    def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        token, node, n, pos = rows
+        once = np.ones(len(token), bool)
+        once[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+        token, node, n, pos = rows[:, once]
+        keep = _fit(token, n, pos, least)
+        token, node = token[keep], node[keep]
+        if len(token):
+            _, of, size = np.unique(token, return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(size[of])], names=names)
+
+    def passed(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.nulls(rows.shape[1], pa.int64())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large = np.zeros((4, 0), np.int64), None
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
+            if large is not None:
+                end = int(np.searchsorted(rows[0], large, "right"))
+                if end:
+                    yield passed(rows[:, :end])
+                rows = rows[:, end:]
+            if not rows.shape[1]:
+                continue
+            cut, large = int(np.searchsorted(rows[0], rows[0, -1], "left")), None
+            if cut:
+                yield from out(rows[:, :cut])
+            held = rows[:, cut:]
+            if held.shape[1] > GROUP:
+                yield passed(held)
+                held, large = held[:, :0], held[0, -1]
+        if held.shape[1]:
+            yield from out(held)
+
+    return run
 
 
 def _place(k, line):
@@ -218,7 +263,7 @@ def _cut(marks):
     return run
 
 
-def _dealt(todo: DataFrame, firsts: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+def _dealt(todo: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     """The sets that share a token, with order, copies and text, in tiles of about TILE sets by TILE: (token, i, j, side, node, no, id, k, line, copies, text).
 
     A large group goes to as many tiles as its pairs fill, so no task holds it whole.
@@ -227,8 +272,7 @@ def _dealt(todo: DataFrame, firsts: DataFrame, texts: DataFrame, parts: int) ->
     cut = todo.select("token", "node", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).alias("own"))
     to = cut.select("token", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
     sides = to.select("token", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("long").alias("side"))
-    info = texts.join(firsts, "node").select("node", F.col("at.no").cast("long").alias("no"), F.coalesce("at.id", F.lit(0)).alias("id"), F.col("at.k").alias("k"), F.col("at.line").alias("line"), "copies", "text")
-    rows = sides.join(info, "node").select("token", "i", "j", "side", "node", "no", "id", "k", "line", "copies", "text")
+    rows = sides.join(texts, "node").select("token", "i", "j", "side", "node", "no", "id", "k", "line", "copies", "text")
     return rows.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "side", "node")
 
 
@@ -298,7 +342,7 @@ class _Sets:
         # Places in one sorted column of (set, token), for look-ups.
         _, rank = np.unique(self.value, return_inverse=True)
         self.ranks, self.span = rank.astype(np.int64), int(rank.max(initial=0)) + 1
-        self.places = owner * self.span + self.ranks
+        self.places = np.sort(owner * self.span + self.ranks)
         self.odd = similar.parities(owner, self.value, len(found), _ODD)
 
     def alike(self, a: np.ndarray, b: np.ndarray, token: np.ndarray, least: float) -> np.ndarray:
@@ -410,58 +454,56 @@ def _join(docs: DataFrame, doc_id: str, text: str, width: int, least: float, min
     firsts = sessions.stored(lines.groupBy("node").agg(F.min(at).alias("at"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
     tokens = lines.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "n", F.col("pos").cast("long").alias("pos"))
     dealt = tokens.repartition(sessions.partitions(spark), "token").sortWithinPartitions("token", "node")
-    shared = sessions.stored(dealt.mapInArrow(_shared, "token bigint, node bigint, n bigint, pos bigint"))
-    # A pair's first shared token must leave room for the overlap in both lines; for the
-    # smaller line that means a place under n - 2 t / (1 + t) n. Tokens without such a
-    # line, and lines too small or large for those, have no pair.
-    early = F.col("pos") <= F.col("n") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - F.lit(1e-9))
-    spread = shared.withColumn("early", early).groupBy("token").agg(F.min(F.when(F.col("early"), F.col("n"))).alias("low"), F.max(F.when(F.col("early"), F.col("n"))).alias("high"))
-    fit = shared.join(spread.filter("low is not null"), "token").filter((F.col("n") >= F.col("low")) & (F.col("n") * F.lit(least) <= F.col("high") + F.lit(1e-9)))
-    sized = fit.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    todo = sessions.stored(fit.select("token", "node", "n", "pos").join(sized, "token").join(firsts.select("node", "at"), "node"))
+    shared = sessions.stored(dealt.mapInArrow(_shared(least), "token bigint, node bigint, size bigint"))
+    large = shared.filter("size is null").select("token", "node").distinct()
+    sizes = large.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    todo = shared.filter("size is not null").unionByName(large.join(sizes, "token"))
     # Texts of the lines that have a candidate, cut out where the documents are read: a
     # bitmap of fixed size lets few other lines through, and the join drops those.
-    chosen = sessions.stored(firsts.join(todo.select("node").distinct(), "node").select("node", F.col("at.k").alias("k"), F.col("at.line").alias("line")))
+    wanted = firsts.join(todo.select("node").distinct(), "node")
+    chosen = sessions.stored(wanted.select("node", F.col("at.no").cast("long").alias("no"), F.coalesce("at.id", F.lit(0)).alias("id"), F.col("at.k").alias("k"), F.col("at.line").alias("line"), "copies"))
     marks = spark.sparkContext.broadcast(bitmaps.build(chosen.select(_place(F.col("k"), F.col("line")))))
-    likely = read.select("k", "text").mapInArrow(_cut(marks), "k bigint, line bigint, text string")
-    texts = sessions.stored(likely.join(chosen, ["k", "line"]).select("node", "text").dropDuplicates(["node"]))
-    dealt = _dealt(todo, firsts, texts, sessions.partitions(spark))
-    links = sessions.stored(dealt.mapInArrow(_links(table, width, least), "node bigint, links bigint, match bigint, root bigint"))
+    likely = read.select("k", "text").mapInArrow(_cut(marks), "k bigint, line bigint, text string").dropDuplicates(["k", "line"])
+    texts = sessions.stored(likely.join(chosen, ["k", "line"]))
+    tiled = _dealt(todo, texts, sessions.partitions(spark))
+    links = sessions.stored(tiled.mapInArrow(_links(table, width, least), "node bigint, links bigint, match bigint, root bigint"))
+    sessions.drop(shared, chosen, texts)
+    marks.unpersist()
+    sessions.release(spark)
     return lines, firsts, links
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per line with tokens: k (hash of id and text), doc_id, line (from 0), node (token set), first (it is the set's first line), match (an earlier set's node that it is similar to, or null), links (similar lines of other token sets) and removed."""
+    """One row per line that has copies or similar lines: k (hash of id and text), doc_id, line (from 0), node (token set), first (it is the set's first line), match (an earlier set's node that it is similar to, or null), links (similar lines of other token sets), removed, and lead (k of the set's first line)."""
     return _repeated(*_join(docs, doc_id, text, width, least, min_words))
 
 
 def _repeated(lines: DataFrame, firsts: DataFrame, links: DataFrame) -> DataFrame:
+    """``repeated_lines`` without the lines that have neither copies nor links."""
     by_node = links.groupBy("node").agg(F.min("match").alias("match"), F.sum("links").alias("links"))
-    own = lines.select("k", "id", "line", "node").join(firsts.select("node", "at"), "node")
-    own = own.join(by_node, "node", "left")
+    some = firsts.join(by_node, "node", "left").filter("copies > 1 or links is not null").select("node", "at", "match", "links")
+    own = lines.select("k", "id", "line", "node").join(some, "node")
     here = F.struct(F.col("id").isNull().alias("no"), "id", "k", "line")
     first = here.eqNullSafe(F.col("at"))
-    return own.select("k", F.col("id").alias("doc_id"), "line", "node", first.alias("first"), "match", F.coalesce("links", F.lit(0)).cast("long").alias("links"), (~first | F.col("match").isNotNull()).alias("removed"))
+    return own.select("k", F.col("id").alias("doc_id"), "line", "node", first.alias("first"), "match", F.coalesce("links", F.lit(0)).cast("long").alias("links"), (~first | F.col("match").isNotNull()).alias("removed"), F.col("at.k").alias("lead"))
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents with all their columns, and ``removed_lines``; their text lacks the lines that repeat earlier ones."""
-    return _cleaned(docs, repeated_lines(docs, doc_id, text, **options), doc_id, text).drop("__k")
+    """The documents with all their columns, and as the last one the lines that went (``removed_lines``, with an underscore if there is such a column); their text lacks the lines that repeat earlier ones."""
+    marked = repeated_lines(docs, doc_id, text, **options).filter("removed").select("k", "line").distinct()
+    gone = marked.groupBy("k").agg(F.sort_array(F.collect_list(F.col("line").cast("int"))).alias("gone"))
+    key, own, parts, last = (sessions.spare(c, docs.columns) for c in ("k", "gone", "parts", "removed_lines"))
+    joined = docs.withColumn(key, _key(doc_id, text)).join(gone.select(F.col("k").alias(key), F.col("gone").alias(own)), key, "left")
+    return _cut_out(joined, text, own, parts).select(*[f"`{c}`" for c in docs.columns], F.coalesce(F.col(own), F.array().cast("array<int>")).alias(last))
 
 
-def _cleaned(docs: DataFrame, marked: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``clean`` from the lines that ``repeated_lines`` gives, with the key __k of each text."""
-    gone = marked.filter("removed").select("k", "line").distinct()
-    per_text = gone.groupBy("k").agg(F.sort_array(F.collect_list(F.col("line").cast("int"))).alias("__gone")).withColumnRenamed("k", "__k")
-    names = [c for c in docs.columns]
-    joined = docs.withColumn("__k", _key(doc_id, text)).join(per_text, "__k", "left")
+def _cut_out(docs: DataFrame, text: str, gone: str, parts: str) -> DataFrame:
+    """``docs`` with the lines whose numbers are in ``gone`` (null: none) cut out of the text. Takes a step for each line."""
     column = F.col(f"`{text}`")
-    parts = F.split(column, "\n")
-    # An array of flags by place, so that the filter costs one look per line.
-    flags = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_contains("__gone", i))
-    kept = F.transform(F.filter(F.arrays_zip(parts.alias("p"), flags.alias("g")), lambda x: ~x["g"]), lambda x: x["p"])
-    cleaned = F.when(F.col("__gone").isNull(), column).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in names], F.coalesce(F.col("__gone"), F.array().cast("array<int>")).alias("removed_lines"), "__k")
+    split = docs.withColumn(parts, F.when(F.col(gone).isNotNull(), F.split(column, "\n")))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col(parts), i)), "\n")
+    return split.withColumn(text, F.when(F.col(gone).isNull(), column).otherwise(kept))
 
 
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST, min_words: int = MIN_WORDS) -> DataFrame:
@@ -473,19 +515,21 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     token set.
     """
     lines, firsts, links = _join(docs, doc_id, text, width, least, min_words)
-    marked = sessions.stored(_repeated(lines, firsts, links).select("k", "doc_id", "line", "node", "links", "removed"))
+    marked = sessions.stored(_repeated(lines, firsts, links).select("k", "line", "node", "links", "removed", "lead"))
+    sessions.drop(lines, firsts)
     # The documents of a set hang on the set's first one, sets of a class on each other's first ones.
-    lead = firsts.select("node", F.col("at.k").alias("lead"))
-    equal = marked.select("k", "node").join(lead, "node").filter("k <> lead").select(F.col("k").alias("a"), F.col("lead").alias("b"))
+    equal = marked.filter("k <> lead").select(F.col("k").alias("a"), F.col("lead").alias("b")).distinct()
+    lead = marked.select("node", "lead").distinct()
     alike = links.filter("node <> root").select("node", "root").distinct().join(lead, "node").select(F.col("lead").alias("a"), F.col("root").alias("node"))
     alike = alike.join(lead, "node").filter("a <> lead").select("a", F.col("lead").alias("b"))
-    grouped = sessions.stored(similar.classes(equal.unionByName(alike).distinct()))
+    grouped = similar.classes(equal.unionByName(alike))
     ids = docs.select(_key(doc_id, text).alias("k"), F.col(f"`{doc_id}`").cast("long").alias("id")).distinct()
     first = ids.join(grouped, ids["k"] == grouped["node"]).groupBy("root").agg(F.min("id").alias("class_id"))
-    class_of = grouped.join(first, "root").select(F.col("node").alias("__n"), "class_id")
+    class_of = grouped.join(first, "root").select(F.col("node").alias("k"), F.lit(True).alias("classed"), "class_id")
     # A row that stands twice has its lines twice in the table.
-    counts = marked.select("k", "line", "links").distinct().groupBy(F.col("k").alias("__c")).agg(F.sum("links").alias("links"))
-    cleaned = _cleaned(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), marked, "doc_id", "text").withColumn("__id", F.col("doc_id").cast("long"))
-    joined = cleaned.join(class_of, F.col("__k") == F.col("__n"), "left").join(counts, F.col("__k") == F.col("__c"), "left")
-    known = F.when(F.col("__n").isNull(), F.col("__id")).otherwise(F.col("class_id"))
-    return joined.select("doc_id", known.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), "text", "removed_lines")
+    numbers = F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line").cast("int")))).alias("gone")
+    counts = marked.select("k", "line", "links", "removed").distinct().groupBy("k").agg(F.sum("links").alias("links"), numbers)
+    known = counts.join(class_of, "k", "left").withColumn("gone", F.when(F.size("gone") > 0, F.col("gone")))
+    joined = docs.select(_key(doc_id, text).alias("k"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(known, "k", "left")
+    class_id = F.when(F.col("classed").isNull(), F.col("doc_id").cast("long")).otherwise(F.col("class_id")).alias("class_id")
+    return _cut_out(joined, "text", "gone", "parts").select("doc_id", class_id, F.coalesce("links", F.lit(0)).cast("long").alias("links"), "text", F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"))

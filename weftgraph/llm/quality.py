@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import sessions
-from weftgraph.llm.words import Scan, buffers, line_offsets, slices
+from weftgraph.llm.words import Scan, buffers, grouped, line_offsets, slices
 
 #: Characters that count as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
@@ -67,10 +67,11 @@ def longest_repeats(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     text = np.repeat(np.arange(len(counts)), counts)
     end = first[1:][text]
     # Level 0: rank of (text, word), as the place of the group's head in sorted order.
-    order = np.lexsort((words, text))
-    a, b = words[order], text[order]
+    key = text * (int(words.max()) + 1) + words
+    order = np.argsort(key)
+    key = key[order]
     new = np.ones(n, bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    new[1:] = key[1:] != key[:-1]
     heads = np.flatnonzero(new)
     rank = np.empty(n, np.int64)
     rank[order] = heads[np.cumsum(new) - 1]
@@ -145,9 +146,8 @@ def measure(data: np.ndarray, offsets: np.ndarray, min_repeat: int) -> dict[str,
     filled = np.searchsorted(scan.starts, lines[1:]) > np.searchsorted(scan.starts, lines[:-1])
     begin, close, text = begin[filled], close[filled], text[filled]
     hashes = scan.ranges(begin, close)
-    order = np.lexsort((hashes, text))
-    again = (hashes[order][1:] == hashes[order][:-1]) & (text[order][1:] == text[order][:-1])
-    out["n_dup_lines"] = np.bincount(text[order][1:][again], minlength=len(offsets) - 1)
+    at, count = grouped(text, hashes)
+    out["n_dup_lines"] = np.bincount(text[at], count - 1, len(offsets) - 1).astype(np.int64)
 
     _, ids = np.unique(scan.hashes, return_inverse=True)
     best = longest_repeats(ids, first)

@@ -147,28 +147,31 @@ class Scan:
         return unit, mix(value)
 
 
+def grouped(unit: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first of each distinct (unit, value), in order of place, and how often each stands there). Values are 64-bit hashes; so is a pair's."""
+    key = value + unit.astype(np.uint64) * np.uint64(_BASE)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    if not len(at):
+        return at, at
+    first = np.minimum.reduceat(order, at)
+    back = np.argsort(first)
+    return first[back], np.diff(at, append=len(key))[back]
+
+
 def distinct(unit: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (unit, value) in order of unit and value. Units must come in order."""
-    units = int(unit[-1]) + 1 if len(unit) else 0
-    if units <= 64:
-        # Few long units: one sort for each.
-        bounds = np.searchsorted(unit, np.arange(units + 1))
-        value = np.concatenate([np.sort(value[bounds[i] : bounds[i + 1]]) for i in range(units)]) if units else value
-    else:
-        value = value[np.lexsort((value, unit))]
-    new = np.ones(len(unit), bool)
-    new[1:] = (unit[1:] != unit[:-1]) | (value[1:] != value[:-1])
-    return unit[new], value[new]
+    """The distinct (unit, value) of hashes, in order of place."""
+    at, _ = grouped(unit, value)
+    return unit[at], value[at]
 
 
 def counted(unit: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (unit, value) in order of unit and value, and how often each stands there. Units must come in order."""
-    order = np.lexsort((value, unit))
-    value = value[order]
-    new = np.ones(len(unit), bool)
-    new[1:] = (unit[1:] != unit[:-1]) | (value[1:] != value[:-1])
-    at = np.flatnonzero(new)
-    return unit[at], value[at], np.diff(at, append=len(unit))
+    """The distinct (unit, value) of hashes in order of place, and how often each stands there."""
+    at, count = grouped(unit, value)
+    return unit[at], value[at], count
 
 
 def cells(value: np.ndarray, count: np.ndarray) -> np.ndarray:
