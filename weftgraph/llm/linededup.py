@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import bitmaps, sessions, similar
-from weftgraph.llm.words import Scan, buffers, distinct, line_offsets, mix, slices
+from weftgraph.llm.words import Scan, buffers, distinct, grouped, line_offsets, mix, slices
 
 WIDTH, LEAST, MIN_WORDS = 5, 0.8, 5
 #: Bits of a token's hash in prefixes (token sets are named and pairs verified with 64 bits).
@@ -194,7 +194,7 @@ def _fit(token: np.ndarray, n: np.ndarray, pos: np.ndarray, least: float) -> np.
 
 
 def _shared(least: float):
-    """Of rows (token, node, n, pos) sorted by token and node, those whose token more than one node has, once each, with the token's number of rows.
+    """Of rows (token, node, n, pos) sorted by token, those whose token more than one node has, once each, with the token's number of rows.
 
     Tokens are looked at whole, and rows without a possible partner go, as long as
     a token has at most GROUP rows in a batch; of a larger one all rows stay, with
@@ -203,9 +203,7 @@ def _shared(least: float):
     names = ["token", "node", "size"]
 
     def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        token, node, n, pos = rows
-        once = np.ones(len(token), bool)
-        once[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+        once, _ = grouped(rows[0], rows[1].view(np.uint64))
         token, node, n, pos = rows[:, once]
         keep = _fit(token, n, pos, least)
         token, node = token[keep], node[keep]
@@ -453,7 +451,7 @@ def _join(docs: DataFrame, doc_id: str, text: str, width: int, least: float, min
     at = F.struct(F.col("id").isNull().alias("no"), "id", "k", "line")
     firsts = sessions.stored(lines.groupBy("node").agg(F.min(at).alias("at"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
     tokens = lines.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "n", F.col("pos").cast("long").alias("pos"))
-    dealt = tokens.repartition(sessions.partitions(spark), "token").sortWithinPartitions("token", "node")
+    dealt = tokens.repartition(sessions.partitions(spark), "token").sortWithinPartitions("token")
     shared = sessions.stored(dealt.mapInArrow(_shared(least), "token bigint, node bigint, size bigint"))
     large = shared.filter("size is null").select("token", "node").distinct()
     sizes = large.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
