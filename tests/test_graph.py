@@ -5,7 +5,7 @@ import pytest
 
 from weftgraph.operators import model, neighbors, search, traverse
 from weftgraph.operators.kernel import Graph
-from weftgraph.streaming import snapshots
+from weftgraph.snapshots import snapshots
 
 
 def edges(text):

@@ -45,7 +45,7 @@ def path(edges: DataFrame, source: str, target: str) -> DataFrame:
 
 def closure(links: DataFrame, start: DataFrame) -> DataFrame:
     """Ids reachable from ``start`` (id) over ``links`` (src, dst), those included: a frontier loop without order."""
-    from weftgraph.streaming.snapshots import settle
+    from weftgraph.snapshots.snapshots import settle
 
     seen = settle(start.select("id").distinct())
     front = seen

@@ -11,7 +11,7 @@ from weftgraph.functions import text
 from weftgraph.operators import extract, model, neighbors, search, traverse
 from weftgraph.sources import files, generated
 from weftgraph.sources.entities import entity_edges, entity_nodes, table
-from weftgraph.streaming import snapshots
+from weftgraph.snapshots import snapshots
 
 #: The entity graph's edges in SQL.
 E = """e AS (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -11,10 +12,13 @@ KEY = ("project", "path")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder of the session; one of our own only where it names none."""
+    """Checkpoint in the shared folder of the session. A local session without one gets a temporary folder; a cluster must name one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weft-checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weft-checkpoint-"))
     return df.checkpoint(eager=True)
 
 

@@ -76,7 +76,7 @@ class Symbols:
                     self.types[t.key] = Entry(t.key, f"{head}.{name}" if head else name, KINDS.get(t.word), t.word, t.file, t.own)
                 entry = self.types[t.key]
                 entry.static |= t.static
-                entry.bases += [(tree, t.scope) for tree, _ in t.bases]
+                entry.bases += [(tree, t.scope) for tree, _, _ in t.bases]
         for f in files:
             for t in f.types:
                 self._members(t)
@@ -304,7 +304,7 @@ def extract(facts: Facts, symbols: Symbols) -> dict:
         if entry.kind is None:
             continue
         out.declare(entry)
-        for tree, listed in t.bases:
+        for tree, listed, _ in t.bases:
             found = symbols.bound(tree, t.scope) if listed else None
             if found and found[0] == "type":
                 out.typed(entry, found, "IMPLEMENTS" if symbols.types[found[1]].word == "interface" else "INHERITS")

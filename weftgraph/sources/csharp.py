@@ -8,6 +8,9 @@ read. Text that can't be read is passed over token by token and named in
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+
+from weftgraph.sources import framework
 
 ACCESS = ("public", "protected", "internal", "private")
 #: Words that may stand before a declaration. Fixed values of the language.
@@ -24,11 +27,91 @@ _TOKEN = re.compile(
 _OPEN = {"(": ")", "[": "]", "{": "}"}
 
 
+_DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(if|elif|else|endif|define|undef)\b(.*)$", re.M)
+_CONDITION = re.compile(r"\s*(\w+|&&|\|\||==|!=|!|\(|\))")
+
+
+def _holds(condition: str, defined: set[str]) -> bool:
+    """The value of a directive's condition; one that can't be read doesn't hold."""
+    words, at = [], 0
+    condition = condition.split("//")[0].strip()
+    while at < len(condition):
+        m = _CONDITION.match(condition, at)
+        if m is None:
+            return False
+        words.append(m[1])
+        at = m.end()
+    words.append("")
+
+    def either() -> bool:
+        value = both()
+        while words[0] == "||":
+            words.pop(0)
+            value |= both()
+        return value
+
+    def both() -> bool:
+        value = equal()
+        while words[0] == "&&":
+            words.pop(0)
+            value &= equal()
+        return value
+
+    def equal() -> bool:
+        value = one()
+        while words[0] in ("==", "!="):
+            value = (words.pop(0) == "==") == (value == one())
+        return value
+
+    def one() -> bool:
+        word = words.pop(0) if words[0] else ""
+        if word == "!":
+            return not one()
+        if word == "(":
+            value = either()
+            if words[0] == ")":
+                words.pop(0)
+            return value
+        return word == "true" or word != "false" and word in defined
+
+    return either()
+
+
+def active(text: str) -> str:
+    """The text with the branches of ``#if`` that aren't taken blanked out, lines and places kept. No symbol is defined but those that the file defines."""
+    out, at, defined = [], 0, set()
+    stack: list[list[bool]] = []  # of each open #if: whether its branch is taken, and whether one was
+    for m in _DIRECTIVE.finditer(text):
+        on = all(x[0] for x in stack)
+        part = text[at : m.start()]
+        out.append(part if on else re.sub(r"[^\n]", " ", part))
+        out.append(m[0])
+        at, word = m.end(), m[1]
+        if word == "if":
+            taken = on and _holds(m[2], defined)
+            stack.append([taken, taken])
+        elif word in ("elif", "else") and stack:
+            around, (_, was) = all(x[0] for x in stack[:-1]), stack[-1]
+            taken = around and not was and (word == "else" or _holds(m[2], defined))
+            stack[-1] = [taken, was or taken]
+        elif word == "endif" and stack:
+            stack.pop()
+        elif word == "define" and on:
+            defined.add(m[2].strip())
+        elif word == "undef" and on:
+            defined.discard(m[2].strip())
+    part = text[at:]
+    out.append(part if all(x[0] for x in stack) else re.sub(r"[^\n]", " ", part))
+    return "".join(out)
+
+
 class Source:
     """Tokens of a text, with the partner of each bracket."""
 
     def __init__(self, text: str):
+        text = active(text) if "#" in text else text
         self.text, self.errors = text, []
+        self.feeds = [m.start() for m in re.finditer("\n", text)]
         found = [(m.lastgroup if m.lastgroup != "q" else "text", m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text) if not m.group("skip")]
         self.kind, self.tok = [f[0] for f in found], [f[1] for f in found]
         self.start, self.end = [f[2] for f in found], [f[3] for f in found]
@@ -50,7 +133,7 @@ class Source:
         self.errors.append(f"line {self.line(i)}: {self.tok[i]} is not closed")
 
     def line(self, i: int) -> int:
-        return self.text.count("\n", 0, self.start[i] if i < len(self.start) else len(self.text)) + 1
+        return bisect_right(self.feeds, (self.start[i] if i < len(self.start) else len(self.text)) - 1) + 1
 
     def at(self, i: int) -> str:
         return self.tok[i] if i < len(self.tok) else ""
@@ -381,8 +464,8 @@ class _Walk:
                 found["fields"] += [made | {"name": n, "is_required": None} for n in names]
         return after
 
-    def settle_bases(self) -> None:
-        """Splits base lists: a first entry that is a class is the base, the rest is implemented."""
+    def settle_bases(self, known_kinds: dict[str, str]) -> None:
+        """Splits base lists: a first entry that is a class is the base, the rest is implemented. known_kinds: of names that other files declare."""
         for t in self.types:
             if isinstance(t["base"], tuple):
                 of_class, of_record = t["base"]
@@ -390,16 +473,18 @@ class _Walk:
                 is_base = False
                 if entries and (of_class or of_record):
                     plain = entries[0].split("<")[0].split(".")[-1]
-                    known = self.kinds.get(plain)
+                    known = self.kinds.get(plain) or known_kinds.get(plain)
+                    if known is None and framework.find(plain, entries[0].count(",") + 1 if "<" in entries[0] else 0, [*self.usings, *framework.IMPLICIT]):
+                        known = "interface" if framework.is_interface(plain) else "class"
                     is_base = known != "interface" if known else of_class and not re.match(r"I[A-Z]", plain)
                 t["base"] = entries[0] if is_base else None
                 t["implements"] = _or_none(entries[1:] if is_base else entries)
 
 
-def inspect(path: str, text: str | None) -> dict:
-    """The contract of one file: file, namespace, usings, types and parse errors. A null text is an empty one."""
+def inspect(path: str, text: str | None, known_kinds: dict[str, str] | None = None) -> dict:
+    """The contract of one file: file, namespace, usings, types and parse errors. A null text is an empty one. known_kinds: class or interface by name, of types that other files declare."""
     s = Source((text or "").removeprefix("﻿"))
     walk = _Walk(s)
     walk.container(0, len(s.tok), 0, True)
-    walk.settle_bases()
+    walk.settle_bases(known_kinds or {})
     return {"file": path, "namespace": walk.namespaces[0] if walk.namespaces else None, "namespaces": walk.namespaces, "usings": walk.usings, "types": walk.types, "parse_errors": s.errors or None}

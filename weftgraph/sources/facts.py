@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from weftgraph.sources.csharp import MODIFIERS, PASSING, TYPES, Source, _attributes, _constraints
+from weftgraph.sources.csharp import MODIFIERS, PASSING, TYPES, Source, _attributes, _constraints, access
 
 #: Built-in type names. Fixed values of the language.
 PREDEFINED = frozenset("bool byte sbyte char decimal double float int uint long ulong short ushort object string void dynamic nint nuint".split())
@@ -32,6 +32,7 @@ class Parameter:
     name: str
     words: tuple = ()
     default: bool = False
+    text: str = ""
 
 
 @dataclass
@@ -45,6 +46,7 @@ class Member:
     bodies: list = field(default_factory=list)
     face: str = ""
     at: int = 0
+    access: str = ""
 
 
 @dataclass
@@ -112,7 +114,7 @@ def parameters(s: Source, i: int) -> list[Parameter]:
             a += 1
         tree, j = type_tree(s, a)
         if j < b:
-            out.append(Parameter(tree, s.tok[j].lstrip("@"), tuple(s.tok[first:a]), s.at(j + 1) == "="))
+            out.append(Parameter(tree, s.tok[j].lstrip("@"), tuple(s.tok[first:a]), s.at(j + 1) == "=", s.cut(a, j)))
     return out
 
 
@@ -218,7 +220,7 @@ class Facts:
                 j = s.close(j) + 1 if s.tok[j] in ("(", "[") else j + 1
             for a, b in s.split(start, j):
                 tree, end = type_tree(s, a)
-                made.bases.append((tree, end == b))  # a base with constructor arguments gives no edge, but has members
+                made.bases.append((tree, end == b, s.cut(a, b)))  # a base with constructor arguments gives no edge, but has members
         _, j = _constraints(s, j)
         if s.at(j) != "{":
             return j + 1
@@ -267,7 +269,7 @@ class Facts:
             own, at = _names(s, k)
             _, rest = _constraints(s, s.close(at) + 1)
             after = s.body_end(rest)
-            owner.members.append(Member("method", name, result, own, parameters(s, at), static, self._bodies(rest, after), face, first))
+            owner.members.append(Member("method", name, result, own, parameters(s, at), static, self._bodies(rest, after), face, first, "public" if face else access(words, "public" if owner.word == "interface" and not words else "private")))
             return after
         after = s.body_end(k)
         if event:
@@ -290,3 +292,14 @@ class Facts:
         close = s.close(i)
         out = [(i + 1, close)]
         return [*out, (close + 2, end - 1)] if s.at(close + 1) == "=" else out
+
+
+def surface(facts: Facts) -> str:
+    """The text of a file without the bodies of its methods, constructors and properties: what other files can depend on."""
+    s, gone = facts.source, set()
+    for t in facts.types:
+        for m in t.members:
+            if m.word != "field":
+                for a, b in m.bodies:
+                    gone.update(range(a, b))
+    return " ".join(t for i, t in enumerate(s.tok) if i not in gone)

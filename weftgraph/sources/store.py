@@ -6,12 +6,16 @@ see the old or the new graph and a failed write leaves the old one.
 
 from __future__ import annotations
 
+import json
+import posixpath
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.errors import AnalysisError
 from weftgraph.operators import model
+from weftgraph.sources import paths
 
 POINTER = "CURRENT"
 
@@ -28,10 +32,18 @@ def revision(spark: SparkSession, folder: str) -> str | None:
     return spark.read.text(f"{folder}/{POINTER}").first()["value"] if fs.exists(at) else None
 
 
-def save(documents: DataFrame, folder: str) -> str:
-    """Writes the documents as a new revision and makes it the current one. Gives its name."""
+def location(solution_path: str) -> str:
+    """The folder of a solution's graph: beside the solution, named after it."""
+    folder, name = posixpath.split(solution_path)
+    return f"{folder}/.weftgraph/{name.removesuffix('.sln')}.graph"
+
+
+def save(documents: DataFrame, folder: str, baseline: dict | None = None) -> str:
+    """Writes the documents, in order and parted by project, and the baseline as a new revision and makes it the current one. Gives its name."""
     spark, name = documents.sparkSession, uuid.uuid4().hex
-    documents.write.parquet(f"{folder}/rev-{name}")
+    ordered = documents.repartitionByRange("project_order", "document_order", "project", "path").sortWithinPartitions("project_order", "document_order", "project", "path")
+    ordered.write.parquet(f"{folder}/rev-{name}/documents")
+    spark.createDataFrame([(json.dumps(baseline or {}),)], "value string").coalesce(1).write.text(f"{folder}/rev-{name}/baseline")
     jvm, gateway = spark._jvm, spark.sparkContext._gateway
     temp, fs = _fs(spark, f"{folder}/.{POINTER}-{name}")
     goal, _ = _fs(spark, f"{folder}/{POINTER}")
@@ -50,11 +62,41 @@ def save(documents: DataFrame, folder: str) -> str:
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents of the current revision, with a fixed schema; the empty graph before the first save."""
+    """The documents of the current revision, with a fixed schema; the empty graph before the first save. A revision stays as it is, so a reader keeps what it has loaded."""
     name = revision(spark, folder)
     if name is None:
         return spark.createDataFrame([], model.DOCUMENT)
-    return spark.read.schema(model.DOCUMENT).parquet(f"{folder}/rev-{name}")
+    return spark.read.schema(model.DOCUMENT).parquet(f"{folder}/rev-{name}/documents")
+
+
+def baseline(spark: SparkSession, folder: str) -> dict:
+    """The baseline of the current revision; empty before the first save."""
+    name = revision(spark, folder)
+    return json.loads(spark.read.text(f"{folder}/rev-{name}/baseline").first()["value"]) if name else {}
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """Documents from their JSON form, one text with ``documents`` and ``baseline``; without documents, the empty graph. A malformed text raises AnalysisError, and nothing changes."""
+    content = paths.text(spark, path) or ""
+    try:
+        found = json.loads(content)
+        rows = found.get("documents") or []
+    except (json.JSONDecodeError, AttributeError) as e:
+        raise AnalysisError("graph_load", f"{path} can't be read: {e}", path) from e
+    return spark.createDataFrame(rows, model.DOCUMENT) if rows else spark.createDataFrame([], model.DOCUMENT)
+
+
+class Cache:
+    """Loaded graphs by folder; a graph is loaded again only if its revision has changed."""
+
+    def __init__(self):
+        self.held: dict[str, tuple[str | None, DataFrame]] = {}
+
+    def load(self, spark: SparkSession, folder: str) -> DataFrame:
+        name = revision(spark, folder)
+        if folder not in self.held or self.held[folder][0] != name:
+            self.held[folder] = (name, load(spark, folder))
+        return self.held[folder][1]
 
 
 def as_json(rows: DataFrame) -> DataFrame:
