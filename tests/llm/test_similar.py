@@ -227,29 +227,31 @@ def test_tokens_are_looked_at_whole_or_passed_on(monkeypatch):
     rng = np.random.default_rng(4)
     token = np.sort(rng.choice([1, 2, 3, 5, 8, 9, 12], size=600, p=[0.6, 0.1, 0.1, 0.1, 0.05, 0.04, 0.01]))
     node = rng.integers(0, 300, 600)
-    n = 2 + node % 50
-    pos = (node * 7 + token) % 12
-    order = np.argsort(token, kind="stable")
-    rows = [c[order].astype(np.int64) for c in (token, node, n, pos)]
+    n, pos, odd = 2 + node % 50, (node * 7 + token) % 12, node // 3 % 8
+    n[node % 50 == 7] = linededup.MANY
+    rows = [token, node, (odd << 32 | n << 16 | pos).astype(np.int64)]
 
     def run(size):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in rows], names=["token", "node", "n", "pos"]) for i in range(0, 600, size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in rows], names=["token", "node", "sketch"]) for i in range(0, 600, size)]
         return [x for b in linededup._shared(0.8)(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns))]
 
     whole = run(600)
     assert sorted(whole) == sorted(run(7)) == sorted(run(64))
-    fit = {}
-    once = {(t, d): (m, p) for t, d, m, p in reversed(list(zip(*(c.tolist() for c in rows))))}
-    for (t, d), (m, p) in once.items():
-        fit.setdefault(t, []).append((d, m, p))
-    for t, group in fit.items():
-        early = [m for _, m, p in group if p <= m - math.ceil(2 * 0.8 / 1.8 * m - 1e-9)]
-        keep = sorted(d for d, m, _ in group if early and m >= min(early) and m * 0.8 <= max(early) + 1e-9)
-        want = [(t, d, len(keep)) for d in keep] if len(keep) > 1 else []
+    groups = {}
+    for t, d, m, p, o in zip(token.tolist(), node.tolist(), n.tolist(), pos.tolist(), odd.tolist()):
+        groups.setdefault(t, {})[d] = (m, p, o)
+    for t, group in groups.items():
+        many = any(m == linededup.MANY for m, _, _ in group.values())
+        early = [m for m, p, _ in group.values() if m == linededup.MANY or p <= m - math.ceil(2 * 0.8 / 1.8 * m - 1e-9)]
+        keep = {d for d, (m, _, _) in group.items() if early and m >= min(early) and (m * 0.8 <= max(early) + 1e-9 or many)}
+        if len(keep) <= linededup.PAIRED:
+            may = lambda x, y: linededup.MANY in (x[0], y[0]) or min(x[0], y[0]) >= 0.8 * max(x[0], y[0]) - 1e-9 and (x[2] ^ y[2]).bit_count() <= 0.2 / 1.8 * (x[0] + y[0]) + 1e-6 and min(x[0] - x[1], y[0] - y[1]) >= 0.8 / 1.8 * (x[0] + y[0]) - 1e-9
+            keep = {d for d in keep if any(d != e and may(group[d], group[e]) for e in keep)}
+        want = [(t, d, len(keep)) for d in sorted(keep)] if len(keep) > 1 else []
         assert sorted(x for x in whole if x[0] == t) == want
     monkeypatch.setattr(linededup, "GROUP", 40)
     for size in (7, 64, 600):
         some = run(size)
         large = {t for t, _, n in some if n is None}
         assert (size == 600 or 1 in large) and sorted(x for x in some if x[0] not in large) == sorted(x for x in whole if x[0] not in large)
-        assert {(t, d) for t, d, _ in some if t in large} == {x for x in once if x[0] in large}
+        assert {(t, d) for t, d, _ in some if t in large} == {(t, d) for t in large for d in groups[t]}

@@ -46,6 +46,10 @@ BUCKET_BITS, PIECES = 20, 16
 _TURN = 44
 #: Token sets that a task remembers, so that it sends the prefix of a repeated line once.
 REMEMBERED = 500_000
+#: From this number on, tokens of a line aren't counted in its sketch.
+MANY = (1 << 16) - 1
+#: Rows of one token of which all pairs are looked at before their texts are fetched.
+PAIRED = 128
 #: Rows of one token that are looked at together.
 GROUP = 200_000
 #: Token sets on each side of a tile of pairs.
@@ -143,7 +147,10 @@ def _nodes(unit: np.ndarray, whole: np.ndarray, some: np.ndarray, n: np.ndarray)
 
 
 def _lines(table, width: int, min_words: int, least: float):
-    """(k, id, text) to one row per line with tokens: k, id, line, node (hash of the token set), n, prefix (null where this task sent it before)."""
+    """(k, id, text) to one row per line with tokens: k, id, line, node (hash of the token set), sketch, prefix (empty where this task sent it before).
+
+    sketch: 32 parity bits of the tokens, 16 bits of their number, and 16 for the place of one of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = _level(table.value)
@@ -171,30 +178,53 @@ def _lines(table, width: int, min_words: int, least: float):
                 at = np.repeat(start, length) + np.arange(ends[-1]) - np.repeat(ends - length, length)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(value[at].astype(np.int64)))
                 owner = a + text[some]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[owner]), ids.take(pa.array(owner)), pa.array(number[some].astype(np.int64)), pa.array(node), pa.array(n.astype(np.int64)), prefix], names=["k", "id", "line", "node", "n", "prefix"])
+                odd = np.bitwise_xor.reduceat(np.uint64(1) << (mix(value) & np.uint64(31)), start)
+                sketch = (odd << np.uint64(32) | np.minimum(n, MANY).astype(np.uint64) << np.uint64(16)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[owner]), ids.take(pa.array(owner)), pa.array(number[some].astype(np.int64)), pa.array(node), pa.array(sketch), prefix], names=["k", "id", "line", "node", "sketch", "prefix"])
 
     return run
 
 
-def _fit(token: np.ndarray, n: np.ndarray, pos: np.ndarray, least: float) -> np.ndarray:
-    """Which rows (token, n, pos), sorted by token, may have a partner under their token.
+def _fit(token: np.ndarray, sketch: np.ndarray, least: float) -> np.ndarray:
+    """Which rows (token, sketch), sorted by token, may have a partner under their token.
 
     A pair's first shared token must leave room for the overlap in both lines; for the
     smaller line that means a place under n - 2 t / (1 + t) n. Tokens without such a
-    line, and lines too small or large for those, have no pair.
+    line, and lines too small or large for those, have no pair. In small groups the
+    pairs themselves are looked at: their sizes, the room behind the token, and the
+    parity bits, which differ in at most as many places as the sets do. Numbers from
+    MANY on aren't told apart, so lines of that many tokens always may.
     """
+    bits = sketch.view(np.uint64)
+    n, pos = (bits >> np.uint64(16) & np.uint64(MANY)).astype(np.int64), (bits & np.uint64(MANY)).astype(np.int64)
+    full = n == MANY
     start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     of = np.repeat(np.arange(len(start)), np.diff(start, append=len(token)))
-    early = pos <= n - np.ceil(2 * least / (1 + least) * n - 1e-9)
+    early = (pos <= n - np.ceil(2 * least / (1 + least) * n - 1e-9)) | full
     none = np.iinfo(np.int64).max
     low = np.minimum.reduceat(np.where(early, n, none), start)[of]
     high = np.maximum.reduceat(np.where(early, n, 0), start)[of]
-    keep = (n >= low) & (n * least <= high + 1e-9) & (low < none)
-    return keep & (np.bincount(of, keep)[of] > 1)
+    keep = (n >= low) & ((n * least <= high + 1e-9) | (high == MANY)) & (low < none)
+    rows = np.flatnonzero(keep)
+    if not len(rows):
+        return keep
+    start = np.flatnonzero(np.concatenate([[True], of[rows][1:] != of[rows][:-1]]))
+    end = np.append(start[1:], len(rows))
+    few = end - start <= PAIRED
+    a, b = (rows[x] for x in _pairs(start[few], end[few]))
+    both = n[a] + n[b]
+    apart = np.bitwise_count((bits[a] ^ bits[b]) >> np.uint64(32))
+    fit = (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9) & (apart <= (1 - least) / (1 + least) * both + 1e-6)
+    fit &= np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least / (1 + least) * both - 1e-9
+    fit |= full[a] | full[b]
+    met = np.zeros(len(token), bool)
+    met[a[fit]] = met[b[fit]] = True
+    met[rows[np.repeat(~few, end - start)]] = True
+    return keep & met & (np.bincount(of, keep & met)[of] > 1)
 
 
 def _shared(least: float):
-    """Of rows (token, node, n, pos) sorted by token, those whose token more than one node has, once each, with the token's number of rows.
+    """Of rows (token, node, sketch) sorted by token, those whose token more than one node has, once each, with the token's number of rows.
 
     Tokens are looked at whole, and rows without a possible partner go, as long as
     a token has at most GROUP rows in a batch; of a larger one all rows stay, with
@@ -204,8 +234,8 @@ def _shared(least: float):
 
     def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         once, _ = grouped(rows[0], rows[1].view(np.uint64))
-        token, node, n, pos = rows[:, once]
-        keep = _fit(token, n, pos, least)
+        token, node, sketch = rows[:, once]
+        keep = _fit(token, sketch, least)
         token, node = token[keep], node[keep]
         if len(token):
             _, of, size = np.unique(token, return_inverse=True, return_counts=True)
@@ -215,7 +245,7 @@ def _shared(least: float):
         return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.nulls(rows.shape[1], pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, large = np.zeros((4, 0), np.int64), None
+        held, large = np.zeros((3, 0), np.int64), None
         for batch in batches:
             rows = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
             if large is not None:
@@ -447,10 +477,10 @@ def _join(docs: DataFrame, doc_id: str, text: str, width: int, least: float, min
     sessions.prepare(spark)
     read = docs.select(_key(doc_id, text).alias("k"), F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     table = spark.sparkContext.broadcast(rarity(docs, text, width, min_words))
-    lines = sessions.stored(read.mapInArrow(_lines(table, width, min_words, least), "k bigint, id bigint, line bigint, node bigint, n bigint, prefix array<bigint>"))
+    lines = sessions.stored(read.mapInArrow(_lines(table, width, min_words, least), "k bigint, id bigint, line bigint, node bigint, sketch bigint, prefix array<bigint>"))
     at = F.struct(F.col("id").isNull().alias("no"), "id", "k", "line")
-    firsts = sessions.stored(lines.groupBy("node").agg(F.min(at).alias("at"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
-    tokens = lines.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "n", F.col("pos").cast("long").alias("pos"))
+    firsts = sessions.stored(lines.groupBy("node").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("copies")))
+    tokens = lines.select("node", "sketch", F.posexplode("prefix").alias("pos", "token")).select("token", "node", F.col("sketch").bitwiseOR(F.least("pos", F.lit(MANY)).cast("long")).alias("sketch"))
     dealt = tokens.repartition(sessions.partitions(spark), "token").sortWithinPartitions("token")
     shared = sessions.stored(dealt.mapInArrow(_shared(least), "token bigint, node bigint, size bigint"))
     large = shared.filter("size is null").select("token", "node").distinct()

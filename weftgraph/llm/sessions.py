@@ -48,8 +48,10 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables that ``stored`` wrote, once nothing reads them any more."""
+    """Delete tables that ``stored`` wrote, once nothing reads them any more. Other tables are left alone."""
     for table in tables:
+        if "_stored_at" not in vars(table):
+            continue
         path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stored_at)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
