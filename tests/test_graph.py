@@ -18,6 +18,10 @@ def edges(text):
     return out
 
 
+def table(spark, triples):
+    return spark.createDataFrame([(*t, i) for i, t in enumerate(triples)], "src string, dst string, type string, seq long")
+
+
 SAMPLE = "A-CALLS->B, B-CALLS->C, A-INJECTS->D, B-INJECTS->D"
 
 
@@ -40,10 +44,36 @@ def test_sample_goldens():
         ("I-CONTAINS->I.M, U-CONTAINS->U.Go, U.Go-CALLS->I.M, A-IMPLEMENTS->I, A-REFERENCES->X", "X", ["A", "U"]),
         ("I-CONTAINS->I.M, U-CONTAINS->U.Go, U.Go-CALLS->I.M, A-IMPLEMENTS->I, A-REFERENCES->X, I-REFERENCES->X", "X", ["A", "I"]),
         ("I-CONTAINS->I.M, U-CONTAINS->U.Go, U.Go-CALLS->I.M, A-IMPLEMENTS->I, I-REFERENCES->X, A-REFERENCES->X", "X", ["I", "A"]),
+        ("I-CONTAINS->m, m-IMPLEMENTS->X, A-REFERENCES->X, A-IMPLEMENTS->I", "X", ["I", "A"]),
     ],
 )
-def test_impact_goldens(text, node, want):
+def test_impact_goldens(spark, text, node, want):
     assert Graph(edges(text)).impact(node) == want
+    assert [r.id for r in traverse.impact(table(spark, edges(text)), node, kernel=False).orderBy("rank").collect()] == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rounds_equal_the_kernel(spark, seed):
+    """Random graphs with members, interfaces and cycles: both forms give the same ids in the same order."""
+    rng = random.Random(seed)
+    ids = [f"T{i}" for i in range(14)]
+    members = [f"{rng.choice(ids)}.m{i}" for i in range(16)]
+    triples = [(m.split(".")[0] if rng.random() < 0.9 else rng.choice(ids), m, "CONTAINS") for m in members]
+    triples += [(rng.choice(ids + members), rng.choice(ids + members), rng.choice(["IMPLEMENTS", "IMPLEMENTS", "CALLS", "REFERENCES", "INJECTS", "CONTAINS"])) for _ in range(45)]
+    rng.shuffle(triples)
+    df, g = table(spark, dict.fromkeys(triples)), Graph(triples)
+    for node in rng.sample(ids + members, 3):
+        rows = traverse.impact(df, node, kernel=False).orderBy("rank").collect()
+        assert [r.id for r in rows] == g.impact(node) and [r["rank"] for r in rows] == list(range(len(rows)))
+    a, b = rng.sample(ids + members, 2)
+    assert [r.id for r in traverse.path(df, a, b, kernel=False).orderBy("step").collect()] == g.path(a, b)
+
+
+def test_paths_of_nodes_without_edges(spark):
+    df, nodes = table(spark, edges(SAMPLE)), spark.createDataFrame([("A",), ("Lonely",)], "id string")
+    one = lambda *x: [r.id for r in traverse.path(df, *x).orderBy("step").collect()]
+    assert one("Lonely", "Lonely", nodes) == ["Lonely"] and one("Lonely", "A", nodes) == one("Lonely", "Lonely") == [] and one("A", "C", nodes) == ["A", "B", "C"]
+    assert traverse.impact(df, "Z", kernel=False).count() == 0
 
 
 def test_neighbors_roll_up(spark):

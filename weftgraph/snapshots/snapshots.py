@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,15 +12,32 @@ from pyspark.sql import functions as F
 KEY = ("project", "path")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder of the session. A local session without one gets a temporary folder; a cluster must name one."""
+def prepare(df: DataFrame) -> str:
+    """The shared checkpoint folder of the session. A local session without one gets a temporary folder; a cluster must name one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weft-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder as a columnar table and read it again: lineage ends there, and later reads take the columns that they need."""
+    path = f"{prepare(df)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``settle`` wrote, once nothing reads them any more."""
+    for table in tables:
+        if "_settled_at" in vars(table):
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._settled_at)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(documents: DataFrame, removed: DataFrame, upserts: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
