@@ -48,6 +48,24 @@ def members(edge_rows: DataFrame, owner_rows: DataFrame) -> DataFrame:
     return edge_rows.filter("type = 'CONTAINS'").select(F.col("src").alias("owner"), F.col("dst").alias("member")).join(owner_rows, ["owner", "member"], "left_semi")
 
 
+def node(node_rows: DataFrame, id: str) -> DataFrame:
+    """The row of one node, if there is one."""
+    return node_rows.filter(F.col("id") == id)
+
+
 def coverage(documents: DataFrame) -> DataFrame:
-    """Distinct node and edge counts as one row."""
+    """(node_count, edge_count): distinct counts as one row."""
     return nodes(documents).agg(F.count(F.lit(1)).alias("node_count")).crossJoin(edges(documents).agg(F.count(F.lit(1)).alias("edge_count")))
+
+
+def loaded(rows: DataFrame, by: str) -> DataFrame:
+    """Coverage of documents by project. rows: (by, loaded, supported), one row per document; gives total, loaded, skipped, unsupported and status."""
+    count = lambda c: F.count(F.when(c, 1))
+    sums = rows.groupBy(by).agg(F.count(F.lit(1)).alias("total"), count(F.col("loaded")).alias("loaded"), count(~F.col("loaded")).alias("skipped"), count(~F.col("supported")).alias("unsupported"))
+    return sums.withColumn("status", F.when(F.col("loaded") == 0, "empty").when(F.col("loaded") < F.col("total"), "partial").otherwise("complete"))
+
+
+def first_largest(rows: DataFrame, group: str, size: str, order: list[str], keep: list[str]) -> DataFrame:
+    """Of each group the row of the greatest size, the first in order among equals: how a constructor is chosen. One aggregation, no window."""
+    best = rows.groupBy(group).agg(F.min(F.struct((-F.col(size)).alias("q"), *order)).alias("x"))
+    return best.select(group, *[F.col(f"x.{c}") for c in keep], (-F.col("x.q")).alias(size))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.errors import AnalysisError, SyncError
-from weftgraph.operators import extract, model
+from weftgraph.operators import extract, model, tools
 from weftgraph.snapshots import snapshots
 from weftgraph.sources import paths, solution, store
 from weftgraph.sources.facts import Facts, surface
@@ -72,9 +72,7 @@ class Result:
 
 def has_search_metadata(documents: DataFrame) -> bool:
     """Whether every document has namespaces and every node a name; graphs without are read anew."""
-    unnamed = F.exists("nodes", lambda n: n["name"].isNull())
-    row = documents.agg(F.count(F.when(F.col("namespaces").isNull() | unnamed, 1)).alias("without")).first()
-    return row["without"] == 0
+    return tools.unnamed(documents).isEmpty()
 
 
 def describe(spark: SparkSession, found: solution.Solution, loaded: dict[str, bool], extracted: dict[str, set[str]]) -> dict:

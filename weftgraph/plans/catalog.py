@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text
-from weftgraph.operators import extract, model, neighbors, search, traverse
+from weftgraph.operators import context, extract, model, neighbors, search, traverse
 from weftgraph.sources import files, generated
 from weftgraph.sources.entities import entity_edges, entity_nodes, table
 from weftgraph.snapshots import snapshots
@@ -76,36 +76,78 @@ def neighbors_all(spark, sf_dir):
 
 
 def _neighbors_sql(scope: str) -> str:
-    return f"""WITH {E}, {OWN}, scope AS ({scope})
-SELECT coalesce(o.owner, e.dst) AS neighbor_id, 'out' AS direction, type AS edge_kind, count(*) AS n FROM e LEFT JOIN own o ON o.member = e.dst
-WHERE e.src IN (SELECT id FROM scope) AND e.dst NOT IN (SELECT id FROM scope) AND type <> 'CONTAINS' GROUP BY ALL
-UNION ALL SELECT coalesce(o.owner, e.src), 'in', type, count(*) FROM e LEFT JOIN own o ON o.member = e.src
-WHERE e.dst IN (SELECT id FROM scope) AND e.src NOT IN (SELECT id FROM scope) AND type <> 'CONTAINS' GROUP BY ALL"""
+    """rank: the order in which entries are met, out before in, the node before its members, edges in order of their ends and type."""
+    return f"""WITH {E}, {OWN}, scope AS ({scope}),
+x AS (SELECT false AS entering, s.turn, s.pl, e.src, e.dst, e.type, coalesce(o.owner, e.dst) AS far FROM e JOIN scope s ON s.id = e.src LEFT JOIN own o ON o.member = e.dst
+      WHERE e.dst NOT IN (SELECT id FROM scope) AND type <> 'CONTAINS'
+      UNION ALL SELECT true, s.turn, s.pl, e.src, e.dst, e.type, coalesce(o.owner, e.src) FROM e JOIN scope s ON s.id = e.dst LEFT JOIN own o ON o.member = e.src
+      WHERE e.src NOT IN (SELECT id FROM scope) AND type <> 'CONTAINS'),
+y AS (SELECT *, row_number() OVER (ORDER BY entering, turn, pl, src, dst, type) AS rn FROM x),
+z AS (SELECT *, min(rn) OVER (PARTITION BY far, entering) AS first FROM y)
+SELECT far AS neighbor_id, CASE WHEN entering THEN 'in' ELSE 'out' END AS direction, type AS edge_kind, count(*) AS n, CAST(dense_rank() OVER (ORDER BY first) - 1 AS BIGINT) AS rank
+FROM z GROUP BY far, entering, type, first"""
+
+
+def _neighbors(spark, sf_dir, node):
+    rows = neighbors.of(entity_edges(spark, sf_dir), node)
+    return rows.withColumn("rank", (F.dense_rank().over(Window.orderBy("place")) - 1).cast("long")).drop("place")  # one node's neighbors
 
 
 for _name, _id in (("neighbors_one", "S5"), ("neighbors_customer", "C7"), ("neighbors_member", "O10")):
-    _scope = f"SELECT '{_id}' AS id" + ("" if _id[0] == "O" else f" UNION SELECT member FROM own WHERE owner = '{_id}'")
-    _query(_name, _neighbors_sql(_scope))(lambda spark, sf_dir, _id=_id: neighbors.of(entity_edges(spark, sf_dir), _id))
+    _scope = f"SELECT '{_id}' AS id, 0 AS turn, NULL AS pl" + ("" if _id[0] == "O" else f" UNION ALL SELECT member, 1, member FROM own WHERE owner = '{_id}'")
+    _query(_name, _neighbors_sql(_scope))(lambda spark, sf_dir, _id=_id: _neighbors(spark, sf_dir, _id))
 
 
-def _impact_sql(seed: str, tail: str) -> str:
-    """Valid on this graph, where interfaces own no members and no two routes compete for one."""
-    return f"""WITH RECURSIVE {E}, {OWN},
-seed(id) AS (SELECT '{seed}' UNION SELECT dst FROM e WHERE src = '{seed}' AND type IN ('CONTAINS', 'IMPLEMENTS')),
-step AS (SELECT dst AS cur, src AS nxt, true AS rep FROM e WHERE type IN ('CALLS', 'INJECTS', 'REFERENCES', 'RETURNS', 'INHERITS', 'IMPLEMENTS')
-         UNION ALL SELECT src, dst, false FROM e WHERE type = 'IMPLEMENTS'),
-vis(id) AS (SELECT id FROM seed
-            UNION SELECT unnest([nxt, coalesce(o.owner, nxt)]) FROM vis JOIN step ON vis.id = step.cur LEFT JOIN own o ON o.member = step.nxt AND step.rep),
-hit AS (SELECT DISTINCT coalesce(o.owner, v.id) AS id FROM vis v LEFT JOIN own o ON o.member = v.id
-        WHERE v.id NOT IN (SELECT id FROM seed) AND coalesce(o.owner, v.id) NOT IN (SELECT id FROM seed))
-{tail}"""
+@_query("neighbors_listed", _neighbors_sql("SELECT 'C7' AS id, 0 AS turn, NULL AS pl UNION ALL SELECT member, 1, member FROM own WHERE owner = 'C7'").replace("WITH ", f"WITH {NODES}, ", 1).replace("SELECT far AS", "SELECT l.neighbor_id AS id, n.kind, l.direction, string_agg(l.edge_kind || ':' || l.n, ',' ORDER BY l.edge_kind) AS edge_kinds, n.file FROM (SELECT far AS", 1) + ") l LEFT JOIN nodes n ON n.id = l.neighbor_id GROUP BY ALL")
+def neighbors_listed(spark, sf_dir):
+    rows = neighbors.listed(entity_edges(spark, sf_dir), entity_nodes(spark, sf_dir), "C7")
+    kinds = F.array_join(F.transform(F.array_sort(F.map_entries("edge_kinds")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return rows.select("id", "kind", "direction", kinds.alias("edge_kinds"), "file")
+
+
+@_query("implementors", f"WITH {E} SELECT src AS id FROM e WHERE type = 'IMPLEMENTS' AND dst = 'N3'")
+def implementors(spark, sf_dir):
+    return neighbors.implementors(entity_edges(spark, sf_dir), "N3").select("id")
 
 
-for _name, _id in (("impact_part", "P7"), ("impact_supplier", "S5"), ("impact_region", "R1"), ("impact_member", "O10")):
-    _query(_name, _impact_sql(_id, "SELECT id FROM hit"))(lambda spark, sf_dir, _id=_id: traverse.impact(entity_edges(spark, sf_dir), _id).select("id"))
+@_query("interfaces", f"WITH {E} SELECT dst AS id FROM e WHERE type = 'IMPLEMENTS' AND src = 'S5'")
+def interfaces(spark, sf_dir):
+    return neighbors.implemented(entity_edges(spark, sf_dir), "S5").select("id")
 
 
-@_query("impact_files", _impact_sql("N3", "SELECT h.id, n.file FROM hit h JOIN nodes n ON n.id = h.id").replace("WITH RECURSIVE ", f"WITH RECURSIVE {NODES}, ", 1))
+#: Levels that the SQL of an impact is written out for; this graph has fewer.
+LEVELS = 7
+
+
+def _impact_sql(seed: str, tail: str) -> str:
+    """The queue level by level, with the rank of each first visit. Right on this graph, where interfaces own no members and a caller's owner is the same however the caller is met."""
+    parts = [f"WITH {E}, {OWN}", "eo AS (SELECT *, row_number() OVER (ORDER BY src, dst, type) AS seq FROM e)", "typed AS (SELECT * FROM eo WHERE type IN ('CALLS', 'INJECTS', 'REFERENCES', 'RETURNS', 'INHERITS'))"]
+    parts.append(f"""s0 AS (SELECT '{seed}' AS node, 0 AS a, 0 AS b WHERE EXISTS (SELECT 1 FROM e WHERE '{seed}' IN (src, dst)) UNION ALL SELECT member, 1, seq FROM own JOIN eo ON eo.src = owner AND eo.dst = member AND type = 'CONTAINS' WHERE owner = '{seed}'
+  UNION ALL SELECT dst, 2, seq FROM eo WHERE src = '{seed}' AND type = 'IMPLEMENTS')""")
+    parts.append("f0 AS (SELECT node, row_number() OVER (ORDER BY a, b) AS rank, true AS hidden, false AS told FROM (SELECT node, min(a) AS a, min(b) AS b FROM s0 GROUP BY node))")
+    parts.append("v0 AS (SELECT node FROM f0)")
+    for k in range(1, LEVELS + 1):
+        f = f"f{k - 1}"
+        parts.append(f"""p{k} AS (SELECT * FROM (
+  SELECT eo.dst AS node, {f}.rank AS r, 0 AS phase, seq, 0 AS sub FROM {f} JOIN eo ON eo.src = {f}.node AND type = 'IMPLEMENTS'
+  UNION ALL SELECT eo.src, {f}.rank, 1, seq, 0 FROM {f} JOIN eo ON eo.dst = {f}.node AND type = 'IMPLEMENTS'
+  UNION ALL SELECT t.src, {f}.rank, 2, seq, 0 FROM {f} JOIN typed t ON t.dst = {f}.node) WHERE node NOT IN (SELECT node FROM v{k - 1}))""")
+        parts.append(f"""q{k} AS (SELECT * FROM p{k} UNION ALL SELECT owner, r, phase, seq, 1 FROM p{k} JOIN own ON member = node WHERE phase = 2 AND owner NOT IN (SELECT node FROM v{k - 1}))""")
+        parts.append(f"w{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY r, phase, seq, sub) AS k FROM q{k}) WHERE k = 1)")
+        parts.append(f"f{k} AS (SELECT node, row_number() OVER (ORDER BY r, phase, seq, sub) AS rank, phase = 0 AS hidden, phase > 0 AND sub = 0 AS told FROM w{k})")
+        parts.append(f"v{k} AS (SELECT node FROM v{k - 1} UNION ALL SELECT node FROM f{k})")
+    parts.append("vis AS (" + " UNION ALL ".join(f"SELECT *, {k} AS level FROM f{k}" for k in range(LEVELS + 1)) + ")")
+    parts.append("told AS (SELECT coalesce(owner, node) AS id, min(CAST(level AS BIGINT) * 1000000000 + rank) AS since_told FROM vis LEFT JOIN own ON member = node WHERE told GROUP BY 1)")
+    parts.append("hid AS (SELECT node AS id, CAST(level AS BIGINT) * 1000000000 + rank AS since FROM vis WHERE hidden)")
+    parts.append("hit AS (SELECT told.id, CAST(row_number() OVER (ORDER BY since_told) - 1 AS BIGINT) AS rank FROM told LEFT JOIN hid ON hid.id = told.id WHERE since IS NULL OR since > since_told)")
+    return ",\n".join(parts) + "\n" + tail
+
+
+for _name, _id in (("impact_part", "P7"), ("impact_supplier", "S5"), ("impact_region", "R1"), ("impact_nation", "N3")):
+    _query(_name, _impact_sql(_id, "SELECT id, rank FROM hit"))(lambda spark, sf_dir, _id=_id: traverse.impact(entity_edges(spark, sf_dir), _id))
+
+
+@_query("impact_files", _impact_sql("N3", "SELECT h.id, n.file FROM hit h JOIN nodes n ON n.id = h.id").replace("WITH ", f"WITH {NODES}, ", 1))
 def impact_files(spark, sf_dir):
     found = traverse.impact(entity_edges(spark, sf_dir), "N3")
     return found.join(entity_nodes(spark, sf_dir).select("id", "file").filter("file is not null"), "id").select("id", "file")
@@ -122,7 +164,7 @@ best AS (SELECT path FROM w WHERE node = '{target}' ORDER BY len(path), ords LIM
 SELECT CAST(step - 1 AS BIGINT) AS step, id FROM (SELECT unnest(path) AS id, generate_subscripts(path, 1) AS step FROM best)"""
 
 
-for _name, _from, _to in (("path_customer_region", "C1", "R1"), ("path_none", "P1", "C1"), ("path_self", "S5", "S5")):
+for _name, _from, _to in (("path_customer_region", "C1", "R1"), ("path_customer_part", "C1", "P7"), ("path_none", "P1", "C1"), ("path_self", "S5", "S5")):
     _query(_name, _path_sql(_from, _to))(lambda spark, sf_dir, _from=_from, _to=_to: traverse.path(entity_edges(spark, sf_dir), _from, _to))
 
 
@@ -146,7 +188,7 @@ r AS (SELECT *, row_number() OVER (ORDER BY pass, file_seq, is_method, method_se
 SELECT file, is_method, method_seq, rn, total > 50 AS truncated FROM r WHERE rn <= 50"""
 
 
-for _name, _terms in (("search_truncated", ["part", "steel"]), ("search_parts", ["brass", "Small"]), ("search_no_match", ["zzzzz"])):
+for _name, _terms in (("search_truncated", ["widget", "GEAR", "promo"]), ("search_parts", ["brass", "Small"]), ("search_no_match", ["zzzzz"])):
     _query(_name, _search_sql(_terms))(lambda spark, sf_dir, _terms=_terms: search.search(_part_candidates(spark, sf_dir), _terms))
 
 
@@ -190,11 +232,9 @@ def invalidation_closure(spark, sf_dir):
   count(*) FILTER (lang <> 'en') AS unsupported, CASE WHEN count(l.doc_id) = 0 THEN 'empty' WHEN count(l.doc_id) < count(*) THEN 'partial' ELSE 'complete' END AS status
 FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source""")
 def coverage_report(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("loaded")).distinct()
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("known")).distinct()
     joined = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(labels, "doc_id", "left")
-    count = lambda c: F.count(F.when(c, 1))
-    sums = joined.groupBy(F.col("source").alias("project")).agg(F.count(F.lit(1)).alias("total"), count(F.col("loaded").isNotNull()).alias("loaded"), count(F.col("loaded").isNull()).alias("skipped"), count(F.col("lang") != "en").alias("unsupported"))
-    return sums.withColumn("status", F.when(F.col("loaded") == 0, "empty").when(F.col("loaded") < F.col("total"), "partial").otherwise("complete"))
+    return model.loaded(joined.select(F.col("source").alias("project"), F.coalesce("known", F.lit(False)).alias("loaded"), (F.col("lang") == "en").alias("supported")), "project")
 
 
 @_query("source_filter", r"SELECT page_id, url FROM pages WHERE url <> '' AND NOT regexp_matches(lower(replace(url, '\', '/')), '\.g\.cs$|/obj/|/bin/')")
@@ -205,9 +245,8 @@ def source_filter(spark, sf_dir):
 @_query("ctor_argmax", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem) WHERE rn = 1""")
 def ctor_argmax(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem")
-    best = F.min(F.struct((-F.col("l_quantity")).alias("q"), "l_linenumber", "l_partkey", "l_suppkey")).alias("x")
-    return rows.groupBy("l_orderkey").agg(best).select("l_orderkey", "x.l_linenumber", "x.l_partkey", "x.l_suppkey", (-F.col("x.q")).alias("l_quantity"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    return model.first_largest(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_quantity", order, order)
 
 
 @_query("signature_format", """WITH m AS (SELECT *, CASE o_orderstatus WHEN 'O' THEN 'public' WHEN 'F' THEN 'internal' ELSE 'private' END AS access FROM orders)
@@ -280,6 +319,44 @@ def code_contracts(spark, sf_dir):
     return rows.select("file", "name", "kind", "access", "base", listed("implements").alias("implements"), n("methods").alias("methods"), n("properties").alias("properties"), listed("attributes").alias("attributes"), named(F.col("methods")[0]["parameters"]).alias("parameters"), named("constructor_dependencies").alias("dependencies"))
 
 
+@_query("code_search", """WITH cand AS (
+  SELECT s_suppkey AS k, 0 AS is_method, 0 AS pos, concat('Supplier', s_suppkey) AS name FROM supplier
+  UNION ALL SELECT s_suppkey, 1, unnest([1, 3]), unnest([concat('Supplier', s_suppkey), 'Ship']) FROM supplier),
+hit AS (SELECT *, CASE WHEN lower(name) IN ('supplier1', 'ship') THEN 0 ELSE 1 END AS pass FROM cand WHERE contains(lower(name), 'supplier1') OR contains(lower(name), 'ship')),
+r AS (SELECT *, row_number() OVER (ORDER BY pass, k, is_method, pos) AS rn, count(*) OVER () AS total FROM hit),
+g AS (SELECT k, min(rn) AS first, bool_or(is_method = 0) AS file_matched, string_agg(name, ',' ORDER BY rn) FILTER (is_method = 1) AS methods, bool_or(total > 50) AS truncated FROM r WHERE rn <= 50 GROUP BY k)
+SELECT CAST(row_number() OVER (ORDER BY first) - 1 AS BIGINT) AS rank, concat('/Trade/Supplier', k, '.cs') AS file, 'Trade' AS namespaces, file_matched, coalesce(methods, '') AS methods, truncated FROM g""")
+def code_search(spark, sf_dir):
+    rows = search.grouped(_code(spark, sf_dir), [" supplier1 ", "Ship"])
+    return rows.select("rank", "file", F.array_join("namespaces", ",").alias("namespaces"), "file_matched", F.array_join(F.transform("methods", lambda m: m["name"]), ",").alias("methods"), "truncated")
+
+
+@_query("code_impact", """SELECT concat('Sales.Customer', o_custkey) AS id, CAST(row_number() OVER (ORDER BY o_custkey) - 1 AS BIGINT) AS rank
+FROM (SELECT DISTINCT o_custkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % (SELECT count(*) FROM supplier) = 5)""")
+def code_impact(spark, sf_dir):
+    """What a change of one method reaches: the types of the methods that call it, in document order."""
+    return traverse.impact(model.edges(_code(spark, sf_dir)), "Trade.Supplier5.Ship(int, string?)")
+
+
+@_query("context_references", """SELECT s_suppkey AS context, concat('Supplier', s_suppkey) AS "from", concat('Nation', s_nationkey) AS "to", 'implements' AS via, concat('/Geo/Nation', s_nationkey, '.cs') AS resolved_file, '' AS unresolved FROM supplier
+UNION ALL SELECT s_suppkey, concat('Nation', s_nationkey), concat('Region', n_regionkey), 'implements', NULL, concat('Region', n_regionkey) FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
+def context_references(spark, sf_dir):
+    """One context for each supplier: its file and its nation's, without the region's."""
+    rows = generated.sources(spark, sf_dir).select("path", "content")
+    suppliers = table(spark, sf_dir, "supplier")
+    path = lambda i, at, key: suppliers.select(F.col("s_suppkey").alias("context"), F.lit(i).alias("pos"), F.concat(F.lit(at), F.col(key).cast("string"), F.lit(".cs")).alias("path"))
+    asked = path(0, "/Trade/Supplier", "s_suppkey").unionByName(path(1, "/Geo/Nation", "s_nationkey"))
+    found = context.inspect(asked.join(rows, "path")).select("context", F.explode("references").alias("r"), "unresolved")
+    return found.select("context", "r.from", "r.to", "r.via", "r.resolved_file", F.when(F.array_contains("unresolved", F.col("r.to")), F.col("r.to")).otherwise("").alias("unresolved"))
+
+
+@_query("path_order", """SELECT path FROM (SELECT '/' || p_type || '/' || p_brand || '.cs' AS path FROM part) WHERE NOT contains(path, '/obj/') GROUP BY path""")
+def path_order(spark, sf_dir):
+    """Different paths, in order of their bytes."""
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("/"), "p_type", F.lit("/"), "p_brand", F.lit(".cs")).alias("path"))
+    return parts.filter(text.is_source(F.col("path"))).distinct().orderBy("path")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _FOUND.items()}
 

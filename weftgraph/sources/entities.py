@@ -38,5 +38,6 @@ def entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(edge(read("customer"), _ids("C", "c_custkey"), _ids("N", "c_nationkey"), "INJECTS"))
         .unionByName(edge(read("orders"), _ids("C", "o_custkey"), _ids("O", "o_orderkey"), "CONTAINS"))
     )
-    items = edge(lines, _ids("O", "l_orderkey"), _ids("P", "l_partkey"), by_flag).unionByName(edge(lines, _ids("O", "l_orderkey"), _ids("S", "l_suppkey"), by_status))
+    ends = F.array(F.struct(_ids("P", "l_partkey").alias("dst"), by_flag.alias("type")), F.struct(_ids("S", "l_suppkey").alias("dst"), by_status.alias("type")))
+    items = lines.select(_ids("O", "l_orderkey").alias("src"), F.explode(ends).alias("e")).select("src", "e.dst", "e.type")
     return plain.unionByName(items).distinct()
