@@ -24,6 +24,8 @@ def brute(rows, asks, k):
 def test_top_k_equals_brute_force(spark, monkeypatch, seed, spread):
     monkeypatch.setattr(topk, "BUCKET", 32)
     monkeypatch.setattr(topk, "BLOCK", 8)
+    monkeypatch.setattr(topk, "STRIPE", 3)
+    monkeypatch.setattr(topk, "STEPS", 4)
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(8, 6))
     rows = [(i, (base[rng.integers(8)] + 0.02 * rng.normal(size=6)).astype(float) * float(np.exp(spread * rng.normal()))) for i in range(300)]
@@ -48,11 +50,15 @@ def test_search_bucket_prunes_but_loses_nothing():
     ids = np.arange(200)
     scores = queries @ rows.T
     scores[np.arange(20), np.arange(20)] = -(10**9)
-    floors = np.sort(scores, axis=1)[:, -5].astype(float)
+    floors = np.sort(scores, axis=1)[:, -5]
     q, v, s = topk.search_bucket(ids[:20], queries, floors, ids, rows, 5)
+    parted = topk._Best(ids[:20], queries, np.full(20, topk._LOW), 5)
+    for part in np.array_split(rng.permutation(200), 7):
+        parted.meet(ids[part], rows[part])
     for i in range(20):
         order = sorted((-scores[i, j], j) for j in range(200))[:5]
         assert sorted(zip(v[q == i], s[q == i])) == sorted((j, -x) for x, j in order)
+        assert sorted(zip(parted.vec[parted.at == i], parted.score[parted.at == i])) == sorted((j, -x) for x, j in order) and parted.floors[i] == -order[-1][0]
 
 
 def test_template_is_reversible():

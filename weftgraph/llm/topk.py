@@ -3,23 +3,26 @@
 Method. Vectors are range-partitioned by length, longest first, into buckets of
 about ``BUCKET`` rows; each bucket is packed into one row with its greatest
 length. The first bucket is scored for every query, which gives each query a
-lower bound of its k-th score. A block of queries meets a bucket only if for one
-of its queries the product of lengths reaches that bound. Inside a bucket the
-bound becomes a local cosine threshold for each query: if it is over 1 the
-bucket is pruned for that query; if it is high, candidates are pruned by their
-normalised coordinate along the query's largest one; else by length alone, as a
-prefix of the bucket. What is left is verified by exact products, and the k best
-of each query and bucket are merged.
+lower bound of its k-th score. Buckets fall in length, so a block of queries needs
+a prefix of them: those whose greatest length, by the product of lengths, can reach
+the bound of one of its queries. A task takes a block through ``STRIPE`` buckets of
+that prefix, in order, and keeps the k best of each query so far, so bounds rise
+from bucket to bucket. Inside a bucket the bound becomes a local cosine threshold
+for each query: if it is over 1 the bucket is pruned for that query; if it is high,
+candidates are pruned by their normalised coordinates along the query's ``FOCUS``
+largest ones; else by length alone, as a prefix of the bucket. What is left is
+verified by exact products, and the k best of each query and stripe are merged.
 
 Exactness. Components are integers. Products are taken in double precision when
-no partial sum can leave 2**53, else in Python integers.
+no partial sum can leave 2**53, else in Python integers; bounds are integers.
+Scores beyond the range of long are cut to it.
 
 Defined results. Vectors that are null, or hold a null or a value that isn't
 finite, take no part. Shorter vectors count as padded with zeros. The id names
 the row: a query's candidates are all rows with another id. Rows that repeat an
 id take part as one vector, the least by order of components. Rows whose id is
 null take no part. Equal scores go to the smaller id. An empty table gives an
-empty result.
+empty result. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +38,14 @@ from weftgraph.llm import sessions
 
 #: Rows of a bucket of candidates, and of a block of queries (about).
 BUCKET, BLOCK = 1024, 256
-#: Local cosine threshold from which coordinates prune.
-STEEP = 0.8
+#: Buckets that a task takes a block of queries through.
+STRIPE = 64
+#: Local cosine threshold from which coordinates prune, and coordinates of a query that do.
+STEEP, FOCUS = 0.5, 4
+#: Most steps in which the lengths of buckets are known to the driver.
+STEPS = 4096
+#: No lower bound.
+_LOW = -(2**63)
 _EXACT = 2.0**53
 _PACKED = "part int, sub int, n int, most double, ids binary, vectors binary"
 _NAMES = ["part", "sub", "n", "most", "ids", "vectors"]
@@ -99,9 +108,9 @@ def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def search_bucket(query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score): the k best of a bucket for each query, as far as they reach the query's floor.
+    """(place of the query, id, score): the k best of a bucket for each query, as far as they reach the query's floor.
 
-    floors: a lower bound of each query's k-th score (-inf: none yet).
+    floors: a lower bound of each query's k-th score, as long (_LOW: none yet).
     """
     lengths = _lengths(rows)
     order = np.argsort(-lengths, kind="stable")
@@ -123,7 +132,7 @@ def search_bucket(query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray
             at, scores = at[ok], scores[ok]
             best = np.lexsort((ids[at], -scores))[:k]
             at, scores = at[best], scores[best]
-        found.append((np.full(len(at), query_ids[q]), ids[at], scores))
+        found.append((np.full(len(at), q), ids[at], scores))
 
     plain = [q for q in live if not local[q] >= STEEP]
     if plain:
@@ -139,20 +148,39 @@ def search_bucket(query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray
         with np.errstate(divide="ignore", invalid="ignore"):
             unit = np.where(lengths[:, None] > 0, rows / lengths[:, None], 0.0)
         for q in steep:
-            f = int(np.argmax(np.abs(queries[q])))
-            if f >= rows.shape[1]:
-                cand = np.arange(len(rows))
-            else:
-                # Cosine >= t needs the coordinate p with x p + sqrt(1-x^2) sqrt(1-p^2) >= t.
-                x, t = queries[q, f] / q_len[q], min(local[q], 1.0)
-                p = unit[:, f]
-                cand = np.flatnonzero((x * p + np.sqrt(max(0.0, 1 - x * x)) * np.sqrt(np.maximum(0.0, 1 - p * p)) >= t - 1e-7) & (lengths * q_len[q] >= floors[q] * (1 - slack)))
+            focus = np.argsort(-np.abs(queries[q, : rows.shape[1]]), kind="stable")[:FOCUS]
+            # Cosine >= t needs x p + |rest of x| |rest of p| >= t for the coordinates in focus.
+            x, p = queries[q, focus] / q_len[q], unit[:, focus]
+            reach = p @ x + np.sqrt(np.maximum(0.0, 1 - x @ x)) * np.sqrt(np.maximum(0.0, 1 - (p * p).sum(axis=1)))
+            cand = np.flatnonzero((reach >= min(local[q], 1.0) - 1e-7) & (lengths * q_len[q] >= floors[q] * (1 - slack)))
             keep(q, cand, products(queries[q : q + 1], rows[cand])[0])
     if not found:
         return (np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found))
 
 
+class _Best:
+    """The k best of each query of a block so far."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int):
+        self.ids, self.queries, self.floors, self.k = ids, queries, floors.copy(), k
+        self.at, self.vec, self.score = (np.zeros(0, np.int64) for _ in range(3))
+
+    def meet(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        more = search_bucket(self.ids, self.queries, self.floors, ids, rows, self.k)
+        at, vec, score = (np.concatenate(x) for x in zip((self.at, self.vec, self.score), more))
+        order = np.lexsort((vec, -score, at))
+        at = at[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        kept = order[rank < self.k]
+        last = order[rank == self.k - 1]
+        self.floors[np.concatenate([self.at, more[0]])[last]] = score[last]
+        self.at, self.vec, self.score = np.concatenate([self.at, more[0]])[kept], vec[kept], score[kept]
+
+    def batch(self) -> pa.RecordBatch:
+        return _found_batch((self.ids[self.at], self.vec, self.score))
+
+
 _FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -184,34 +212,50 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
     first = buckets.orderBy("part", "sub").limit(1).collect()[0]
     lead_ids, lead = _unpack(first["ids"], first["vectors"])
     lead_ids, lead = lead_ids.copy(), lead.copy()
+    # Greatest lengths, falling, in at most STEPS steps of as many buckets each.
+    step = -(-parts // STEPS)
+    coarse = buckets.groupBy(F.floor(F.col("part") / step).alias("s")).agg(F.max("most").alias("top")).orderBy("s").collect()
+    falling = np.array([x["top"] for x in coarse])
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            floors, reach = [], []
+            floors, reach, upto = [], [], []
             for ids, data in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
                 q_ids, q = _unpack(ids, data)
-                scores = products(q, lead).astype(np.float64)
-                scores[q_ids[:, None] == lead_ids[None, :]] = -np.inf
-                kth = np.partition(scores, -k, axis=1)[:, -k] if len(lead) >= k else np.full(len(q), -np.inf)
+                scores = products(q, lead)
+                scores[q_ids[:, None] == lead_ids[None, :]] = _LOW
+                kth = np.partition(scores, -k, axis=1)[:, -k] if len(lead) >= k else np.full(len(q), _LOW, np.int64)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     need = np.where(kth > 0, kth / _lengths(q), 0.0)
                 floors.append(kth.tobytes())
-                reach.append(float(need.min()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floors, pa.binary()), pa.array(reach, pa.float64())], names=[*_NAMES, "floors", "reach"])
+                reach.append(float(need.min()) * (1 - 1e-9))
+                upto.append(min(parts, step * int((falling >= reach[-1]).sum())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floors, pa.binary()), pa.array(reach, pa.float64()), pa.array(upto, pa.int32())], names=[*_NAMES, "floors", "reach", "upto"])
 
-    seeded = sessions.stored(asks.mapInArrow(seed, _PACKED + ", floors binary, reach double"))
-    # Blocks of queries go to the parts whose greatest length reaches what one of their queries needs.
+    seeded = sessions.stored(asks.mapInArrow(seed, _PACKED + ", floors binary, reach double, upto int"))
+    # Blocks meet the prefix of buckets that they need; only ids are paired, contents follow by join.
     tops = buckets.groupBy("part").agg(F.max("most").alias("top"))
-    last = seeded.select("ids", "vectors", "floors", "reach", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    due = last.join(tops, "part").filter(F.col("top") >= F.col("reach") * (1 - 1e-9))
-    met = due.select("part", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), "floors").join(buckets.select("part", "ids", "vectors"), "part")
+    wanted = seeded.filter("upto > 0").select(F.col("part").alias("block"), F.col("sub").alias("slice"), "reach", F.explode(F.sequence(F.lit(0), F.col("upto") - 1)).alias("part"))
+    due = wanted.join(tops, "part").filter(F.col("top") >= F.col("reach")).select("block", "slice", F.floor(F.col("part") / STRIPE).cast("int").alias("stripe"), "part")
+    body = due.join(buckets.select("part", "sub", "ids", "vectors"), "part").select("block", "slice", "stripe", "part", "sub", "ids", "vectors", F.lit(None).cast("binary").alias("floors"))
+    heads = due.select("block", "slice", "stripe").distinct().join(seeded.select(F.col("part").alias("block"), F.col("sub").alias("slice"), "ids", "vectors", "floors"), ["block", "slice"])
+    head = heads.select("block", "slice", "stripe", F.lit(-1).alias("part"), F.lit(0).alias("sub"), "ids", "vectors", "floors")
+    order = ["block", "slice", "stripe", "part", "sub"]
+    met = head.unionByName(body).repartition(sessions.partitions(spark), "block", "slice", "stripe").sortWithinPartitions(*order)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
         for batch in batches:
-            for q_ids, q, floors, ids, data in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
-                a_ids, a = _unpack(q_ids, q)
-                b_ids, b = _unpack(ids, data)
-                yield _found_batch(search_bucket(a_ids, a, np.frombuffer(floors, np.float64), b_ids, b, k))
+            for part, ids, data, floors in zip(*(batch.column(i).to_pylist() for i in (3, 5, 6, 7))):
+                a_ids, a = _unpack(ids, data)
+                if part < 0:
+                    if best is not None:
+                        yield best.batch()
+                    best = _Best(a_ids, a, np.frombuffer(floors, np.int64), k)
+                else:
+                    best.meet(a_ids, a)
+        if best is not None:
+            yield best.batch()
 
     found = met.mapInArrow(verify, _FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
