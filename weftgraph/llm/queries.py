@@ -73,8 +73,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_top_k, op2_mix, op3_near_duplicates, op4_shards, op5_quality, op6_pieces, op7_chat, op8_line_dedup, op9_language, op10_secrets)}
 
 
+#: The words of a text, and its runs of five words (one shorter run if it has fewer).
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_RUNS = "[array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1) IF len(w) > 0]"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_near_duplicates": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT doc_id, shingle, count(*) AS c FROM (SELECT doc_id, unnest({_RUNS}) AS shingle FROM d) GROUP BY ALL),
+n AS (SELECT doc_id, sum(c) AS n FROM s GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * common >= 4 * (x.n + y.n - common)),
+links AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+c AS (SELECT doc_id, min(other) AS class_id, count(*) AS class_size FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(class_size, 1) AS class_size, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(class_id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+""",
+        "op8_line_dedup": f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS BIGINT) AS line, unnest(parts) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)
+),
+w AS (SELECT doc_id, line, {_WORDS.format("t")} AS w FROM l),
+k AS (SELECT doc_id, line, list_sort(list_distinct({_RUNS})) AS tokens FROM w WHERE len(w) > 0),
+ids AS (SELECT tokens, row_number() OVER () AS id, count(*) AS copies, min((doc_id, line)) AS first FROM k GROUP BY tokens),
+own AS (SELECT doc_id, line, id FROM k JOIN ids USING (tokens)),
+tok AS (SELECT id, unnest(tokens) AS token, len(tokens) AS n FROM ids),
+shared AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common FROM tok a JOIN tok b ON a.token = b.token AND a.id <> b.id GROUP BY 1, 2),
+e AS (SELECT a, b FROM shared WHERE 5 * common >= 4 * (na + nb - common)),
+per AS (SELECT a AS id, sum(copies) AS links, min(first) AS early FROM e JOIN ids ON ids.id = e.b GROUP BY 1),
+f AS (SELECT own.doc_id, own.line, own.id, coalesce(links, 0) AS links, ((own.doc_id, own.line) > ids.first OR coalesce((own.doc_id, own.line) > early, false)) AS gone FROM own JOIN ids USING (id) LEFT JOIN per USING (id)),
+hub AS (SELECT id, min(doc_id) AS lead FROM own GROUP BY 1),
+g AS (SELECT doc_id AS a, lead AS b FROM own JOIN hub USING (id) UNION SELECT x.lead, y.lead FROM e JOIN hub x ON x.id = e.a JOIN hub y ON y.id = e.b),
+both_ways AS (SELECT a, b FROM g WHERE a <> b UNION SELECT b, a FROM g WHERE a <> b),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, x.b FROM reach r JOIN both_ways x ON x.a = r.other),
+c AS (SELECT doc_id, min(other) AS class_id FROM reach GROUP BY 1),
+sums AS (SELECT doc_id, sum(links) AS n_links, count(*) FILTER (gone) AS n_removed, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) FILTER (gone) AS removed FROM f GROUP BY 1),
+left_over AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY line) AS t FROM l WHERE (doc_id, line) NOT IN (SELECT (doc_id, line) FROM f WHERE gone) GROUP BY 1)
+SELECT d.doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(t, '')) END AS text_sha256
+FROM documents d JOIN c USING (doc_id) LEFT JOIN sums USING (doc_id) LEFT JOIN left_over USING (doc_id)
+""",
         "op7_chat": r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
