@@ -20,7 +20,8 @@ words than a shingle is one shorter shingle, so only its copies are similar; lin
 under ``min_words`` words stay (the query and the pipeline take all, from one word).
 Rows that
 repeat both id and text stand in one place and get one result. A null id comes
-last. An empty table gives an empty result; extra columns are ignored here and
+last. A very long text, or a very long line, is worked on alone. An empty table
+gives an empty result; extra columns, whatever their names, are ignored here and
 kept by ``clean``.
 """
 
@@ -509,7 +510,8 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _repeated(lines: DataFrame, firsts: DataFrame, links: DataFrame) -> DataFrame:
     """``repeated_lines`` without the lines that have neither copies nor links."""
     by_node = links.groupBy("node").agg(F.min("match").alias("match"), F.sum("links").alias("links"))
-    some = firsts.join(by_node, "node", "left").filter("copies > 1 or links is not null").select("node", "at", "match", "links")
+    # Written, so that the join with the lines stands alone and Spark can split a very common line's part of it.
+    some = sessions.stored(firsts.join(by_node, "node", "left").filter("copies > 1 or links is not null").select("node", "at", "match", "links"))
     own = lines.select("k", "id", "line", "node").join(some, "node")
     here = F.struct(F.col("id").isNull().alias("no"), "id", "k", "line")
     first = here.eqNullSafe(F.col("at"))

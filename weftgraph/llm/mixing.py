@@ -10,10 +10,15 @@ hold one hash value each. The nested thresholds found this way are compared
 with the hash of each row: no documents are sorted, and a larger budget always
 keeps what a smaller one kept.
 
-Defined results. A null text has size 0 and takes part with 0 words. A null
-source is a source of its own, the last in order. Rows that agree in the key
-columns share one hash and are taken together. An empty table gives an empty
-result. Column names of the input don't matter: inner names are prefixed.
+Defined results. A null text has size 0 and takes part with 0 words; so does an
+empty one. A null source is a source of its own, the last in order. Rows that agree
+in the key columns share one hash and are taken together, ties and repeated rows
+alike. A very long text may be larger than what its source has left; it is taken if
+that comes nearer to the target. An empty table gives an empty result. Column names
+of the input don't matter: inner names are prefixed.
+
+Sources are ranked against each other in one task, as a table of one row for each;
+so a source must be a name among thousands or millions, not one for each document.
 """
 
 from __future__ import annotations

@@ -54,7 +54,7 @@ _DOCUMENT, _OCCURRENCE, _CANDIDATE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA
 #: Widths of the matrices of agendas (symbols of a part); longer parts run alone.
 WIDTHS = (4, 6, 8, 10, 12, 16, 24, 32, 62)
 #: Agendas of a matrix, and bytes of text of a slice.
-ROWS, SLICE = 1 << 13, 1 << 21
+ROWS, SLICE = 1 << 13, 1 << 20
 #: Bits of a column's number in a cost.
 _COLUMN = 6
 

@@ -10,8 +10,10 @@ word characters, and the longest of them the longest repeat. Both are limited.
 
 Defined results. A null or empty text has no words: all counts 0,
 ``base_failed`` true, ``kept`` false. Rows are independent, so ties, repeated
-rows and extra columns change nothing; the output has exactly the columns of
-``SCHEMA`` (plus the carried key). An empty table gives an empty result.
+rows and extra columns change nothing; the output has the carried columns, the
+counts, ``covered``, ``base_failed`` and ``kept``. A very long text is worked on
+alone; it takes 4 bytes a word for each doubling of its longest repeat, and some
+150 bytes a word besides. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -77,7 +79,7 @@ def longest_repeats(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     rank[order] = heads[np.cumsum(new) - 1]
     levels, step = [], 1
     while True:
-        levels.append(rank)
+        levels.append(rank.astype(np.int32) if n < 2**31 else rank)
         size = np.bincount(rank, minlength=n)
         active = np.flatnonzero(size[rank] > 1)
         if not len(active):

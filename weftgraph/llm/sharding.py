@@ -7,14 +7,19 @@ each trial checked greedily (fill a run while the next group fits). The search
 works on sums by hash range, finest where a cut can fall: ranges near possible
 cuts are split by further hash bits until the answer doesn't depend on how they
 would be split, so the result is that of the search over all single groups,
-while the driver only sees a bounded number of range sums.
+while the driver only sees range sums: 2**FIRST_BITS, and 2**MORE_BITS for each
+range that is split, which are a few for each shard, and at most all ranges where
+no cut can be told yet.
 
 Law ``bytes``: the largest shard is as small as any contiguous partition of the
 groups allows. Slots number the rows of a shard without gaps.
 
 Defined results. A null text has no bytes (size 1) and crc32 0; null texts form
-one group. Rows with equal keys and texts get different slots. An empty table
-gives an empty result. Other columns are ignored.
+one group, and so do the copies of any text, which is never split. Rows with equal
+keys and texts get different slots. A very long text may be larger than the mean
+shard; then its group is a shard's only one. An empty table gives an empty result.
+Other columns are ignored; if the key has the name of a column of the result, that
+one gets an underscore.
 """
 
 from __future__ import annotations
@@ -184,6 +189,7 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
         offsets.append((x["shard"], x["part"], seen.get(x["shard"], 0) - x["start"]))
         seen[x["shard"]] = seen.get(x["shard"], 0) + x["n"]
     table = spark.createDataFrame(offsets, "shard int, part int, shift long")
+    columns = {"size": F.col("size"), "text_crc32": F.col("crc"), "law": F.lit("bytes"), "shard": F.col("shard"), "slot": F.col("place") + F.col("shift"), "grown_shard": F.lit(None).cast("int")}
     return spread.join(F.broadcast(table), ["shard", "part"]).select(
-        F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("place") + F.col("shift")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        F.col("key").alias(key), *[c.alias(sessions.spare(n, [key])) for n, c in columns.items()]
     )
