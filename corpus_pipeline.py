@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all
 rows that the stage before it kept. All but the last return the columns of
-``documents``.
+``documents``, and further columns, whatever their names, as they are.
+
+Defined results of all stages. A null or empty text fails the quality rules; the
+later stages keep such rows as they are, but for line dedup, which drops documents
+without a word left. Repeated rows stay apart in the quality rules and the mix, and
+are one in near-dedup. Ties go by document id, then by a hash. Very long texts are
+worked on alone. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from weftgraph.llm import linededup, mixing, neardup, pieces, quality, sessions
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, in all their columns. Rows are independent."""
     return quality.keep_good(docs)
 
 
@@ -28,17 +34,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates: the one with the least id, a null id last. Texts without words are no copies of each other."""
     return neardup.keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as many times as the mix takes it, up to three. A null source is a source of its own; a document without words is taken with its source's hash range."""
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
+    """Token ids of each document, as many rows as come in. Copies that the mix made of a document have equal ids, since nothing tells them apart."""
     return pieces.tokenize(docs)
 
 
