@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text
-from weftgraph.operators import context, extract, model, neighbors, search, traverse
+from weftgraph.operators import context, extract, model, neighbors, search, sync, traverse
 from weftgraph.sources import files, generated
 from weftgraph.sources.entities import entity_edges, entity_nodes, table
 from weftgraph.snapshots import snapshots
@@ -164,7 +164,7 @@ best AS (SELECT path FROM w WHERE node = '{target}' ORDER BY len(path), ords LIM
 SELECT CAST(step - 1 AS BIGINT) AS step, id FROM (SELECT unnest(path) AS id, generate_subscripts(path, 1) AS step FROM best)"""
 
 
-for _name, _from, _to in (("path_customer_region", "C1", "R1"), ("path_customer_part", "C1", "P7"), ("path_none", "P1", "C1"), ("path_self", "S5", "S5")):
+for _name, _from, _to in (("path_customer_region", "C1", "R1"), ("path_customer_part", "C7", "P39"), ("path_none", "P1", "C1"), ("path_self", "S5", "S5")):
     _query(_name, _path_sql(_from, _to))(lambda spark, sf_dir, _from=_from, _to=_to: traverse.path(entity_edges(spark, sf_dir), _from, _to))
 
 
@@ -350,6 +350,25 @@ def context_references(spark, sf_dir):
     return found.select("context", "r.from", "r.to", "r.via", "r.resolved_file", F.when(F.array_contains("unresolved", F.col("r.to")), F.col("r.to")).otherwise("").alias("unresolved"))
 
 
+@_query("cold_selection", """WITH RECURSIVE old AS (SELECT n_nationkey AS k, false AS fp, CASE WHEN n_nationkey > 0 AND (n_nationkey // 2) % 6 <> 5 THEN n_nationkey // 2 END AS ref FROM nation WHERE n_nationkey % 6 <> 5),
+new AS (SELECT n_nationkey AS k, n_nationkey % 8 = 1 AS fp, CASE WHEN n_nationkey > 0 AND (n_nationkey // 2) % 7 <> 6 THEN n_nationkey // 2 END AS ref FROM nation WHERE n_nationkey % 7 <> 6),
+changed AS (SELECT new.k FROM new LEFT JOIN old USING (k) WHERE old.k IS NULL OR new.fp <> old.fp OR new.ref IS DISTINCT FROM old.ref UNION SELECT k FROM old WHERE k NOT IN (SELECT k FROM new)),
+links AS (SELECT k, ref FROM old WHERE ref IS NOT NULL UNION SELECT k, ref FROM new WHERE ref IS NOT NULL),
+seen(k) AS (SELECT k FROM changed UNION SELECT links.k FROM seen JOIN links ON links.ref = seen.k)
+SELECT CAST(k AS VARCHAR) AS project FROM new WHERE k IN (SELECT k FROM seen)""")
+def cold_selection(spark, sf_dir):
+    """Projects to read anew, of two evaluations in which nations stand for projects."""
+    keys = [r["n_nationkey"] for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]  # as many as projects
+
+    def evaluation(there, fingerprint):
+        have = {k for k in keys if there(k)}
+        projects = [{"key": str(k), "filePath": f"/{k}", "language": "C#", "fingerprint": fingerprint(k), "projectReferences": [str(k // 2)] if k and k // 2 in have else [], "documents": [], "additionalFiles": []} for k in sorted(have)]
+        return {"projects": projects}
+
+    found = sync.cold(evaluation(lambda k: k % 6 != 5, lambda k: "a"), evaluation(lambda k: k % 7 != 6, lambda k: "b" if k % 8 == 1 else "a"))
+    return spark.createDataFrame([(k,) for k in found], "project string")
+
+
 @_query("path_order", """SELECT path FROM (SELECT '/' || p_type || '/' || p_brand || '.cs' AS path FROM part) WHERE NOT contains(path, '/obj/') GROUP BY path""")
 def path_order(spark, sf_dir):
     """Different paths, in order of their bytes."""
