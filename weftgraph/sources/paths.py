@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import UTC, datetime
 from typing import NamedTuple
 
@@ -37,16 +38,18 @@ def state(spark: SparkSession, path: str) -> tuple[bool, bool]:
     return True, True
 
 
+#: A file's status as Hadoop writes it.
+_STATUS = re.compile(r"\{path=(.*?); isDirectory=false; length=(\d+);.*?modification_time=(\d+);")
+
+
 def below(spark: SparkSession, folder: str) -> list[Found]:
-    """All files below a folder, in order of their paths; none if there is no such folder."""
+    """All files below a folder, in order of their paths; none if there is no such folder. One call for all of them."""
     p, fs = system(spark, folder)
     if not fs.exists(p):
         return []
-    found, out = fs.listFiles(p, True), []
-    while found.hasNext():
-        x = found.next()
-        out.append(Found(plain(x.getPath().toString()), x.getLen(), datetime.fromtimestamp(x.getModificationTime() / 1000, UTC).strftime("%Y-%m-%dT%H:%M:%S")))
-    return sorted(out)
+    listed = spark._jvm.org.apache.hadoop.util.functional.RemoteIterators.toList(fs.listFiles(p, True)).toString()
+    when = lambda ms: datetime.fromtimestamp(int(ms) / 1000, UTC).strftime("%Y-%m-%dT%H:%M:%S")
+    return sorted(Found(plain(path), int(size), when(ms)) for path, size, ms in _STATUS.findall(listed))
 
 
 def text(spark: SparkSession, path: str) -> str | None:
