@@ -76,3 +76,19 @@ def test_stages_equal_brute_force(spark, tmp_path):
 def test_run_over_no_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_gives_the_stages_rows_and_keeps_its_result_only(spark):
+    from pathlib import Path
+
+    base = Path(spark.conf.get("spark.checkpoint.dir"))
+    folder = "/root/testdata/sf0.001"
+    before = {p.name for p in next(base.iterdir()).iterdir()} if any(base.iterdir()) else set()
+    got = corpus_pipeline.run(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+    assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == sorted((r.doc_id, r.n_tokens) for r in docs.collect())
+    (root,) = base.iterdir()
+    runs = [p for p in root.iterdir() if p.name.startswith("pipeline-") and p.name not in before]
+    assert len(runs) == 1 and [p.name for p in runs[0].iterdir() if p.is_dir()] == [str(len(corpus_pipeline.STAGES) - 1)]

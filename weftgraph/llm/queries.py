@@ -32,7 +32,7 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess(_read(spark, sf_dir, "documents"))
+    return quality.assess(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,27 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b
 c AS (SELECT doc_id, min(other) AS class_id, count(*) AS class_size FROM reach GROUP BY 1)
 SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(class_size, 1) AS class_size, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(class_id, doc_id) = doc_id AS kept
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+""",
+        # A word is covered if it is in a run of ten words that the text has twice; a repeat
+        # is too long if a run of one word more than is allowed stands twice.
+        "op5_quality": f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+q AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word,
+  unnest([CASE WHEN i + 2 <= len(w) THEN array_to_string(w[i:i + 2], ' ') END FOR i IN range(1, len(w) + 1)]) AS g3,
+  unnest([CASE WHEN i + 9 <= len(w) THEN array_to_string(w[i:i + 9], ' ') END FOR i IN range(1, len(w) + 1)]) AS g10 FROM t),
+c AS (SELECT *, g3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g3) > 1 AS r3, g10 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g10) > 1 AS r10 FROM q),
+v AS (SELECT *, bool_or(r3) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3, bool_or(r10) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c10 FROM c),
+s AS (SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars, count(*) FILTER (c3) AS n_repeat_words, coalesce(sum(length(word)) FILTER (c10), 0) AS covered FROM v GROUP BY 1),
+most AS (SELECT doc_id, w, CAST(floor(greatest(60.0, n_words * 0.1)) AS BIGINT) + 1 AS k FROM t JOIN s USING (doc_id) WHERE covered > 0),
+h AS (SELECT doc_id, unnest([md5(array_to_string(w[i:i + k - 1], ' ')) FOR i IN range(1, greatest(len(w) - k + 2, 1))]) AS g FROM most),
+long AS (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM h GROUP BY doc_id, g HAVING count(*) > 1)),
+lines AS (SELECT doc_id, t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM t) WHERE regexp_matches(t, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT t) AS n FROM lines GROUP BY 1),
+b AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, covered FROM t LEFT JOIN s USING (doc_id) LEFT JOIN dup USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND CAST(covered AS DOUBLE) / word_chars <= 0.3 AND doc_id NOT IN (SELECT doc_id FROM long) AS kept
+FROM b
 """,
         "op8_line_dedup": f"""
 WITH RECURSIVE l AS (

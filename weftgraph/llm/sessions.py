@@ -11,6 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written by this process that haven't been dropped.
+_written: list[str] = []
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -41,19 +43,37 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     prepare(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that ``stored`` wrote, once nothing reads them any more. Other tables are left alone."""
     for table in tables:
-        if "_stored_at" not in vars(table):
-            continue
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stored_at)
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        if "_stored_at" in vars(table):
+            delete(table.sparkSession, table._stored_at)
+            if table._stored_at in _written:
+                _written.remove(table._stored_at)
+
+
+def kept() -> int:
+    """How many stored tables there are; with ``sweep``, those that a step needed can be deleted after it."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Delete the tables stored since ``kept`` gave ``since``, once what was computed from them is written elsewhere."""
+    while len(_written) > since:
+        delete(spark, _written.pop())
 
 
 def release(spark: SparkSession) -> None:
