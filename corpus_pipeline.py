@@ -60,12 +60,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared checkpoint folder and read again."""
+    """All stages over ``documents``; each result is written to the shared checkpoint folder and read again, and what a stage needed is deleted after it."""
     sessions.prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    base, before = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}", None
     for i, (_, stage) in enumerate(STAGES):
-        path = f"{base}/{i}"
+        path, since = f"{base}/{i}", sessions.kept()
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        sessions.sweep(spark, since)
+        if before:
+            sessions.delete(spark, before)
+        docs, before = spark.read.parquet(path), path
+        sessions.release(spark)
     return docs
