@@ -350,6 +350,47 @@ def context_references(spark, sf_dir):
     return found.select("context", "r.from", "r.to", "r.via", "r.resolved_file", F.when(F.array_contains("unresolved", F.col("r.to")), F.col("r.to")).otherwise("").alias("unresolved"))
 
 
+def _each_nation(values: str, columns: str, numbers: str = "") -> str:
+    """SQL of rows that every nation's file gives; ``@k`` in their texts is its key. numbers: columns that aren't texts."""
+    texts = [c for c in columns.split(", ") if c not in numbers.split(", ")]
+    chosen = ", ".join([f"replace({c}, '@k', CAST(n_nationkey AS VARCHAR)) AS {c}" for c in texts] + ([numbers] if numbers else []))
+    return f"SELECT concat('/Rich/', n_nationkey, '.cs') AS file, {chosen} FROM nation CROSS JOIN (VALUES {values}) v({columns})"
+
+
+@_query("code_types", _each_nation("""
+('Thing@k<T>', 'abstract-class', 'public', 'Base@k', 'IThing|IDisposable', 'Serializable|Obsolete("n@k")', 'int a|string b', '', 'where T : class, new()', true),
+('Color', 'enum', 'public', '', '', '', '', 'Red|Green', '', false), ('Point@k', 'record', 'public', '', '', '', '', '', '', false), ('Line@k', 'record', 'public', '', '', '', '', '', '', false),
+('Fold@k', 'delegate', 'public', '', '', '', '', '', '', false), ('IThing', 'interface', 'internal', '', '', '', '', '', '', false), ('Always@k', 'static-class', 'internal', '', '', '', '', '', '', false)""",
+"name, kind, access, base, implements, attributes, dependencies, members, constraints, is_partial", "is_partial"))
+def code_types(spark, sf_dir):
+    rows = files.type_rows(files.contracts(generated.rich(spark, sf_dir)))
+    listed = lambda c: F.coalesce(F.array_join(c, "|"), F.lit(""))
+    deps = F.transform("constructor_dependencies", lambda p: F.concat(p["type"], F.lit(" "), p["name"]))
+    return rows.select("file", "name", "kind", "access", F.coalesce("base", F.lit("")).alias("base"), listed("implements").alias("implements"), listed("attributes").alias("attributes"), listed(deps).alias("dependencies"), listed("members").alias("members"), listed("generic_constraints").alias("constraints"), F.coalesce("is_partial", F.lit(False)).alias("is_partial"))
+
+
+@_query("code_members", _each_nation("""
+('Thing@k<T>', 'method', 'Run', 'Task<int>', 'internal', 'int x|string[] rest', 'static|async', 14, 18), ('Thing@k<T>', 'method', 'IThing.Clear', 'void', 'public', '', '', 19, 19),
+('Thing@k<T>', 'property', 'Name', 'string', 'public', 'get; private set;', 'required', 0, 0), ('Thing@k<T>', 'property', 'Twice', 'int', 'public', '', '', 0, 0),
+('Thing@k<T>', 'property', 'Max', 'int', 'public', '', '', 0, 0), ('Thing@k<T>', 'property', 'Tag', 'string', 'public', '', '', 0, 0),
+('Thing@k<T>', 'event', 'Moved', 'Action', 'public', '', '', 0, 0), ('Thing@k<T>', 'event', 'Gone', 'Action', 'public', '', '', 0, 0),
+('Point@k', 'property', 'X', 'int', 'public', 'get; init;', '', 0, 0), ('Point@k', 'property', 'Y', 'int', 'public', 'get; init;', '', 0, 0),
+('Line@k', 'property', 'From', 'int', 'public', 'get; init;', '', 0, 0), ('Line@k', 'property', 'Note', 'string', 'public', 'get; init;', '', 0, 0),
+('Fold@k', 'method', 'Fold@k', 'int', 'public', 'int a|int b', '', 25, 25), ('IThing', 'property', 'Count', 'int', 'public', 'get; set;', '', 0, 0), ('IThing', 'method', 'Clear', 'void', 'public', '', '', 26, 26)""",
+"owner, word, name, type, access, detail, modifiers, first_line, last_line", "first_line, last_line"))
+def code_members(spark, sf_dir):
+    """Methods with parameters and lines, properties and events with accessors, of all types."""
+    rows = files.type_rows(files.contracts(generated.rich(spark, sf_dir))).select("file", F.col("name").alias("owner"), "methods", "properties", "events")
+    listed = lambda c: F.coalesce(F.array_join(c, "|"), F.lit(""))
+    m = rows.select("file", "owner", F.explode("methods").alias("m"))
+    params = F.transform("m.parameters", lambda p: F.concat(p["type"], F.lit(" "), p["name"]))
+    out = m.select("file", "owner", F.lit("method").alias("word"), "m.name", F.col("m.return_type").alias("type"), "m.access", listed(params).alias("detail"), listed("m.modifiers").alias("modifiers"), F.col("m.start_line").alias("first_line"), F.col("m.end_line").alias("last_line"))
+    for word, column in (("property", "properties"), ("event", "events")):
+        p = rows.select("file", "owner", F.explode(column).alias("p"))
+        out = out.unionByName(p.select("file", "owner", F.lit(word).alias("word"), "p.name", "p.type", "p.access", F.coalesce("p.accessors", F.lit("")).alias("detail"), F.when(F.col("p.is_required"), "required").otherwise("").alias("modifiers"), F.lit(0).alias("first_line"), F.lit(0).alias("last_line")))
+    return out
+
+
 @_query("cold_selection", """WITH RECURSIVE old AS (SELECT n_nationkey AS k, false AS fp, CASE WHEN n_nationkey > 0 AND (n_nationkey // 2) % 6 <> 5 THEN n_nationkey // 2 END AS ref FROM nation WHERE n_nationkey % 6 <> 5),
 new AS (SELECT n_nationkey AS k, n_nationkey % 8 = 1 AS fp, CASE WHEN n_nationkey > 0 AND (n_nationkey // 2) % 7 <> 6 THEN n_nationkey // 2 END AS ref FROM nation WHERE n_nationkey % 7 <> 6),
 changed AS (SELECT new.k FROM new LEFT JOIN old USING (k) WHERE old.k IS NULL OR new.fp <> old.fp OR new.ref IS DISTINCT FROM old.ref UNION SELECT k FROM old WHERE k NOT IN (SELECT k FROM new)),

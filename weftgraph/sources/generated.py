@@ -36,3 +36,44 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = region.unionByName(nation).unionByName(supplier).unionByName(customer)
     return rows.withColumn("solution", F.lit("tables"))
+
+
+#: One file with every kind of declaration; ``@k`` is a nation's key.
+RICH = """using System;
+namespace Rich.N@k;
+[Serializable, Obsolete("n@k")]
+public abstract partial class Thing@k<T> : Base@k, IThing, IDisposable where T : class, new()
+{
+    public const int Max = @k;
+    public static readonly string Tag = "t;{";
+    private int hidden;
+    public Thing@k(int a) { }
+    public Thing@k(int a, string b) : base(a) { }
+    public event Action Moved, Gone;
+    public required string Name { get; private set; } = "x";
+    public int Twice => 2;
+    internal static async Task<int> Run(ref int x, params string[] rest)
+    {
+        await Task.Yield();
+        return 1;
+    }
+    void IThing.Clear() { }
+    private void Secret() { }
+    public enum Color { Red = 1, Green }
+}
+public readonly record struct Point@k(int X, int Y);
+public record Line@k(int From) { public string Note { get; init; } }
+public delegate int Fold@k(int a, int b);
+interface IThing { int Count { get; set; } void Clear(); }
+#if DEBUG
+public class Never@k { }
+#else
+internal static class Always@k { private class Inner { } }
+#endif
+"""
+
+
+def rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): one file for each nation."""
+    key = F.col("n_nationkey").cast("string")
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(_text("/Rich/", key, ".cs").alias("path"), F.replace(F.lit(RICH), F.lit("@k"), key).alias("content"))
