@@ -11,6 +11,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch that goes to Python (about; a longer row goes alone).
+BATCH_BYTES = 16 << 20
+_BATCH, _DEFAULT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Tables written by this process that haven't been dropped.
 _written: list[str] = []
 _ROOT = str(Path(__file__).resolve().parents[2])
@@ -21,8 +24,12 @@ def prepare(spark: SparkSession) -> None:
 
     ``spark.checkpoint.dir`` is read first: on a cluster it names a folder that
     every executor shares. Where it is unset, a local session gets a temporary
-    folder; a cluster has no folder to fall back to, so that is an error.
+    folder; a cluster has no folder to fall back to, so that is an error. Arrow
+    batches get a smaller bound of bytes, unless the session names one: many long
+    texts in one batch would be held several times over.
     """
+    if spark.conf.get(_BATCH) == _DEFAULT_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
