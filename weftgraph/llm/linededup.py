@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +54,10 @@ MANY = (1 << 16) - 1
 PAIRED = 128
 #: Rows of one token that are looked at together.
 GROUP = 200_000
-#: Token sets on each side of a tile of pairs.
-TILE = 512
+#: Token sets on each side of a tile of pairs, and most tokens of them (about).
+TILE, TILE_TOKENS = 512, 1 << 19
+#: Cells of a matrix, and bytes of text of small tiles, that are worked on at once.
+CELLS, RUN = 1 << 22, 1 << 22
 
 
 def _scan(data: np.ndarray, offsets: np.ndarray, width: int, min_words: int):
@@ -224,26 +227,32 @@ def _fit(token: np.ndarray, sketch: np.ndarray, least: float) -> np.ndarray:
     return keep & met & (np.bincount(of, keep & met)[of] > 1)
 
 
+def _numbers(sketch: np.ndarray) -> np.ndarray:
+    """The numbers of tokens that sketches tell."""
+    return (sketch >> 16 & MANY).astype(np.int64)
+
+
 def _shared(least: float):
-    """Of rows (token, node, sketch) sorted by token, those whose token more than one node has, once each, with the token's number of rows.
+    """Of rows (token, node, sketch) sorted by token, those whose token more than one node has, once each, with the token's number of rows (size) and of their tokens (weight).
 
     Tokens are looked at whole, and rows without a possible partner go, as long as
     a token has at most GROUP rows in a batch; of a larger one all rows stay, with
-    no number.
+    no size, and each with its own weight.
     """
-    names = ["token", "node", "size"]
+    names = ["token", "node", "size", "weight"]
 
     def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         once, _ = grouped(rows[0], rows[1].view(np.uint64))
         token, node, sketch = rows[:, once]
         keep = _fit(token, sketch, least)
-        token, node = token[keep], node[keep]
+        token, node, n = token[keep], node[keep], _numbers(sketch[keep])
         if len(token):
             _, of, size = np.unique(token, return_inverse=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(size[of])], names=names)
+            weight = np.bincount(of, n).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(size[of]), pa.array(weight[of])], names=names)
 
     def passed(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.nulls(rows.shape[1], pa.int64())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.nulls(rows.shape[1], pa.int64()), pa.array(_numbers(rows[2]))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, large = np.zeros((3, 0), np.int64), None
@@ -293,11 +302,11 @@ def _cut(marks):
 
 
 def _dealt(todo: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
-    """The sets that share a token, with order, copies and text, in tiles of about TILE sets by TILE: (token, i, j, side, node, no, id, k, line, copies, text).
+    """The sets that share a token, with order, copies and text, in tiles of about TILE sets, or sets of TILE_TOKENS tokens, on each side: (token, i, j, side, node, no, id, k, line, copies, text).
 
     A large group goes to as many tiles as its pairs fill, so no task holds it whole.
     """
-    tiles = F.ceil(F.col("size") / F.lit(TILE)).cast("long")
+    tiles = F.greatest(F.ceil(F.col("size") / F.lit(TILE)), F.ceil(F.col("weight") / F.lit(TILE_TOKENS))).cast("long")
     cut = todo.select("token", "node", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).alias("own"))
     to = cut.select("token", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
     sides = to.select("token", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("long").alias("side"))
@@ -313,18 +322,29 @@ def _similar(sets: list[np.ndarray], side: np.ndarray, token: int, levels: np.nd
     key = _order(values, levels)
     at = np.uint64(token)
     own = levels[int(at >> np.uint64(TOKEN_BITS - BUCKET_BITS))] << np.uint64(TOKEN_BITS) | at
-    # Columns that one set alone has are in no overlap.
-    many = np.bincount(column, minlength=len(values)) > 1
-    place = np.cumsum(many) - 1
-    on = many[column]
-    table = np.zeros((len(sets), int(many.sum())), np.float32)
-    table[row[on], place[column[on]]] = 1
-    before = table[:, key[many] < own]
     a, b = (np.arange(len(sets)),) * 2 if not side.any() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    common = table[a] @ table[b].T
+    # Columns that one set alone has are in no overlap. Those before the token come first,
+    # and all in blocks of bounded size.
+    many = np.bincount(column, minlength=len(values)) > 1
+    first = np.flatnonzero(many & (key < own))
+    chosen = np.concatenate([first, np.flatnonzero(many & (key >= own))])
+    place = np.full(len(values), -1)
+    place[chosen] = np.arange(len(chosen))
+    place = place[column]
+    by = np.argsort(place, kind="stable")
+    row, place = row[by], place[by]
+    common, width = np.zeros((len(a), len(b)), np.float32), max(1, CELLS // len(sets))
+    early = None
+    starts = [*range(0, len(first), width), *range(len(first), len(chosen), width)]
+    for x, y in zip(starts, [*starts[1:], len(chosen)]):
+        if x == len(first):
+            early = common > 0
+        u, v = np.searchsorted(place, (x, y))
+        table = np.zeros((len(sets), y - x), np.float32)
+        table[row[u:v], place[u:v] - x] = 1
+        common += table[a] @ table[b].T
     fit = (common > 0) & (common >= least * (sizes[a][:, None] + sizes[b] - common) - 1e-9)
-    if before.shape[1] and fit.any():
-        fit &= before[a] @ before[b].T == 0
+    fit &= ~(early if early is not None else common > 0)
     out = np.zeros((len(sets), len(sets)), bool)
     out[np.ix_(a, b)] = fit
     out |= out.T
@@ -449,6 +469,17 @@ def _links(table, width: int, least: float):
             if len(a):
                 yield summed(rows[:, x:y], a, b)
 
+    def parted(rows: np.ndarray, texts: pa.Array, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole tiles, in runs of about RUN bytes of text."""
+        upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        begin = np.concatenate([[0], np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(0)) + 1, [rows.shape[1]]])
+        start = 0
+        for x, y in zip(begin[1:-1], begin[2:]):
+            if upto[y - 1] - (upto[start - 1] if start else 0) > RUN:
+                yield from worked(rows[:, start:x], texts.slice(start, x - start), levels)
+                start = int(x)
+        yield from worked(rows[:, start:], texts.slice(start), levels)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = _level(table.value)
         rows, texts = np.zeros((10, 0), np.int64), pa.array([], pa.string())
@@ -460,10 +491,10 @@ def _links(table, width: int, least: float):
             last = np.flatnonzero((rows[:3] != rows[:3, -1:]).any(0))
             done = int(last[-1]) + 1 if len(last) else 0
             if done:
-                yield from worked(rows[:, :done], texts.slice(0, done), levels)
+                yield from parted(rows[:, :done], texts.slice(0, done), levels)
                 rows, texts = rows[:, done:], texts.slice(done)
         if rows.shape[1]:
-            yield from worked(rows, texts, levels)
+            yield from parted(rows, texts, levels)
 
     return run
 
@@ -483,10 +514,10 @@ def _join(docs: DataFrame, doc_id: str, text: str, width: int, least: float, min
     firsts = sessions.stored(lines.groupBy("node").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("copies")))
     tokens = lines.select("node", "sketch", F.posexplode("prefix").alias("pos", "token")).select("token", "node", F.col("sketch").bitwiseOR(F.least("pos", F.lit(MANY)).cast("long")).alias("sketch"))
     dealt = tokens.repartition(sessions.partitions(spark), "token").sortWithinPartitions("token")
-    shared = sessions.stored(dealt.mapInArrow(_shared(least), "token bigint, node bigint, size bigint"))
-    large = shared.filter("size is null").select("token", "node").distinct()
-    sizes = large.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    todo = shared.filter("size is not null").unionByName(large.join(sizes, "token"))
+    shared = sessions.stored(dealt.mapInArrow(_shared(least), "token bigint, node bigint, size bigint, weight bigint"))
+    large = shared.filter("size is null").select("token", "node", F.col("weight").alias("own")).distinct()
+    sizes = large.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.sum("own").alias("weight")).filter("size > 1")
+    todo = shared.filter("size is not null").unionByName(large.drop("own").join(sizes, "token"))
     # Texts of the lines that have a candidate, cut out where the documents are read: a
     # bitmap of fixed size lets few other lines through, and the join drops those.
     wanted = firsts.join(todo.select("node").distinct(), "node")
