@@ -155,3 +155,42 @@ def test_contexts_are_bound_alone(spark):
     got = {r.context: r for r in context.inspect(spark.createDataFrame(rows, "context int, pos int, path string, content string")).collect()}
     assert [(x["to"], x["resolved_file"]) for x in got[1].references] == [("B", "/b.cs")] and got[1].unresolved == []
     assert [x["resolved_file"] for x in got[2].references] == [None] and got[2].unresolved == ["B"]
+
+
+PARTED = {
+    "/usings.cs": "global using Deep.Er;\nglobal using Two = Deep.Er.Far;",
+    "/base.cs": "namespace Lib { public class Base<T> { public T Held; public class Inside { public void In() { } } } public partial class Part { public Lib.Base<Other> Made() => null; } }",
+    "/part.cs": "namespace Lib { public partial class Part : Base<Other> { public Inside Nest() => null; } public class Other { public Next Go { get; } } }",
+    "/next.cs": "namespace Lib { public class Next { public Last Deeper() => null; } } namespace Deep.Er { public class Far { public static void Run(this Lib.Next n) { } } }",
+    "/last.cs": "namespace Lib { public class Last { public int N { get; } } public static class Ext { public static Next Back(this Last l) => null; } public class Unused { } }",
+    "/use.cs": "using Lib; namespace App { class U : Part { void M() { Made().Held.Go.Deeper().Back().Deeper().N.ToString(); Nest().In(); Far f = new(); Deep.Er.Far g; Two h; new Lib.Base<Last>.Inside().In(); } } }",
+    "/top.cs": "using Lib; var p = new Part(); p.Made().Held.Go.Deeper();",
+    "/program.cs": "partial class Program { void Own() { } }",
+}
+
+
+def test_documents_are_the_same_however_files_are_dealt(spark, monkeypatch):
+    rows = [("s", "p", path, 0, i, content) for i, (path, content) in enumerate(PARTED.items())] + [("s", "q", "/shop.cs", 1, 0, SHOP), ("s", "q", "/none.cs", 1, 1, None), ("t", "r", "/use.cs", 0, 0, "namespace Lib { class Last { } class U { Last l; } }")]
+    table = spark.createDataFrame(rows, extract.SOURCE)
+    taken = lambda: {(r.project, r.path): r.asDict(recursive=True) for r in extract.documents(table).collect()}
+    whole = taken()
+    calls = {(e["source"]["id"], e["target"]["id"]) for d in whole.values() for e in d["edges"] if e["type"] == "CALLS"}
+    assert {("App.U.M()", "Lib.Ext.Back(Lib.Last)"), ("App.U.M()", "Lib.Base<T>.Inside.In()"), ("App.U.M()", "Lib.Next.Deeper()"), ("Program.<Main>$(string[])", "Lib.Next.Deeper()")} <= calls
+    assert len(whole) == len(rows)
+    for files, rounds in ((1, 40), (3, 40), (1, 1)):
+        monkeypatch.setattr(extract, "FILES", files)
+        monkeypatch.setattr(extract, "ROUNDS", rounds)
+        assert taken() == whole
+    some = extract.documents(table, spark.createDataFrame([("p", "/use.cs"), ("p", "/top.cs")], "project string, path string"))
+    assert {(r.project, r.path): r.asDict(recursive=True) for r in some.collect()} == {k: whole[k] for k in (("p", "/use.cs"), ("p", "/top.cs"))}
+
+
+def test_a_task_gets_the_declarations_that_it_can_look_up(spark, monkeypatch):
+    """Each of 300 files calls one other; what is sent stays in proportion to the files, whatever the number of tasks."""
+    sent = []
+    monkeypatch.setattr(extract, "FILES", 10)
+    monkeypatch.setattr(extract, "_bind", lambda rows: sent.append(rows) or rows)
+    rows = [("s", "p", f"/{i}.cs", 0, i, f"namespace N; public class C{i} {{ public static void Go() {{ C{(i + 7) % 300}.Go(); }} }}") for i in range(300)]
+    extract.documents(spark.createDataFrame(rows, extract.SOURCE))
+    counts = {r["turn"]: r["count"] for r in sent[0].groupBy("turn").count().collect()}
+    assert sent[0].select("task").distinct().count() >= 20 and counts[3] == 300 and 300 <= counts[0] <= 600
