@@ -194,3 +194,17 @@ def test_a_task_gets_the_declarations_that_it_can_look_up(spark, monkeypatch):
     extract.documents(spark.createDataFrame(rows, extract.SOURCE))
     counts = {r["turn"]: r["count"] for r in sent[0].groupBy("turn").count().collect()}
     assert sent[0].select("task").distinct().count() >= 20 and counts[3] == 300 and 300 <= counts[0] <= 600
+
+
+def test_only_the_documents_stay_on_disk(spark, monkeypatch):
+    from pathlib import Path
+
+    from weftgraph.snapshots.snapshots import prepare
+
+    monkeypatch.setattr(extract, "FILES", 2)
+    rows = [("s", "p", f"/{i}.cs", 0, i, f"namespace N; public class C{i} {{ C{(i + 1) % 9} next; }}") for i in range(9)]
+    table = spark.createDataFrame(rows, extract.SOURCE)
+    at = Path(prepare(table).removeprefix("file:"))
+    before = set(at.iterdir())
+    docs = extract.settled(table)
+    assert len(set(at.iterdir()) - before) == 1 and docs.count() == 9

@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 
 from weftgraph.functions import text
 from weftgraph.operators import model
-from weftgraph.snapshots.snapshots import settle
+from weftgraph.snapshots.snapshots import drop, release, settle
 from weftgraph.sources import names
 from weftgraph.sources.binder import Symbols, extract
 from weftgraph.sources.facts import Facts
@@ -94,8 +94,8 @@ def _read(files: DataFrame) -> DataFrame:
     return files.mapInArrow(run, fields)
 
 
-def _closed(read: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(solution, task, id) of the files whose declarations each task needs, and (solution, task, name) of the names it looks up.
+def _closed(read: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(solution, task, id) of the files whose declarations each task needs, (solution, task, name) of the names it looks up, and the tables that both are read from.
 
     A task needs the files that declare a name that its own files use, and those that
     declare a name that the declarations it needs are written with, and so on. Names
@@ -115,11 +115,12 @@ def _closed(read: DataFrame) -> tuple[DataFrame, DataFrame]:
         if len(needs) > ROUNDS:
             whole = needs[-1].select("solution", "task").distinct()
             looked = whole.join(known.select("solution", "name"), "solution")
-            return every(needs).unionByName(whole.join(read.select("solution", "id"), "solution")).distinct(), every(asked).unionByName(looked).distinct()
+            return every(needs).unionByName(whole.join(read.select("solution", "id"), "solution")).distinct(), every(asked).unionByName(looked).distinct(), [known, links, *needs, *asked]
         more = needs[-1].join(links, ["solution", "id"]).select("solution", "task", "name").distinct()
         asked.append(settle(more.join(every(asked), ["solution", "task", "name"], "left_anti")))
         needs.append(settle(files(asked[-1]).join(every(needs), ["solution", "task", "id"], "left_anti")))
-    return every(needs), every(asked)
+    drop(known, links)
+    return every(needs), every(asked), [*needs, *asked]
 
 
 def documents(sources: DataFrame, selection: DataFrame | None = None) -> DataFrame:
@@ -144,7 +145,7 @@ def documents(sources: DataFrame, selection: DataFrame | None = None) -> DataFra
     chosen = kept.withColumn("wanted", F.lit(True)) if selection is None else kept.join(selection.select("project", "path", F.lit(True).alias("wanted")).distinct(), ["project", "path"], "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
     dealt = chosen.join(tasks, "solution").withColumn("task", F.pmod(F.xxhash64("project", "path"), F.col("tasks")).cast("int"))
     read = settle(_read(dealt.drop("tasks").withColumn("id", F.monotonically_increasing_id())))
-    needs, asked = _closed(read)
+    needs, asked, tables = _closed(read)
     row = lambda df, turn, **have: df.select("solution", "task", F.lit(turn).alias("turn"), *[(have.get(c, F.col(c) if c in df.columns else none(t))).alias(c) for c, t in (("project_order", "int"), ("document_order", "int"), ("path", "string"), ("project", "string"), ("content", "string"), ("facts", "binary"), ("checksum", "string"), ("word", "string"))])
     spaces = read.select("solution", F.explode("spaces").alias("word")).distinct().withColumn("name", F.substring_index("word", ".", -1))
     spaces = row(asked.join(spaces, ["solution", "name"]), 1)
@@ -152,7 +153,19 @@ def documents(sources: DataFrame, selection: DataFrame | None = None) -> DataFra
     usings = row(usings.select("solution", "word", "x.project_order", "x.document_order", F.concat("x.path", F.format_string("|%08d", "x.pos")).alias("path")).join(tasks.select("solution", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task")), "solution"), 2)
     facts = row(needs.join(read.select("id", "project_order", "document_order", "path", "facts"), "id"), 0)
     files = row(read.filter("wanted").drop("facts"), 3, checksum=checksum)
-    return _bind(facts.unionByName(spaces).unionByName(usings).unionByName(files))
+    out = _bind(facts.unionByName(spaces).unionByName(usings).unionByName(files))
+    out._read_from = [read, *tables]
+    return out
+
+
+def settled(sources: DataFrame, selection: DataFrame | None = None) -> DataFrame:
+    """``documents``, written once; the tables and shuffles that they were read from are deleted."""
+    made = documents(sources, selection)
+    out = settle(made)
+    drop(*vars(made).pop("_read_from", ()))
+    del made
+    release(sources.sparkSession)
+    return out
 
 
 def _bind(rows: DataFrame) -> DataFrame:
