@@ -219,15 +219,15 @@ def test_references_to_own_declarations_are_left_out_early(spark):
     assert {r.id: (r.file, r.is_reference) for r in model.nodes(alone).collect()}["B.Run()"] == ("/b.cs", True)
 
 
-def test_impact_over_dealt_files(spark, monkeypatch):
+def test_impact_and_search_over_dealt_files(spark, monkeypatch):
     from weftgraph.plans import catalog
 
     sent, bind = [], extract._bind
     monkeypatch.setattr(extract, "_bind", lambda rows: sent.append(rows.select("task").distinct().count()) or bind(rows))
     monkeypatch.setattr(extract, "FILES", 40)
-    for query in ("code_impact",):
+    for query in ("code_impact", "code_search"):
         rows = catalog.queries()[query](spark, "/root/testdata/sf0.001").collect()
         monkeypatch.setattr(extract, "FILES", 2000)
         assert rows and sorted(map(repr, rows)) == sorted(map(repr, catalog.queries()[query](spark, "/root/testdata/sf0.001").collect()))
         monkeypatch.setattr(extract, "FILES", 40)
-    assert sent == [sent[0], 1] and sent[0] > 1
+    assert sent == [sent[0], 1, sent[0], 1] and sent[0] > 1
