@@ -98,3 +98,11 @@ def test_repeated_passages_fail_texts_that_the_base_rule_keeps(spark):
     assert not any(r.base_failed for r in got.values())
     assert {i: r.kept for i, r in got.items()} == {1: False, 2: False, 3: True}
     assert got[2].covered < 0.3 and got[2].longest_repeat == 110
+
+
+def test_the_last_join_of_line_dedup_does_not_sort_texts(spark):
+    from weftgraph.llm import linededup
+
+    docs = spark.createDataFrame([(i, f"a line of some words {i % 3}\nand one more of them {i}") for i in range(12)], "doc_id long, text string")
+    out = linededup.clean(docs, min_words=1)
+    assert "ShuffledHashJoin" in out._jdf.queryExecution().executedPlan().toString() and out.count() == 12

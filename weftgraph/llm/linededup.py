@@ -79,7 +79,9 @@ def _level(counts: np.ndarray) -> np.ndarray:
 def _ordered(unit: np.ndarray, token: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct tokens of each line, rarest first: (tokens, lines that have some, start and number of each line's)."""
     key = levels[(token >> np.uint64(TOKEN_BITS - BUCKET_BITS)).astype(np.int64)] << np.uint64(TOKEN_BITS) | token
-    some, dense = np.unique(unit, return_inverse=True) if len(unit) else (unit, unit)
+    other = np.ones(len(unit), bool)  # units come in order
+    other[1:] = unit[1:] != unit[:-1]
+    some, dense = unit[other], np.cumsum(other) - 1
     if len(some) <= 1 << 16:
         key = np.sort(dense.astype(np.uint64) << np.uint64(48) | key)
         new = np.ones(len(key), bool)
@@ -92,7 +94,7 @@ def _ordered(unit: np.ndarray, token: np.ndarray, levels: np.ndarray) -> tuple[n
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (dense[1:] != dense[:-1])
         key, dense = key[new], dense[new]
-    start = np.searchsorted(dense, np.arange(len(some) + 1))
+    start = np.concatenate([np.flatnonzero(np.diff(dense, prepend=-1)), [len(dense)]])
     return key & np.uint64((1 << TOKEN_BITS) - 1), some, start[:-1], np.diff(start)
 
 
@@ -105,9 +107,14 @@ def rarity(docs: DataFrame, text: str = "text", width: int = WIDTH, min_words: i
         total = np.zeros(size, np.int64)
         for batch in batches:
             data, offsets = buffers(batch.column(0))
+            held = [np.zeros(0, np.int64)]
             for a, b in slices(offsets):
                 _, value, _, _ = _scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width, min_words)
-                total += np.bincount((value >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=size)
+                held.append((value >> np.uint64(64 - BUCKET_BITS)).view(np.int64))
+                if sum(map(len, held)) > size:  # the table is walked once for many slices
+                    total += np.bincount(np.concatenate(held), minlength=size)
+                    held = held[:1]
+            total += np.bincount(np.concatenate(held), minlength=size)
         yield from _pieces(total)
 
     def _pieces(total: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -554,7 +561,7 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
     marked = repeated_lines(docs, doc_id, text, **options).filter("removed").select("k", "line").distinct()
     gone = marked.groupBy("k").agg(F.sort_array(F.collect_list(F.col("line").cast("int"))).alias("gone"))
     key, own, parts, last = (sessions.spare(c, docs.columns) for c in ("k", "gone", "parts", "removed_lines"))
-    joined = docs.withColumn(key, _key(doc_id, text)).join(gone.select(F.col("k").alias(key), F.col("gone").alias(own)), key, "left")
+    joined = docs.withColumn(key, _key(doc_id, text)).join(gone.select(F.col("k").alias(key), F.col("gone").alias(own)).hint("shuffle_hash"), key, "left")  # texts aren't sorted
     return _cut_out(joined, text, own, parts).select(*[f"`{c}`" for c in docs.columns], F.coalesce(F.col(own), F.array().cast("array<int>")).alias(last))
 
 
@@ -591,6 +598,6 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     numbers = F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line").cast("int")))).alias("gone")
     counts = marked.select("k", "line", "links", "removed").distinct().groupBy("k").agg(F.sum("links").alias("links"), numbers)
     known = counts.join(class_of, "k", "left").withColumn("gone", F.when(F.size("gone") > 0, F.col("gone")))
-    joined = docs.select(_key(doc_id, text).alias("k"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(known, "k", "left")
+    joined = docs.select(_key(doc_id, text).alias("k"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(known.hint("shuffle_hash"), "k", "left")  # texts aren't sorted
     class_id = F.when(F.col("classed").isNull(), F.col("doc_id").cast("long")).otherwise(F.col("class_id")).alias("class_id")
     return _cut_out(joined, "text", "gone", "parts").select("doc_id", class_id, F.coalesce("links", F.lit(0)).cast("long").alias("links"), "text", F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"))

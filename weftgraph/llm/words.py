@@ -77,12 +77,20 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 def _running(data: np.ndarray) -> np.ndarray:
     """Running sums of the terms of the polynomial."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", len(data)), out=sums[1:])
+    terms = sums[1:]
+    np.add(data, 1, out=terms, dtype=np.uint64, casting="unsafe")
+    terms *= _power("up", len(data))
+    np.cumsum(terms, out=terms)
     return sums
 
 
 def _between(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((sums[ends] - sums[starts]) * _power("down", len(sums))[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    value, length = sums[ends], (ends - starts).view(np.uint64)
+    value -= sums[starts]
+    value *= _power("down", len(sums))[starts]
+    length *= np.uint64(0xD6E8FEB86659FD93)
+    value += length
+    return mix(value)
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -128,7 +136,8 @@ class Scan:
         # All runs of the whole sequence, of which those inside a unit are taken.
         value = np.zeros(max(n - width + 1, 0), np.uint64)
         for j in range(width):
-            value = (value ^ self.hashes[j : j + len(value)]) * np.uint64(_BASE)
+            value ^= self.hashes[j : j + len(value)]
+            value *= np.uint64(_BASE)
             value ^= value >> np.uint64(29)
         units = np.arange(len(counts))
         unit = np.repeat(units, full)
