@@ -85,7 +85,7 @@ def _running(data: np.ndarray) -> np.ndarray:
 
 
 def _between(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    value, length = sums[ends], (ends - starts).view(np.uint64)
+    value, length = sums[ends], (ends - starts).astype(np.uint64)
     value -= sums[starts]
     value *= _power("down", len(sums))[starts]
     length *= np.uint64(0xD6E8FEB86659FD93)
