@@ -1,6 +1,9 @@
 """Edges from code and context views, on sources of our own."""
 
-from weftgraph.operators import context, extract, model
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from weftgraph.operators import context, extract, model, traverse
 from weftgraph.sources import binder, facts
 
 SHOP = """
@@ -231,3 +234,30 @@ def test_impact_and_search_over_dealt_files(spark, monkeypatch):
         assert rows and sorted(map(repr, rows)) == sorted(map(repr, catalog.queries()[query](spark, "/root/testdata/sf0.001").collect()))
         monkeypatch.setattr(extract, "FILES", 40)
     assert sent == [sent[0], 1, sent[0], 1] and sent[0] > 1
+
+
+def test_members_share_a_scope_and_nodes_are_made_once():
+    f = facts.Facts("/a.cs", "namespace N; class A { void Go() { Run(); } void Run() { Go(); } T Of<T>(T x) => x; }")
+    symbols = binder.Symbols([f])
+    go, run, of = (symbols.types["N", ("A", 0)].members[i] for i in range(3))
+    assert go.scope is run.scope and of.scope.names == {"T"} and not go.scope.names
+    found = binder.extract(f, symbols)["edges"]
+    assert len({id(e["source"]) for e in found}) == len({e["source"]["id"] for e in found})
+
+
+def test_files_of_one_place_keep_their_own_texts(spark, monkeypatch):
+    rows = [("s", p, "/Same.cs", 0, 0, f"namespace N; class {t} {{ void Go() {{ B.Run(); }} }}") for p, t in (("p", "A"), ("q", "C"))]
+    rows += [("s", "p", "/B.cs", 0, 1, "namespace N; public class B { public static void Run() { } }"), ("s", "p", "/Top.cs", 0, 2, "N.B.Run();"), ("s", "p", "/None.cs", 0, 3, None)]
+    sources = spark.createDataFrame(rows, extract.SOURCE)
+    for files in (100, 2):
+        monkeypatch.setattr(extract, "FILES", files)
+        got = {(r.src, r.dst) for r in model.edges(extract.documents(sources)).filter("type = 'CALLS'").collect()}
+        assert got == {("N.A.Go()", "N.B.Run()"), ("N.C.Go()", "N.B.Run()"), ("Program.<Main>$(string[])", "N.B.Run()")}
+
+
+def test_shifts_of_ranks_need_no_python_rows(spark, monkeypatch):
+    kinds, make = [], type(spark).createDataFrame
+    rows = traverse.numbered(spark.range(1000).select(F.col("id").alias("x")), ["x"], "n")
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: kinds.append(type(data)) or make(self, data, *a, **b))
+    assert [r["rank"] for r in traverse.ranked(rows, "n", "rank").orderBy("x").collect()] == list(range(1000))
+    assert kinds == [pa.Table]

@@ -27,6 +27,7 @@ from weftgraph.operators import model
 from weftgraph.snapshots.snapshots import drop, release, settle
 from weftgraph.sources import names
 from weftgraph.sources.binder import Symbols, extract
+from weftgraph.sources.csharp import Source
 from weftgraph.sources.facts import Facts
 
 #: Files that a task binds (about); documents written at once; rounds after which a task gets every declaration.
@@ -51,8 +52,8 @@ def _calm() -> Iterator[None]:
 
 
 def _declared(found: Facts) -> bytes:
-    """The declarations of a file, packed."""
-    found.source, found.statements = None, []
+    """The declarations of a file, packed, with the places of its top-level statements."""
+    found.source = None
     packer = zlib.compressobj(1, zdict=_COMMON)
     return packer.compress(pickle.dumps(found, pickle.HIGHEST_PROTOCOL)) + packer.flush()
 
@@ -137,8 +138,8 @@ def documents(sources: DataFrame, selection: DataFrame | None = None) -> DataFra
     checksum = text.checksum(F.coalesce("content", F.lit("")))
     none = lambda kind: F.lit(None).cast(kind)
     if (sizes.agg(F.max("n")).first()[0] or 0) <= FILES:
-        task = F.lit(0).alias("task")
-        facts = declarations(kept).join(sizes, "solution", "left_semi").select("solution", task, F.lit(0).alias("turn"), "project_order", "document_order", "path", none("string").alias("project"), none("string").alias("content"), "facts", none("string").alias("checksum"), none("string").alias("word"))
+        task, own = F.lit(0).alias("task"), F.lit("own") if selection is None else none("string")
+        facts = declarations(kept).join(sizes, "solution", "left_semi").select("solution", task, F.lit(0).alias("turn"), "project_order", "document_order", "path", none("string").alias("project"), none("string").alias("content"), "facts", none("string").alias("checksum"), own.alias("word"))
         files = wanted.select("solution", task, F.lit(3).alias("turn"), "project_order", "document_order", "path", "project", "content", none("binary").alias("facts"), checksum.alias("checksum"), none("string").alias("word"))
         return _bind(facts.unionByName(files))
     tasks = sizes.select("solution", F.ceil(F.col("n") / F.lit(FILES)).cast("int").alias("tasks"))
@@ -151,7 +152,8 @@ def documents(sources: DataFrame, selection: DataFrame | None = None) -> DataFra
     spaces = row(asked.join(spaces, ["solution", "name"]), 1)
     usings = read.select("solution", "project_order", "document_order", "path", F.posexplode("usings").alias("pos", "word")).groupBy("solution", "word").agg(F.min(F.struct("project_order", "document_order", "path", "pos")).alias("x"))
     usings = row(usings.select("solution", "word", "x.project_order", "x.document_order", F.concat("x.path", F.format_string("|%08d", "x.pos")).alias("path")).join(tasks.select("solution", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task")), "solution"), 2)
-    facts = row(needs.join(read.select("id", "project_order", "document_order", "path", "facts"), "id"), 0)
+    own = F.when(F.col("wanted") & (F.col("task") == F.col("home")), "own")
+    facts = row(needs.join(read.select("id", F.col("task").alias("home"), "wanted", "project_order", "document_order", "path", "facts"), "id"), 0, word=own)
     files = row(read.filter("wanted").drop("facts"), 3, checksum=checksum)
     out = _bind(facts.unionByName(spaces).unionByName(usings).unionByName(files))
     out._read_from = [read, *tables]
@@ -168,37 +170,74 @@ def settled(sources: DataFrame, selection: DataFrame | None = None) -> DataFrame
     return out
 
 
+def _written(documents: list[dict], arrow: pa.Schema) -> pa.RecordBatch:
+    """Documents as rows. A node that many edges share is turned into values once."""
+    table, place = [], {}
+
+    def at(nodes: list[dict]) -> pa.Array:
+        """The nodes' places in the table."""
+        out = []
+        for n in nodes:
+            if (i := place.get(id(n))) is None:
+                i = place[id(n)] = len(table)
+                table.append(n)
+            out.append(i)
+        return pa.array(out, pa.int32())
+
+    def listed(column: str, items: pa.Array) -> pa.Array:
+        ends = [0]
+        for d in documents:
+            ends.append(ends[-1] + len(d[column]))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items, type=arrow.field(column).type)
+
+    edges = [e for d in documents for e in d["edges"]]
+    nodes, sources, targets = (at(x) for x in ([n for d in documents for n in d["nodes"]], [e["source"] for e in edges], [e["target"] for e in edges]))
+    kind, edge = arrow.field("nodes").type.value_type, arrow.field("edges").type.value_type
+    values = pa.StructArray.from_arrays([pa.array([n[f.name] for n in table], f.type) for f in kind], fields=list(kind))
+    made = {"nodes": listed("nodes", values.take(nodes)), "edges": listed("edges", pa.StructArray.from_arrays([values.take(sources), values.take(targets), pa.array([e["type"] for e in edges], pa.string())], fields=list(edge)))}
+    return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.array([d[f.name] for d in documents], f.type) for f in arrow], schema=arrow)
+
+
 def _bind(rows: DataFrame) -> DataFrame:
-    """Documents of the rows of each task: declarations (turn 0), namespaces (1), global usings (2), then files (3)."""
+    """Documents of the rows of each task: declarations (turn 0; the word ``own`` marks files that the task binds), namespaces (1), global usings (2), then files (3)."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "solution", "task").sortWithinPartitions("solution", "task", "turn", "project_order", "document_order", "path")
     arrow = to_arrow_schema(StructType.fromDDL(model.DOCUMENT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, words, symbols, out = None, [], ([], []), None, []
+        at, held, own, words, symbols, out = None, [], {}, ([], []), None, []
         with _calm():
             for batch in batches:
                 columns = [c.to_pylist() for c in batch.columns]
                 for solution, task, turn, project_order, document_order, path, project, content, facts, checksum, word in zip(*columns):
                     if (solution, task) != at:
-                        at, held, words, symbols = (solution, task), [], ([], []), None
+                        if symbols is not None:
+                            symbols.release()
+                        at, held, own, words, symbols = (solution, task), [], {}, ([], []), None
                         gc.unfreeze()
                         gc.collect()
                     if turn == 0:
                         held.append(_unpacked(facts))
+                        if word is not None:
+                            place = (project_order, document_order, path)
+                            own[place] = None if place in own else held[-1]  # files of one place are read again
                     elif turn < 3:
                         words[turn - 1].append(word)
                     else:
                         if symbols is None:
                             symbols, held = Symbols(held, *words), []
                             gc.freeze()
-                        found = extract(Facts(path, content), symbols)
+                        if (known := own.pop((project_order, document_order, path), None)) is None:
+                            known = Facts(path, content)
+                        else:
+                            known.source = Source.of(content)
+                        found = extract(known, symbols)
                         out.append({"project": project, "path": path, "checksum": checksum, "project_order": project_order, "document_order": document_order} | found)
                         if len(out) == WRITTEN:
-                            yield pa.RecordBatch.from_pylist(out, arrow)
+                            yield _written(out, arrow)
                             out = []
-                            gc.collect()
+                            gc.collect(0)  # what is new: the symbols, and what they keep, aren't walked again
             if out:
-                yield pa.RecordBatch.from_pylist(out, arrow)
+                yield _written(out, arrow)
 
     return rows.mapInArrow(run, model.DOCUMENT)
