@@ -7,7 +7,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftgraph.llm import quality, words
+from weftgraph.llm import linededup, quality, similar, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -106,3 +106,31 @@ def test_the_last_join_of_line_dedup_does_not_sort_texts(spark):
     docs = spark.createDataFrame([(i, f"a line of some words {i % 3}\nand one more of them {i}") for i in range(12)], "doc_id long, text string")
     out = linededup.clean(docs, min_words=1)
     assert "ShuffledHashJoin" in out._jdf.queryExecution().executedPlan().toString() and out.count() == 12
+
+
+def test_word_hashes_need_no_sums_over_all_bytes():
+    """Words of up to 64 bytes are hashed alone, wherever they stand; longer ones as ranges."""
+    parts = ["a", "ab", "é", "abcdefgh", "abcdefghi", "abcdefgh\x00", "x" * 16, "x" * 17, "y" * 64, "abcdefghz"]
+    scan = words.Scan(*words.buffers(pa.array([" ".join(parts), " " + "\t".join(reversed(parts))])))
+    assert "_sums" not in vars(scan) and len(set(scan.hashes.tolist())) == len(parts)
+    assert scan.hashes[: len(parts)].tolist() == scan.hashes[len(parts) :][::-1].tolist()
+    long = words.Scan(*words.buffers(pa.array(["z" * 65 + " a " + "z" * 66, "a " + "z" * 65])))
+    a, b, c, d, e = long.hashes.tolist()
+    assert "_sums" in vars(long) and (a, b) == (e, d) and len({a, b, c}) == 3 and b == scan.hashes[0]
+
+
+def test_rarity_classes_are_made_once():
+    class Table:
+        value = np.array([1, 2, 8], np.int32)
+
+    table = Table()
+    assert linededup._levels(table) is linededup._levels(table) and linededup._levels(table).tolist() == [0, 2, 6]
+
+
+def test_sets_of_a_run_hold_each_shingle_once():
+    levels = np.zeros(1 << linededup.BUCKET_BITS, np.uint64)
+    texts = pa.array(["a b a b a b", "c d", "", "a b a b a b"])
+    sets = linededup._Sets(np.array([7, 3, 5, 7]), texts, 2, levels)
+    found = [set(x.tolist()) for x in similar.shingle_sets(texts, 2)]
+    assert sets.of.tolist() == [2, 0, 1, 2] and sets.size.tolist() == [1, 0, 2]
+    assert [set(sets.value[a : a + n].tolist()) for a, n in zip(sets.start, sets.size)] == [found[1], found[2], found[0]]

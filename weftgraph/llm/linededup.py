@@ -71,6 +71,13 @@ def _scan(data: np.ndarray, offsets: np.ndarray, width: int, min_words: int):
     return unit, value, text, number
 
 
+def _levels(table) -> np.ndarray:
+    """The classes of a broadcast table of counts, made once in a worker."""
+    if (made := vars(table).get("levels")) is None:
+        made = table.levels = _level(table.value)
+    return made
+
+
 def _level(counts: np.ndarray) -> np.ndarray:
     """Rarity classes 0 to 63, two for each doubling of the count."""
     return np.minimum(2 * np.log2(np.maximum(counts, 1).astype(np.float64)), 63).astype(np.uint64)
@@ -164,7 +171,7 @@ def _lines(table, width: int, min_words: int, least: float):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = _level(table.value)
+        levels = _levels(table)
         sent: set[int] = set()
         for batch in batches:
             keys, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
@@ -389,17 +396,19 @@ class _Sets:
 
     def __init__(self, node: np.ndarray, texts: pa.Array, width: int, levels: np.ndarray):
         _, at, self.of = np.unique(node, return_index=True, return_inverse=True)
-        found = similar.shingle_sets(texts.take(pa.array(at)), width)
-        self.size = np.array([len(x) for x in found], np.int64)
+        owner, value = similar.shingles(texts.take(pa.array(at)), width)
+        # Places in one sorted column of (set, token), each once, for look-ups.
+        tokens, rank = np.unique(value, return_inverse=True)
+        self.span = max(len(tokens), 1)
+        places = np.sort(owner * self.span + rank)
+        new = np.ones(len(places), bool)
+        new[1:] = places[1:] != places[:-1]
+        self.places = places[new]
+        owner, self.ranks = np.divmod(self.places, self.span)
+        self.value, self.order = tokens[self.ranks], _order(tokens, levels)[self.ranks]
+        self.size = np.bincount(owner, minlength=len(at))
         self.start = np.cumsum(self.size) - self.size
-        self.value = np.concatenate([np.zeros(0, np.uint64), *found])
-        self.order = _order(self.value, levels)
-        owner = np.repeat(np.arange(len(found)), self.size)
-        # Places in one sorted column of (set, token), for look-ups.
-        _, rank = np.unique(self.value, return_inverse=True)
-        self.ranks, self.span = rank.astype(np.int64), int(rank.max(initial=0)) + 1
-        self.places = np.sort(owner * self.span + self.ranks)
-        self.odd = similar.parities(owner, self.value, len(found), _ODD)
+        self.odd = similar.parities(owner, self.value, len(at), _ODD)
 
     def alike(self, a: np.ndarray, b: np.ndarray, token: np.ndarray, least: float) -> np.ndarray:
         """Which pairs of sets are similar and have their ``token`` (as ``_order`` gives it) as the first that they share."""
@@ -488,7 +497,7 @@ def _links(table, width: int, least: float):
         yield from worked(rows[:, start:], texts.slice(start), levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = _level(table.value)
+        levels = _levels(table)
         rows, texts = np.zeros((10, 0), np.int64), pa.array([], pa.string())
         for batch in batches:
             if not batch.num_rows:

@@ -33,6 +33,16 @@ def shingle_sets(column: pa.Array, width: int, weighted: bool = False) -> list[n
     return out
 
 
+def shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of all shingles of the texts, in order."""
+    data, offsets = buffers(column)
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for a, b in slices(offsets):
+        unit, value = Scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).shingles(width)
+        parts.append((a + unit, value))
+    return np.concatenate([u for u, _ in parts]), np.concatenate([v for _, v in parts])
+
+
 def parities(owner: np.ndarray, value: np.ndarray, n: int, words: int) -> np.ndarray:
     """n x words longs: for each of 64 words hash buckets, whether the owner has an odd number of values there.
 

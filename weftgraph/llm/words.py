@@ -2,13 +2,15 @@
 
 A word is a maximal run of ``[^\\x20\\x09-\\x0D]``. All separators are ASCII, so
 the UTF-8 bytes of a batch are scanned directly and no Python string is made.
-Words and lines are compared by 64-bit hashes: a polynomial over their bytes
-(from one running sum for the batch), then mixed.
+Words are compared by 64-bit hashes of their bytes, eight at a time; long words,
+lines and other ranges by a polynomial over their bytes (from one running sum for
+the batch), then mixed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,10 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Bytes from which on a word is hashed as a range. Low bits of 0 to 8 bytes.
+_LONG = 64
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
 #: Powers that a worker keeps; those of a longer text are made for it alone.
 _KEPT_POWERS = SLICE_BYTES + 4096
 _powers: dict[str, np.ndarray] = {}
@@ -98,6 +104,35 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return _between(_running(data), starts, ends)
 
 
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ranges) -> np.ndarray:
+    """64-bit hashes of words: up to eight bytes and the length make one, further eights are mixed in. ranges: hashes of byte ranges, for long words."""
+    n = len(data) // 8 + 2
+    padded = np.zeros(8 * n, np.uint8)
+    padded[: len(data)] = data
+    eights = padded.view("<u8")
+
+    def at(place: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The eight bytes from each place on, those after its length as 0."""
+        low, shift = place >> 3, (place & 7).astype(np.uint64) << np.uint64(3)
+        found = eights[low] >> shift
+        found |= eights[low + 1] << np.uint64(1) << (np.uint64(63) - shift)
+        found &= _LOW[np.minimum(length, 8)]
+        return found
+
+    length = ends - starts
+    value = at(starts, length)
+    more, step = np.flatnonzero((length > 8) & (length <= _LONG)), 8
+    while len(more):
+        value[more] = mix(value[more]) ^ at(starts[more] + step, length[more] - step)
+        step += 8
+        more = more[length[more] > step]
+    value += length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    value = mix(value)
+    if len(large := np.flatnonzero(length > _LONG)):
+        value[large] = ranges(starts[large], ends[large])
+    return value
+
+
 class Scan:
     """Words of the units (texts, or lines of texts) that ``offsets`` cuts from ``data``.
 
@@ -107,7 +142,7 @@ class Scan:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets = data, offsets
-        solid = ~SPACE[data]
+        solid = (data != 0x20) & (data - np.uint8(0x09) > 4)  # not SPACE
         n = len(data)
         head, tail = solid.copy(), solid.copy()
         head[1:] &= ~solid[:-1]
@@ -118,8 +153,11 @@ class Scan:
         self.starts, self.ends = np.flatnonzero(head), np.flatnonzero(tail) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.solid = solid
-        self._sums = _running(data)
-        self.hashes = self.ranges(self.starts, self.ends)
+        self.hashes = _hashes(data, self.starts, self.ends, self.ranges)
+
+    @cached_property
+    def _sums(self) -> np.ndarray:
+        return _running(self.data)
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of byte ranges."""
